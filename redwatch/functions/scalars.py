@@ -23,10 +23,16 @@ def finite_or_null(c) -> Column:
     return F.when(is_finite(c), c)
 
 
+def half_even(c, digits: int) -> Column:
+    """Round half to even on the binary value."""
+    scale = F.lit(float(10**digits))
+    return F.rint(col(c) * scale) / scale
+
+
 def clean_round(c, digits: int = 2) -> Column:
     """NaN becomes null, everything else is rounded half-even."""
     c = col(c)
-    return F.when(~F.isnan(c), F.bround(c, digits))
+    return F.when(~F.isnan(c), half_even(c, digits))
 
 
 def clamp(c, low: float, high: float) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PRODUCTION, Settings
-from ..functions.scalars import endpoint_match, plus_seconds, seconds_between
+from ..functions.scalars import endpoint_match, plus_seconds, seconds_between, half_even
 from .joins import interval_join
 
 
@@ -42,7 +42,7 @@ def fault_candidates(
     )
     score = imputation_score(onset, "injected_at", "cleared_at", settings.causal_window_seconds)
     return (
-        pairs.withColumn("imputation_score", F.bround(_with_bonus(score, F.col("service_match"), settings), 4))
+        pairs.withColumn("imputation_score", half_even(_with_bonus(score, F.col("service_match"), settings), 4))
         .where(_with_bonus(score, F.col("service_match"), settings) > 0)
         .drop("_from", "_to")
     )
@@ -108,7 +108,7 @@ def deploy_candidates(
         pairs.withColumn("deploy_service_match", match)
         .withColumn("_raw", score)
         .where(F.col("_raw") > 0)
-        .withColumn("deploy_score", F.bround("_raw", 4))
+        .withColumn("deploy_score", half_even("_raw", 4))
         .drop("_to", "_raw")
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..config import PRODUCTION, Settings
 from ..functions.arrays import pairwise_slopes, theil_sen, top_by_abs
-from ..functions.scalars import finite_or_null, safe_ratio, signed_deviation
+from ..functions.scalars import finite_or_null, safe_ratio, signed_deviation, half_even
 
 SERIES = ("p50_ms", "p95_ms", "p99_ms", "rps", "error_rate_5xx")
 
@@ -87,5 +87,5 @@ def top_features(settings: Settings = PRODUCTION, k: int = 3) -> Column:
     """The largest feature values by absolute size, as array of (name, score)."""
     ranked = top_by_abs(settings.features, [F.col(c) for c in feature_columns(settings)], k)
     return F.transform(
-        ranked, lambda p: F.struct(p["name"].alias("name"), F.bround(p["score"], 4).alias("score"))
+        ranked, lambda p: F.struct(p["name"].alias("name"), half_even(p["score"], 4).alias("score"))
     )

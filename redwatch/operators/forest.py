@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from ..config import PRODUCTION, Settings
 from ..functions.arrays import top_by_abs
+from ..functions.scalars import half_even
 from ..functions.ordered import exact_quantiles
 from ..schemas import TREE_NODES
 
@@ -208,5 +209,5 @@ def ablation_attribution(drops, names, p50: float, p99: float, k: int = 3) -> Co
     d = F.col(drops) if isinstance(drops, str) else drops
     ranked = top_by_abs(names, [F.get(d, F.lit(i)) / span for i in range(len(names))], k)
     return F.transform(
-        ranked, lambda p: F.struct(p["name"].alias("name"), F.bround(p["score"], 4).alias("score"))
+        ranked, lambda p: F.struct(p["name"].alias("name"), half_even(p["score"], 4).alias("score"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CALL_TYPE_WEIGHTS, OTHER_CALL_WEIGHT, PRODUCTION, Settings
-from ..functions.scalars import status_of_direction
+from ..functions.scalars import status_of_direction, half_even
 from ..sources.tables import checkpointed
 from .joins import asof_latest
 
@@ -152,7 +152,7 @@ def rca_confidence_score(score, call_type, depth, settings: Settings = PRODUCTIO
         F.when(F.lit(False), F.lit(0.0)),
     ).otherwise(OTHER_CALL_WEIGHT)
     far = F.lit(1.0) / F.greatest(F.lit(1), F.col(depth))
-    return F.bround(F.least(F.lit(settings.rca_cap), F.col(score) * weight * far), 2)
+    return half_even(F.least(F.lit(settings.rca_cap), F.col(score) * weight * far), 2)
 
 
 def rca_level(score, settings: Settings = PRODUCTION) -> Column:

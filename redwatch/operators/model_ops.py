@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import PRODUCTION, Settings
 from ..functions.ordered import exact_quantiles, running_totals, value_bin
-from ..functions.scalars import seconds_between
+from ..functions.scalars import seconds_between, half_even
 from ..sources.model_store import Model, ModelStore
 from ..sources.tables import stored
 from .baseline import exclude_injections, lookback, with_baseline
@@ -269,7 +269,7 @@ def drift_check(
     """Row of the model-health table; empty when there are too few live scores."""
     ks = ks_statistic(reference, live, "ml_norm", "ml_norm").select("ks").scalar()
     s = drift_summary(reference, live, settings).where(F.col("n_live") >= settings.drift_min_live)
-    four = lambda c: F.bround(c, 4)
+    four = lambda c: half_even(c, 4)
     return s.withColumn("_ks", ks).select(
         checked_at.alias("checked_at"), trained_at.alias("model_trained_at"), "n_live",
         four("_ks").alias("ks_drift"), four("ref_mean").alias("ref_mean"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_SLO_5XX, DEFAULT_SLO_P99_MS, PRODUCTION, Settings
 from ..functions.arrays import sorted_percentile
-from ..functions.scalars import direction_of, finite_or_null, is_finite, one_sided_deviation
+from ..functions.scalars import direction_of, finite_or_null, is_finite, one_sided_deviation, half_even
 from .features import top_features
 
 LAYERS = ("static", "baseline", "iforest")
@@ -97,7 +97,7 @@ def time_to_degradation(
     def result(mid, low, high, breaching: bool) -> Column:
         return F.struct(
             mid.alias("ttd_minutes"), low.alias("ttd_low"), high.alias("ttd_high"),
-            F.bround(slope, 2).alias("slope_ms_per_min"), F.lit(breaching).alias("already_breaching"),
+            half_even(slope, 2).alias("slope_ms_per_min"), F.lit(breaching).alias("already_breaching"),
         )
 
     zero = F.lit(0.0)
@@ -105,9 +105,9 @@ def time_to_degradation(
     return F.when(usable & (now >= limit), result(zero, zero, zero, True)).when(
         usable & (point <= settings.ttd_horizon_minutes),
         result(
-            F.bround(point, 1),
-            F.bround(minutes(sorted_percentile(slopes, 0.75) * per_minute), 1),
-            F.bround(minutes(sorted_percentile(slopes, 0.25) * per_minute), 1),
+            half_even(point, 1),
+            half_even(minutes(sorted_percentile(slopes, 0.75) * per_minute), 1),
+            half_even(minutes(sorted_percentile(slopes, 0.25) * per_minute), 1),
             False,
         ),
     )
@@ -117,7 +117,7 @@ def contributing(settings: Settings = PRODUCTION, top: Column | None = None, ttd
     """Evidence document of a scored cycle; numbers that are not finite become null."""
 
     def number(name: str, digits: int) -> Column:
-        return F.bround(finite_or_null(name), digits)
+        return half_even(finite_or_null(name), digits)
 
     ranked = top if top is not None else top_features(settings)
     return F.struct(
@@ -139,7 +139,7 @@ def contributing(settings: Settings = PRODUCTION, top: Column | None = None, ttd
             number("expected", 2).alias("expected"),
             F.when(
                 F.col("p10").isNotNull() & F.col("p90").isNotNull(),
-                F.array(F.bround("p10", 2), F.bround("p90", 2)),
+                F.array(half_even("p10", 2), half_even("p90", 2)),
             ).alias("band"),
         ).alias("baseline"),
     )
@@ -152,7 +152,7 @@ def anomaly_rows(scored: DataFrame, doc: Column | None = None) -> DataFrame:
         "endpoint_id",
         F.lit("p99_ms").alias("signal_type"),
         F.col("time").alias("detected_at"),
-        F.bround("combined", 4).alias("score"),
+        half_even("combined", 4).alias("score"),
         F.coalesce("layer", F.lit("combined")).alias("layer"),
         "direction",
         (doc if doc is not None else contributing()).alias("contributing"),

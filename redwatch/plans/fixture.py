@@ -16,6 +16,7 @@ from ..operators.baseline import seasonal_baseline
 from ..operators.model_ops import scored_history
 from ..operators.red import red_features
 from ..operators.scoring import anomaly_rows, contributing, signals, time_to_degradation
+from ..sources.tables import stored
 from ..schemas import DEPLOYS, EDGES, SLOS
 
 HOUR = 3600
@@ -88,7 +89,8 @@ class Telemetry:
 
     @cached_property
     def features(self) -> DataFrame:
-        return red_features(self.spans, self.settings)
+        """The feature table: written once, then read by every later step."""
+        return stored(red_features(self.spans, self.settings), "features")
 
     @cached_property
     def injections(self) -> DataFrame:
@@ -118,12 +120,15 @@ class Telemetry:
 
     @cached_property
     def baseline(self) -> DataFrame:
-        return seasonal_baseline(self.features, self.injections, self.as_of, self.settings)
+        return stored(seasonal_baseline(self.features, self.injections, self.as_of, self.settings), "baseline")
 
     @cached_property
     def scored(self) -> DataFrame:
         """All cycles scored by limits and band (no model)."""
-        return scored_history(self.features, self.baseline, self.slos, None, self.settings, complete_only=False)
+        return stored(
+            scored_history(self.features, self.baseline, self.slos, None, self.settings, complete_only=False),
+            "scored",
+        )
 
     @cached_property
     def replayed(self) -> DataFrame:
@@ -137,7 +142,7 @@ class Telemetry:
 
     @cached_property
     def log(self) -> DataFrame:
-        return alert_log(signals(self.scored), self.settings)
+        return stored(alert_log(signals(self.scored), self.settings), "log")
 
     @cached_property
     def episodes(self) -> DataFrame:

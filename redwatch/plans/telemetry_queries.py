@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -9,7 +11,7 @@ from ..config import PII_ATTRIBUTES, PRODUCTION
 from ..functions.ordered import running_totals, time_bin
 from ..functions.scalars import (
     clean_round, cycle_start, day_of_week, direction_of, endpoint_id, magnitude_label,
-    one_sided_deviation, plus_seconds, signed_deviation,
+    one_sided_deviation, plus_seconds, signed_deviation, half_even,
 )
 from ..operators import alerts, attribution, baseline, evaluation, features, graph, red, scoring, selfobs
 from ..operators.joins import asof_latest, interval_join
@@ -136,28 +138,7 @@ def endpoint_dim(t):
     )
 
 
-def _observed_edges(t):
-    """Calls seen in the data: the endpoint of a span and of the next span of the same user."""
-    names = t.spans.select("user_id", "ts", F.concat(F.lit("u"), F.col("user_id") % 40).alias("node"), "endpoint_id")
-    # a user is one of very many; per (user, day) ordering keeps groups small
-    day = F.to_date("ts")
-    nxt = F.lead("endpoint_id").over(W.partitionBy("user_id", day).orderBy("ts"))
-    return names.withColumn("child", nxt).where(F.col("child").isNotNull()).groupBy(
-        F.col("endpoint_id").alias("parent_endpoint_id"), F.col("child").alias("child_endpoint_id")
-    ).agg(F.count(F.lit(1)).alias("calls"))
-
-
-# Users are nodes here: orders of the customers of one order are linked by key, so the graph
-# grows with the tables and has long chains and a few cycles.
-def _key_edges(t):
-    o = t.table("orders")
-    return o.select(
-        F.concat(F.lit("c"), F.col("o_custkey")).alias("parent_endpoint_id"),
-        F.concat(F.lit("c"), F.col("o_orderkey") % 1009 + F.col("o_custkey")).alias("child_endpoint_id"),
-    ).distinct()
-
-
-@query("topology_load", ("edges",), """
+@query("topology_load", (), """
     SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS parent_endpoint_id,
            'c' || CAST(o_orderkey % 1009 + o_custkey AS VARCHAR) AS child_endpoint_id
     FROM orders WHERE o_orderpriority <> '1-URGENT'
@@ -172,11 +153,13 @@ def topology_load(t):
     return graph.topology_load(o.where("stored").drop("stored"), o.where("not stored").drop("stored"))
 
 
+# Customers as endpoints, in blocks of ten: calls go down inside a block, some new ones go back.
 @query("topology_check", (), """
     WITH RECURSIVE e AS (
-      SELECT DISTINCT o_custkey AS p, CASE WHEN o_orderkey % 400 = 0 THEN o_custkey - 3 WHEN o_orderkey % 401 = 0 THEN o_custkey
-                                           ELSE o_custkey + 2 + o_orderkey % 5 END AS c, o_orderkey % 400 = 0 OR o_orderkey % 401 = 0 AS fresh
-      FROM orders),
+      SELECT DISTINCT o_custkey AS p,
+             CASE WHEN o_orderkey % 40 = 0 THEN o_custkey - o_custkey % 10 + o_orderkey % 7
+                  ELSE o_custkey + least(1 + o_orderkey % 3, 9 - o_custkey % 10) END AS c, o_orderkey % 40 = 0 AS fresh
+      FROM orders WHERE o_orderkey % 40 = 0 OR o_custkey % 10 < 9),
     reach(origin, node) AS (
       SELECT DISTINCT c, c FROM e WHERE fresh
       UNION SELECT r.origin, e.c FROM reach r JOIN e ON e.p = r.node)
@@ -185,15 +168,13 @@ def topology_load(t):
     FROM e WHERE fresh AND (p = c OR EXISTS (SELECT 1 FROM reach r WHERE r.origin = e.c AND r.node = e.p))""")
 def topology_check(t):
     o = t.table("orders")
-    back, loop = F.col("o_orderkey") % 400 == 0, F.col("o_orderkey") % 401 == 0
-    child = (
-        F.when(back, F.col("o_custkey") - 3).when(loop, F.col("o_custkey"))
-        .otherwise(F.col("o_custkey") + 2 + F.col("o_orderkey") % 5)
-    )
-    e = o.select(
-        F.concat(F.lit("c"), "o_custkey").alias("parent_endpoint_id"),
+    cust, order = F.col("o_custkey"), F.col("o_orderkey")
+    back = order % 40 == 0
+    child = F.when(back, cust - cust % 10 + order % 7).otherwise(cust + F.least(1 + order % 3, 9 - cust % 10))
+    e = o.where(back | (cust % 10 < 9)).select(
+        F.concat(F.lit("c"), cust).alias("parent_endpoint_id"),
         F.concat(F.lit("c"), child).alias("child_endpoint_id"),
-        (back | loop).alias("fresh"),
+        back.alias("fresh"),
     ).distinct()
     return graph.topology_check(e.where("not fresh").drop("fresh"), e.where("fresh").drop("fresh"))
 
@@ -224,8 +205,6 @@ def deploy_append(t):
       AND o_orderdate BETWEEN TIMESTAMP '1998-01-01' - INTERVAL 400 DAY AND TIMESTAMP '1998-01-01'
     ORDER BY o_orderdate DESC, 'r' || CAST(o_orderkey AS VARCHAR) LIMIT 50""")
 def deploy_list(t):
-    from datetime import datetime
-
     r = _releases(t).where(F.col("deploy_id").isNotNull())
     return tables.recent_deploys(r, at(datetime(1998, 1, 1)), "svc2", 400 * 1440, 50).select("version", "deployed_at")
 
@@ -276,7 +255,7 @@ LOG_SQL = ", ".join([
     WHERE (endpoint_id, signal_type) IN (SELECT (endpoint_id, signal_type) FROM log WHERE state <> 'ok')
     QUALIFY row_number() OVER (PARTITION BY endpoint_id, signal_type ORDER BY time DESC) = 1""")
 def alert_upsert(t):
-    cut = at(__import__("datetime").datetime(2024, 1, 20))
+    cut = at(datetime(2024, 1, 20))
     old = alerts.current_alerts(t.log.where(F.col("time") < cut))
     new = alerts.current_alerts(t.log)
     return alerts.upsert_current(old, new).select(*LOG_COLUMNS, "updated_at")
@@ -386,7 +365,7 @@ def null_safe_ne(t):
       SELECT * FROM log WHERE time <= TIMESTAMP '2024-01-13' QUALIFY row_number() OVER (PARTITION BY endpoint_id, signal_type ORDER BY time DESC) = 1)
     WHERE signal_type = 'error_rate_5xx' AND (state <> 'ok' OR pc > 0)""")
 def active_alerts(t):
-    then = at(__import__("datetime").datetime(2024, 1, 13))
+    then = at(datetime(2024, 1, 13))
     current = alerts.current_alerts(t.log.where(F.col("time") <= then))
     return alerts.not_at_rest(current).select("endpoint_id", "state", "pending_count")
 
@@ -521,7 +500,7 @@ def neighbour_score_asof(t):
     FROM attributed a LEFT JOIN deploys d ON d.deploy_id = a.suspected_deploy_id""")
 def alert_deploy_join(t):
     return attribution.alert_deploy_join(t.attributed, t.deploys).select(
-        "endpoint_id", "signal_type", "opened_at", "suspected_deploy", F.bround("score", 2).alias("score")
+        "endpoint_id", "signal_type", "opened_at", "suspected_deploy", half_even("score", 2).alias("score")
     )
 
 
@@ -683,10 +662,14 @@ def rank_candidates(t):
     )
 
 
-@query("ks_cdf", ("spans",), f"""
-    WITH g AS (SELECT latency_ms AS v, count(*) FILTER (service = 'orders') AS a, count(*) FILTER (service = 'payments') AS b FROM spans GROUP BY 1)
+BLOCKS["ks_counts"] = (("spans",), """
+    SELECT latency_ms AS v, count(*) FILTER (service = 'orders') AS a, count(*) FILTER (service = 'payments') AS b
+    FROM spans GROUP BY 1""")
+
+
+@query("ks_cdf", ("ks_counts",), f"""
     SELECT {num('max(abs(ca / ta - cb / tb))', 'ks')}, CAST(max(ta) AS BIGINT) AS n_a, CAST(max(tb) AS BIGINT) AS n_b
-    FROM (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM g)""")
+    FROM (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM ks_counts)""")
 def ks_cdf(t):
     from ..operators.model_ops import ks_statistic
 
