@@ -8,30 +8,21 @@ from pyspark.sql import functions as F
 from .scalars import col
 
 
-def sorted_percentile(sorted_array, q: float) -> Column:
-    """Linear-interpolated percentile of an ascending array; null for an empty one."""
-    a = col(sorted_array)
-    n = F.size(a)
-    pos = (n - 1) * F.lit(float(q))
-    lo = F.floor(pos).cast("int")
-    hi = F.ceil(pos).cast("int")
-    low, high = F.get(a, lo), F.get(a, hi)
-    return F.when(n > 0, low + (high - low) * (pos - lo))
-
-
-def pairwise_slopes(series) -> Column:
-    """Ascending slopes (y_j - y_i) / (j - i) over all pairs i < j of a short array."""
-    y = col(series)
-    last = F.size(y) - 1
-
-    def from_point(i):
-        return F.transform(
-            F.sequence(i + 1, last),
-            lambda j: (F.get(y, j) - F.get(y, i)) / (j - i).cast("double"),
-        )
-
-    slopes = F.flatten(F.transform(F.sequence(F.lit(0), last - 1), from_point))
-    return F.when(F.size(y) >= 2, F.sort_array(slopes)).otherwise(F.array().cast("array<double>"))
+def sorted_percentile(sorted_array: str, q: float) -> Column:
+    """Linear-interpolated percentile of an ascending array column; null for an empty one."""
+    a, pos = sorted_array, f"((size({sorted_array}) - 1) * {float(q)}D)"
+    lo, hi = f"get({a}, int(floor({pos})))", f"get({a}, int(ceil({pos})))"
+    return F.expr(f"CASE WHEN size({a}) > 0 THEN {lo} + ({hi} - {lo}) * ({pos} - floor({pos})) END")
+
+
+def pairwise_slopes(series: str) -> Column:
+    """Ascending slopes (y_j - y_i) / (j - i) over all pairs i < j of a short array column."""
+    y = series
+    one = f"transform(sequence(i + 1, size({y}) - 1), j -> (get({y}, j) - get({y}, i)) / double(j - i))"
+    return F.expr(
+        f"CASE WHEN size({y}) >= 2 THEN sort_array(flatten(transform(sequence(0, size({y}) - 2), i -> {one}))) "
+        "ELSE cast(array() AS array<double>) END"
+    )
 
 
 def theil_sen(slopes, series, min_points: int) -> Column:

@@ -121,12 +121,14 @@ def with_baseline(
         .join(exact, ["endpoint_id", "dow", "hour_bucket"], "left")
         .join(fall, ["endpoint_id"], "left")
     )
+    bands = {}
     for m in metrics:
         levels = [F.col(f"_e_{m}"), F.col(f"_f_{m}")]
         if global_baseline is not None:
             # at most one row per metric: a scalar subquery
             one = global_baseline.where(F.col("metric") == m).select(F.struct(*BAND))
             levels.append(one.scalar())
-        out = out.withColumn(f"b_{m}", F.coalesce(*levels))
+        bands[f"b_{m}"] = F.coalesce(*levels)
+    out = out.withColumns(bands)
     helper = [c for c in out.columns if c[:3] in ("_e_", "_f_")]
     return out.drop(*helper, "dow", "hour_bucket")

@@ -24,14 +24,13 @@ def rolling(settings: Settings = PRODUCTION, key: str = "endpoint_id", time: str
 def rolling_window(rows: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
     """Add the finite p99 and rps series and the last finite value of each metric."""
     w = rolling(settings)
-    out = rows.withColumn("window_rows", F.count(F.lit(1)).over(w))
+    added = {"window_rows": F.count(F.lit(1)).over(w)}
     for m in ("p99_ms", "rps"):
-        out = out.withColumn(f"{m}_series", F.collect_list(finite_or_null(m)).over(w))
+        added[f"{m}_series"] = F.collect_list(finite_or_null(m)).over(w)
     for m in SERIES:
-        out = out.withColumn(
-            f"last_{m}", F.coalesce(F.last(finite_or_null(m), ignorenulls=True).over(w), F.lit(0.0))
-        )
-    return out
+        last = F.last(finite_or_null(m), ignorenulls=True).over(w)
+        added[f"last_{m}"] = F.coalesce(last, F.lit(0.0))
+    return rows.withColumns(added)
 
 
 def _positive(c: Column) -> Column:
@@ -58,15 +57,15 @@ def derived_features(rows: DataFrame, settings: Settings = PRODUCTION, extra: tu
     def deviation(metric: str) -> Column:
         return signed_deviation(f"last_{metric}", F.col(f"b_{metric}.p10"), F.col(f"b_{metric}.p90"))
 
-    out = (
-        out.withColumn("baseline_dev_p50", deviation("p50_ms"))
-        .withColumn("baseline_dev_p95", deviation("p95_ms"))
-        .withColumn("baseline_dev_p99", deviation("p99_ms"))
-        .withColumn("feature_error_rate_5xx", F.col("last_error_rate_5xx"))
-        .withColumn("latency_slope", raw_slope / slope_unit)
-        .withColumn("p99_over_p50", safe_ratio("last_p99_ms", "last_p50_ms"))
-        .withColumn("rps_delta", F.coalesce(rps_step / rps_unit, F.lit(0.0)))
-    )
+    out = out.withColumns({
+        "baseline_dev_p50": deviation("p50_ms"),
+        "baseline_dev_p95": deviation("p95_ms"),
+        "baseline_dev_p99": deviation("p99_ms"),
+        "feature_error_rate_5xx": F.col("last_error_rate_5xx"),
+        "latency_slope": raw_slope / slope_unit,
+        "p99_over_p50": safe_ratio("last_p99_ms", "last_p50_ms"),
+        "rps_delta": F.coalesce(rps_step / rps_unit, F.lit(0.0)),
+    })
     for name in extra:
         out = out.withColumn(
             f"last_{name}", F.coalesce(F.last(finite_or_null(name), ignorenulls=True).over(w), F.lit(0.0))

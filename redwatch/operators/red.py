@@ -22,29 +22,27 @@ QUANTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
 
 def bucket_aggs(latency: str = "latency_ms", bounds: Sequence[float] = LATENCY_BOUNDS_MS) -> list[Column]:
     """Cumulative bucket counters le_0 .. le_n; mergeable, so spans combine before the shuffle."""
-    aggs = [F.count_if(F.col(latency) <= b).alias(f"le_{i}") for i, b in enumerate(bounds)]
+    aggs = [F.expr(f"count_if({latency} <= {b}D)").alias(f"le_{i}") for i, b in enumerate(bounds)]
     aggs.append(F.count(latency).alias(f"le_{len(bounds)}"))
     return aggs
 
 
-def quantile_from_buckets(q: float, cumulative: Sequence[Column], bounds: Sequence[float]) -> Column:
-    """Quantile of cumulative bucket counts with linear interpolation inside the bucket.
+def quantile_from_buckets(q: float, bounds: Sequence[float], prefix: str = "le_") -> Column:
+    """Quantile of the cumulative bucket counts with linear interpolation inside the bucket.
 
     The first bucket starts at zero, the open last bucket answers with the last finite bound and
     an empty histogram gives NaN.
     """
-    total = cumulative[-1].cast("double")
-    rank = total * F.lit(q)
-    out = F.when(total.isNull() | (total == 0), F.lit(float("nan")))
+    total = f"double({prefix}{len(bounds)})"
+    rank = f"({total} * {q}D)"
+    cases = [f"WHEN {total} IS NULL OR {total} = 0 THEN double('NaN')"]
     for i, upper in enumerate(bounds):
-        lower = bounds[i - 1] if i else 0.0
-        below = cumulative[i - 1].cast("double") if i else F.lit(0.0)
-        inside = cumulative[i].cast("double") - below
-        out = out.when(
-            cumulative[i] >= rank,
-            F.lit(lower) + F.lit(upper - lower) * ((rank - below) / inside),
+        lower, below = (bounds[i - 1], f"{prefix}{i - 1}") if i else (0.0, "0")
+        cases.append(
+            f"WHEN {prefix}{i} >= {rank} THEN {lower}D + {upper - lower}D * "
+            f"(({rank} - {below}) / double({prefix}{i} - {below}))"
         )
-    return out.otherwise(F.lit(float(bounds[-1])))
+    return F.expr(f"CASE {' '.join(cases)} ELSE {float(bounds[-1])}D END")
 
 
 def span_histogram(
@@ -176,9 +174,8 @@ def red_aggs(rate_seconds: int) -> list[Column]:
 
 def red_projection() -> list[Column]:
     """Feature columns from the counters of ``red_aggs``."""
-    cumulative = [F.col(f"le_{i}") for i in range(len(LATENCY_BOUNDS_MS) + 1)]
     return [
-        *[quantile_from_buckets(q, cumulative, LATENCY_BOUNDS_MS).alias(n) for n, q in QUANTILES.items()],
+        *[quantile_from_buckets(q, LATENCY_BOUNDS_MS).alias(n) for n, q in QUANTILES.items()],
         F.coalesce(100.0 * F.col("n5") / F.nullif(F.col("calls"), F.lit(0)), F.lit(0.0)).alias("error_rate_5xx"),
         F.coalesce(100.0 * F.col("n4") / F.nullif(F.col("calls"), F.lit(0)), F.lit(0.0)).alias("error_rate_4xx"),
     ]

@@ -26,21 +26,19 @@ def layer_scores(rows: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
     low = finite_or_null(F.col("b_p99_ms.p10"))
     high = finite_or_null(F.col("b_p99_ms.p90"))
     p99, slo = F.col("p99_ms"), F.col("slo_p99_ms")
-    return (
-        rows.withColumn("p10", low)
-        .withColumn("expected", finite_or_null(F.col("b_p99_ms.p50")))
-        .withColumn("p90", high)
-        .withColumn("direction", direction_of(p99, low, high))
-        .withColumn("static_breach", p99 > slo)
-        .withColumn(
-            "static_norm",
-            F.when(p99 > slo, F.least(F.lit(1.0), (p99 - slo) / (slo + 1e-6))).otherwise(0.0),
-        )
-        .withColumn(
-            "baseline_norm",
-            F.least(F.lit(1.0), one_sided_deviation(p99, low, high) / F.lit(settings.deviation_scale)),
-        )
-    )
+    return rows.withColumns({
+        "p10": low,
+        "expected": finite_or_null(F.col("b_p99_ms.p50")),
+        "p90": high,
+        "direction": direction_of(p99, low, high),
+        "static_breach": p99 > slo,
+        "static_norm": F.when(
+            p99 > slo, F.least(F.lit(1.0), (p99 - slo) / (slo + 1e-6))
+        ).otherwise(0.0),
+        "baseline_norm": F.least(
+            F.lit(1.0), one_sided_deviation(p99, low, high) / F.lit(settings.deviation_scale)
+        ),
+    })
 
 
 def combine(rows: DataFrame, settings: Settings = PRODUCTION, ml: str | None = "ml_norm") -> DataFrame:
