@@ -43,9 +43,18 @@ def derived_features(rows: DataFrame, settings: Settings = PRODUCTION, extra: tu
 
     ``extra`` names optional saturation columns; they are added as ``last_<name>``.
     """
-    w = rolling(settings)
     out = rolling_window(rows, settings)
-    out = out.withColumn("p99_slopes", pairwise_slopes("p99_ms_series"))
+    w = rolling(settings)
+    for name in extra:
+        last = F.last(finite_or_null(name), ignorenulls=True).over(w)
+        out = out.withColumn(f"last_{name}", F.coalesce(last, F.lit(0.0)))
+    return from_window(out, settings)
+
+
+def from_window(rows: DataFrame, settings: Settings = PRODUCTION) -> DataFrame:
+    """Model features from the columns of ``rolling_window``; no window of its own, so it also
+    runs on a stream."""
+    out = rows.withColumn("p99_slopes", pairwise_slopes("p99_ms_series"))
     raw_slope = theil_sen("p99_slopes", "p99_ms_series", settings.min_window)
     slope_unit = F.coalesce(_positive(F.col("b_p99_ms.p50")), _positive(F.col("last_p50_ms")), F.lit(1.0))
     rps = F.col("rps_series")
@@ -57,7 +66,7 @@ def derived_features(rows: DataFrame, settings: Settings = PRODUCTION, extra: tu
     def deviation(metric: str) -> Column:
         return signed_deviation(f"last_{metric}", F.col(f"b_{metric}.p10"), F.col(f"b_{metric}.p90"))
 
-    out = out.withColumns({
+    return out.withColumns({
         "baseline_dev_p50": deviation("p50_ms"),
         "baseline_dev_p95": deviation("p95_ms"),
         "baseline_dev_p99": deviation("p99_ms"),
@@ -66,11 +75,6 @@ def derived_features(rows: DataFrame, settings: Settings = PRODUCTION, extra: tu
         "p99_over_p50": safe_ratio("last_p99_ms", "last_p50_ms"),
         "rps_delta": F.coalesce(rps_step / rps_unit, F.lit(0.0)),
     })
-    for name in extra:
-        out = out.withColumn(
-            f"last_{name}", F.coalesce(F.last(finite_or_null(name), ignorenulls=True).over(w), F.lit(0.0))
-        )
-    return out
 
 
 def feature_columns(settings: Settings = PRODUCTION) -> list[str]:

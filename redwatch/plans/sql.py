@@ -24,7 +24,7 @@ def _quantile(q: float) -> str:
         lo = LATENCY_BOUNDS_MS[i - 1] if i else 0.0
         below = f"le_{i - 1}" if i else "0"
         parts.append(
-            f"WHEN le_{i} >= calls * {q} THEN {lo} + {b - lo} * ((calls * {q} - {below}) / CAST(le_{i} - {below} AS DOUBLE))"
+            f"WHEN le_{i} >= calls * {q}e0 THEN {lo} + {b - lo} * ((calls * {q}e0 - {below}) / CAST(le_{i} - {below} AS DOUBLE))"
         )
     return " ".join(parts) + f" ELSE {LATENCY_BOUNDS_MS[-1]} END"
 
