@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..config import ACTION_TERMS, HEDGE_TERMS, PRODUCTION, Settings
-from ..functions.scalars import clean_round, plus_seconds
+from ..functions.scalars import clean_round, half_even, plus_seconds
 from .joins import interval_join
 
 # --------------------------------------------------------------------------- context
@@ -28,8 +29,6 @@ def recent_history(
         alerts.select("alert_id", "endpoint_id", onset), past, onset, "_at", "_to", ["endpoint_id"],
         "inner", settings.history_hours * 3600,
     )
-    from pyspark.sql import Window as W
-
     newest = W.partitionBy("alert_id").orderBy(F.desc("_at"), F.col("_h.signal_type"))
     kept = pairs.withColumn("_n", F.row_number().over(newest)).where(
         F.col("_n") <= settings.history_limit
@@ -88,7 +87,7 @@ def prompt_text(context: str = "context") -> Column:
 
 
 def _number(c: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f", c)
+    return F.format_string(f"%.{digits}f", half_even(c, digits))
 
 
 def template_summary(c: str = "context") -> Column:
@@ -315,8 +314,8 @@ def notification_text(rows: DataFrame) -> DataFrame:
     has = set(rows.columns)
     value, null = F.col("raw_value"), F.lit(None).cast("string")
     detail = F.when(
-        F.col("signal_type") == "p99_ms", F.concat(F.lit("p99 "), F.format_string("%.0f", value), F.lit(" ms"))
-    ).otherwise(F.concat(F.lit("error rate "), F.format_string("%.1f", value), F.lit(" %")))
+        F.col("signal_type") == "p99_ms", F.concat(F.lit("p99 "), _number(value, 0), F.lit(" ms"))
+    ).otherwise(F.concat(F.lit("error rate "), _number(value, 1), F.lit(" %")))
     lines = [
         F.concat(F.lit("FIRING ["), F.upper("severity"), F.lit("]")),
         F.concat(F.lit("Endpoint: "), F.col("endpoint_id")),
@@ -333,14 +332,14 @@ def notification_text(rows: DataFrame) -> DataFrame:
             F.lit("Suspected cause: "), F.col("suspected_fault"),
             F.lit(" (score "), _number(F.col("imputation_score")), F.lit(")"))).otherwise(null))
     if "ttd" in has:
-        whole = lambda c: F.format_string("%.0f", c)
+        whole = lambda c: _number(c, 0)
         bounds = F.when(
             F.col("ttd.ttd_low").isNotNull() & F.col("ttd.ttd_high").isNotNull(),
             F.concat(F.lit(" ["), whole(F.col("ttd.ttd_low")), F.lit("-"), whole(F.col("ttd.ttd_high")), F.lit("]")),
         ).otherwise("")
         lines.append(F.when(F.col("ttd").isNotNull() & ~F.col("ttd.already_breaching"), F.concat(
             F.lit("Trend: limit reached in about "), whole(F.col("ttd.ttd_minutes")), F.lit(" min"), bounds,
-            F.lit(", +"), F.format_string("%.1f", F.col("ttd.slope_ms_per_min")),
+            F.lit(", +"), _number(F.col("ttd.slope_ms_per_min"), 1),
             F.lit(" ms/min (extrapolated)"))).otherwise(null))
     if "explanation" in has:
         source = F.when(F.col("explanation.fallback"), "template").otherwise("model")

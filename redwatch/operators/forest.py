@@ -117,7 +117,11 @@ def train_forest(
 
 
 class Forest:
-    """Scoring form of a node table, shipped to the workers once."""
+    """Scoring form of a node table, shipped to the workers once.
+
+    The scoring functions are declared non-deterministic only so that the optimizer neither
+    repeats them nor moves them into filters; their results depend on the features alone.
+    """
 
     def __init__(self, spark: SparkSession, nodes: DataFrame, subsample: int):
         table = nodes.orderBy("tree", "node").toPandas()
@@ -148,7 +152,7 @@ class Forest:
             x = np.column_stack([c.to_numpy(float) for c in cols])
             return pd.Series(_score(x, *shipped.value))
 
-        return forest_score(*features)
+        return forest_score.asNondeterministic()(*features)
 
     def ablation(self, features: list[Column], medians: list[float]) -> Column:
         """Score drop when each feature is set to its median, as array in feature order."""
@@ -166,7 +170,7 @@ class Forest:
                 drops[:, j] = base - _score(y, *shipped.value)
             return pd.Series(list(drops))
 
-        return forest_drops(*features)
+        return forest_drops.asNondeterministic()(*features)
 
 
 def _score(x: np.ndarray, trees: list[tuple], norm: float) -> np.ndarray:

@@ -75,6 +75,19 @@ class Telemetry:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
         self.settings = SETTINGS
         self.as_of = at(AS_OF)
+        self._paths: list[str] = []
+
+    def _stored(self, df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        self._paths += out.inputFiles()[:1]
+        return out
+
+    def alive(self) -> bool:
+        """Whether the written stage tables still exist."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        paths = [jvm.org.apache.hadoop.fs.Path(p) for p in self._paths]
+        return all(p.getFileSystem(conf).exists(p) for p in paths)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -90,7 +103,7 @@ class Telemetry:
     @cached_property
     def features(self) -> DataFrame:
         """The feature table: written once, then read by every later step."""
-        return stored(red_features(self.spans, self.settings), "features")
+        return self._stored(red_features(self.spans, self.settings), "features")
 
     @cached_property
     def injections(self) -> DataFrame:
@@ -120,12 +133,12 @@ class Telemetry:
 
     @cached_property
     def baseline(self) -> DataFrame:
-        return stored(seasonal_baseline(self.features, self.injections, self.as_of, self.settings), "baseline")
+        return self._stored(seasonal_baseline(self.features, self.injections, self.as_of, self.settings), "baseline")
 
     @cached_property
     def scored(self) -> DataFrame:
         """All cycles scored by limits and band (no model)."""
-        return stored(
+        return self._stored(
             scored_history(self.features, self.baseline, self.slos, None, self.settings, complete_only=False),
             "scored",
         )
@@ -142,7 +155,7 @@ class Telemetry:
 
     @cached_property
     def log(self) -> DataFrame:
-        return stored(alert_log(signals(self.scored), self.settings), "log")
+        return self._stored(alert_log(signals(self.scored), self.settings), "log")
 
     @cached_property
     def episodes(self) -> DataFrame:
@@ -154,6 +167,22 @@ class Telemetry:
         return deploy_attribution(faults, self.deploys, self.settings)
 
 
+_OPEN: dict[tuple[str, str], Telemetry] = {}
+
+
+def telemetry(spark: SparkSession, sf_dir: str) -> Telemetry:
+    """Telemetry of a folder whose stage tables are shared by the queries of one session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPEN or not _OPEN[key].alive():
+        _OPEN[key] = Telemetry(spark, sf_dir)
+    return _OPEN[key]
+
+
+def forget() -> None:
+    """Make the next query build all stage tables again."""
+    _OPEN.clear()
+
+
 def spans_from(events: DataFrame) -> DataFrame:
     """Spans from events: endpoint by user, status by type and value, latency from the value."""
     pick = (F.col("user_id") % len(ENDPOINTS)).cast("int")

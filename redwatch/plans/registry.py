@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fixture import Telemetry
+from .fixture import Telemetry, telemetry
 from .sql import with_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +40,7 @@ def query(key: str, blocks: tuple[str, ...] | None = None, sql: str | None = Non
             raise ValueError(f"duplicate query {key}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return comparable(fn(Telemetry(spark, sf_dir)))
+            return comparable(fn(telemetry(spark, sf_dir)))
 
         QUERIES[key] = run
         if sql is not None:

@@ -237,8 +237,8 @@ BLOCKS["file_alerts"] = (("attributed", "file_spans", "injections"), """
 BLOCKS["reports"] = (("file_alerts", "file_spans", "injections"), """
     SELECT s.source_file, count(*) FILTER (hit) > 0 AS seen, count(*) FILTER (NOT hit AND NOT coalesce(sibling, false)) AS fp,
            (epoch(any_value(s.until_)) - epoch(any_value(s.since))) / 3600.0 AS duration_hours,
-           min(epoch(opened_at) - epoch(injected_at)) AS delay,
-           coalesce(arg_min(right_, opened_at) FILTER (hit), false) AS first_right, any_value(i.scenario_id) = 'bad_deploy' AS deploy
+           min(epoch(a.opened_at) - epoch(a.injected_at)) AS delay,
+           coalesce(arg_min(right_, a.opened_at) FILTER (hit), false) AS first_right, any_value(i.scenario_id) = 'bad_deploy' AS deploy
     FROM file_spans s JOIN injections i USING (source_file) LEFT JOIN (SELECT * EXCLUDE (scenario_id) FROM file_alerts) a USING (source_file) GROUP BY 1""")
 
 
@@ -395,12 +395,32 @@ def iforest_train(t):
     return _fitted(t).nodes
 
 
+@query("iforest_train_shape", ("matrix",), """
+    SELECT range AS tree, least(256, (SELECT count(*) FROM matrix)) AS leaf_rows, true AS is_binary, true AS within_depth FROM range(50)""")
+def iforest_train_shape(t):
+    leaf = F.col("is_leaf")
+    return _fitted(t).nodes.groupBy("tree").agg(
+        F.sum(F.when(leaf, F.col("size")).otherwise(0)).alias("leaf_rows"),
+        (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("is_binary"),
+        (F.max("depth") <= 8).alias("within_depth"),
+    )
+
+
 @query("iforest_score")
 def iforest_score(t):
     rows = model_ops.feature_matrix(t.features, t.baseline, t.settings)
     return model_ops.layer_ml(rows, _fitted(t), t.settings).select("endpoint_id", "time", "raw_ml", "ml_norm")
 
 
+@query("iforest_score_range", ("derived_usable",), f"""
+    SELECT endpoint_id, {stamp('time')}, true AS raw_in_range, true AS norm_in_range FROM derived_usable WHERE window_rows >= 3""")
+def iforest_score_range(t):
+    rows = model_ops.feature_matrix(t.features, t.baseline, t.settings)
+    s = model_ops.layer_ml(rows, _fitted(t), t.settings)
+    inside = (F.col("raw_ml") > 0) & (F.col("raw_ml") < 1)
+    return s.select("endpoint_id", "time", inside.alias("raw_in_range"), F.col("ml_norm").between(0, 1).alias("norm_in_range"))
+
+
 @query("layer_ml")
 def layer_ml(t):
     s = model_ops.scored_history(t.features, t.baseline, t.slos, _fitted(t), t.settings)
@@ -417,21 +437,22 @@ def ablation_attribution(t):
     )
 
 
-@query("model_meta")
+@query("model_meta", ("matrix",), f"""
+    SELECT count(*) AS n_samples, least(256, count(*)) AS subsample, 50 AS trees, {num('0.02', 'contamination')}, 10 AS window_size FROM matrix""")
 def model_meta(t):
-    return _fitted(t).meta.drop("feature_names", "feature_medians")
+    return _fitted(t).meta.select("n_samples", "subsample", "trees", "contamination", "window_size")
 
 
-@query("model_store")
+@query("model_store", ("matrix",), """
+    SELECT 'v1' AS promoted, 'v2' AS newest, count(*) AS n_samples FROM matrix""")
 def model_store_query(t):
     store = model_store.ModelStore(t.spark, tables.fresh_path(t.spark, "models"))
     m = _fitted(t)
     store.save(m.nodes, m.meta, "v1", True, AS_OF)
-    store.save(m.nodes, m.meta.withColumn("version", F.lit("v2")), "v2", False, AS_OF)
-    return t.spark.sql("SELECT 1 AS one").select(
-        F.lit(store.latest_version()).alias("promoted"),
-        F.lit(m.nodes.count()).alias("nodes"),
-    )
+    later = m.meta.withColumn("version", F.lit("v2")).withColumn("trained_at", F.col("trained_at") + F.expr("INTERVAL 1 DAY"))
+    store.save(m.nodes, later, "v2", False, AS_OF)
+    latest, previous = store.load_latest(), store.load_previous()
+    return m.meta.select(F.lit(latest.version).alias("promoted"), F.lit(previous.version).alias("newest"), "n_samples")
 
 
 @query("reference_window")
