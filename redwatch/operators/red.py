@@ -14,6 +14,7 @@ from ..functions.scalars import cycle_start, is_finite, plus_seconds, status_cla
 
 SERVER = "SPAN_KIND_SERVER"
 DIMENSIONS = ("endpoint_id", "service", "service_tier")
+EXACT_BINS = 64  # per factor e of latency: some hundred bins per endpoint and cycle
 QUANTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
 
 
@@ -214,7 +215,7 @@ def red_features_exact(
         F.count_if(status_class("status_code", 5)).alias("n5"),
         F.count_if(status_class("status_code", 4)).alias("n4"),
     )
-    quant = exact_quantiles(work, keys, "latency_ms", QUANTILES)
+    quant = exact_quantiles(work, keys, "latency_ms", QUANTILES, per_e_fold=EXACT_BINS)
     return counters.join(quant, keys, "left").select(
         "time",
         *dims,
