@@ -215,7 +215,7 @@ def response_validate(rows: DataFrame, text: str = "response") -> DataFrame:
             F.struct(
                 F.trim("_raw.summary").alias("summary"),
                 F.trim("_raw.suspected_cause").alias("suspected_cause"),
-                F.transform("_checks", F.trim).alias("checks"),
+                F.transform("_checks", lambda c: F.trim(c)).alias("checks"),
                 F.lit(False).alias("fallback"),
             ),
         ),

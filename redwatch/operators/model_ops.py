@@ -147,8 +147,12 @@ def ks_statistic(a: DataFrame, b: DataFrame, value_a: str, value_b: str) -> Data
     both = a.select(F.col(value_a).alias("v"), F.lit(1).alias("ia"), F.lit(0).alias("ib")).unionByName(
         b.select(F.col(value_b).alias("v"), F.lit(0).alias("ia"), F.lit(1).alias("ib"))
     )
-    counts = both.where(F.col("v").isNotNull()).groupBy("v").agg(
-        F.sum("ia").alias("na"), F.sum("ib").alias("nb")
+    # written once: the inputs may be costly to score and the counts are read several times
+    counts = stored(
+        both.where(F.col("v").isNotNull()).groupBy("v").agg(
+            F.sum("ia").alias("na"), F.sum("ib").alias("nb")
+        ),
+        "value-counts",
     )
     total = counts.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     cum = running_totals(

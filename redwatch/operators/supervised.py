@@ -110,7 +110,7 @@ def forest_scores(train: DataFrame, test: DataFrame, settings: Settings = PRODUC
     nodes = stored(train_forest(train, n, settings), "nodes")
     forest = Forest(train.sparkSession, nodes, min(settings.subsample, n))
     cols = [F.get("features", F.lit(i)) for i in range(len(settings.features))]
-    scored = train.select(forest.score(cols).alias("raw"))
+    scored = stored(train.select(forest.score(cols).alias("raw")), "raw")
     cut = exact_quantiles(scored, [], "raw", {"cut": 1.0 - settings.contamination}).first()["cut"]
     return test.withColumn("score", forest.score(cols)).withColumn(
         "pred", (F.col("score") > cut).cast("int")
