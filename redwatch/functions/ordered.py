@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import stored
 from .scalars import col
 
 BINS_PER_E_FOLD = 256
@@ -34,16 +35,23 @@ def running_totals(
     keys: Sequence[str],
     order: str,
     sums: dict[str, Column],
-    bin_expr: Column,
+    bin_expr: Column | None,
     with_ties: bool = True,
 ) -> DataFrame:
     """Add cumulative sums in ascending ``order`` (ties included, as a RANGE frame).
 
-    ``bin_expr`` must be monotone in ``order``.  ``with_ties=False`` gives a ROWS frame for a
+    ``bin_expr`` must be monotone in ``order``.  Without it the bins are range partitions cut by
+    Spark from a sample, which also splits crowded stretches of the order; they are written once
+    so that a repeated task sees the same bins.  ``with_ties=False`` gives a ROWS frame for a
     unique order.
     """
     keys = list(keys)
-    work = df.withColumn("_bin", bin_expr)
+    if bin_expr is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = df.repartitionByRange(parts, *keys, order)
+        work = stored(ranged.withColumn("_bin", F.spark_partition_id()), "ranged")
+    else:
+        work = df.withColumn("_bin", bin_expr)
     for name, expr in sums.items():
         work = work.withColumn(f"_in_{name}", expr)
     before = (

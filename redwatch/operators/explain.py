@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..config import ACTION_TERMS, HEDGE_TERMS, PRODUCTION, Settings
 from ..functions.scalars import clean_round, half_even, plus_seconds
-from .joins import interval_join
+from .joins import asof_latest
 
 # --------------------------------------------------------------------------- context
 
@@ -18,22 +18,28 @@ def recent_history(
 ) -> DataFrame:
     """Newest alerts of the same endpoint in the hours up to each alert, as a short array.
 
-    A per-alert ranked pick keeps at most ``history_limit`` rows before anything is collected.
+    Past alerts are numbered per endpoint; the newest number at the onset comes from an as-of join
+    and the few numbers below it from an equi-join, so alerts are never paired with all others.
     """
+    seconds = settings.history_hours * 3600
+    order = W.partitionBy("endpoint_id").orderBy("opened_at", F.desc("signal_type"))
     past = episodes.select(
-        "endpoint_id", F.col("opened_at").alias("_at"),
-        plus_seconds("opened_at", settings.history_hours * 3600).alias("_to"),
+        "endpoint_id",
+        F.col("opened_at").alias("_at"),
+        F.row_number().over(order).alias("_pos"),
         F.struct("signal_type", "state", "opened_at", "severity", "suspected_fault").alias("_h"),
     )
-    pairs = interval_join(
-        alerts.select("alert_id", "endpoint_id", onset), past, onset, "_at", "_to", ["endpoint_id"],
-        "inner", settings.history_hours * 3600,
+    latest = asof_latest(
+        alerts.select("alert_id", "endpoint_id", F.col(onset).alias("_onset")), past.drop("_h"),
+        "_onset", "_at", ["endpoint_id"], seconds, ["_pos"],
+    ).where(F.col("_pos").isNotNull())
+    wanted = latest.withColumn(
+        "_pos", F.explode(F.sequence(F.col("_pos"), F.greatest(F.col("_pos") - settings.history_limit + 1, F.lit(1)), F.lit(-1)))
     )
-    newest = W.partitionBy("alert_id").orderBy(F.desc("_at"), F.col("_h.signal_type"))
-    kept = pairs.withColumn("_n", F.row_number().over(newest)).where(
-        F.col("_n") <= settings.history_limit
+    kept = wanted.join(past, ["endpoint_id", "_pos"]).where(
+        F.col("_at") >= plus_seconds("_onset", -seconds)
     )
-    item = F.struct(F.col("_n"), F.col("_h"))
+    item = F.struct((-F.col("_pos")).alias("_n"), F.col("_h"))
     lists = kept.groupBy("alert_id").agg(
         F.transform(F.sort_array(F.collect_list(item)), lambda x: x["_h"]).alias("recent_history")
     )

@@ -186,7 +186,7 @@ def neighbour_scores(
     )
     out = asof_latest(
         left, right, "detected_at", "_seen", ["endpoint_id"], settings.neighbour_lookback_seconds,
-        left.columns, ["anomaly_score", "direction"], strict=True,
+        ["anomaly_score", "direction"], strict=True,
     )
     return out.withColumn("status", status_of_direction("direction"))
 

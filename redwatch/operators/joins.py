@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.scalars import plus_seconds
 
@@ -67,7 +68,6 @@ def asof_latest(
     right_time: str,
     keys: Sequence[str],
     tolerance_seconds: int,
-    left_id: Sequence[str],
     values: Sequence[str],
     strict: bool = False,
     bucket_seconds: int | None = None,
@@ -75,19 +75,38 @@ def asof_latest(
     """For each left row the ``values`` of the newest right row within the tolerance before it.
 
     ``strict`` leaves out a right row at the very same time.  Values are null without a match.
-    The best row is picked by a mergeable ``max_by``, so a busy key needs no sort.
+
+    Both sides are interleaved in time order and the newest right row is carried forward, so no
+    pairs are formed.  Time is cut into buckets of one tolerance; a right row also enters the next
+    bucket, hence a bucket knows all rows it may need and a busy key spreads over its buckets.
     """
-    bucket = bucket_seconds or max(int(tolerance_seconds), 1)
-    spans = right.select(
+    size = bucket_seconds or max(int(tolerance_seconds), 1)
+    if size < tolerance_seconds:
+        raise ValueError("buckets must be at least as long as the tolerance")
+    # at equal times a left row comes after right rows, or before them when strict
+    left_side = F.lit(-1 if strict else 1)
+    l = left.select(
+        *keys,
+        _bucket(F.col(left_time), size).alias("_b"),
+        F.col(left_time).alias("_t"),
+        left_side.alias("_side"),
+        F.struct(*left.columns).alias("_row"),
+    )
+    r = right.select(
         *keys,
-        F.col(right_time).alias("_from"),
-        plus_seconds(right_time, tolerance_seconds).alias("_to"),
-        F.struct(*values).alias("_val"),
+        F.explode(F.array(_bucket(F.col(right_time), size), _bucket(F.col(right_time), size) + 1)).alias("_b"),
+        F.col(right_time).alias("_t"),
+        F.lit(0).alias("_side"),
+        F.struct(F.col(right_time).alias("_from"), *values).alias("_val"),
+    )
+    upto = (
+        W.partitionBy(*keys, "_b").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    hits = interval_join(
-        left, spans, left_time, "_from", "_to", keys, "inner", bucket, open_start=strict
+    mixed = l.unionByName(r, allowMissingColumns=True).withColumn(
+        "_best", F.last("_val", ignorenulls=True).over(upto)
     )
-    best = hits.groupBy(*left_id).agg(F.max_by("_val", F.col("_from")).alias("_val"))
-    return left.join(best, list(left_id), "left").select(
-        *left.columns, *[F.col(f"_val.{v}").alias(v) for v in values]
+    near = F.col("_best._from") >= plus_seconds("_t", -tolerance_seconds)
+    return mixed.where(F.col("_row").isNotNull()).select(
+        *[F.col(f"_row.{c}").alias(c) for c in left.columns],
+        *[F.when(near, F.col(f"_best.{v}")).alias(v) for v in values],
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PRODUCTION, Settings
-from ..functions.ordered import exact_quantiles, running_totals, time_bin, value_bin
+from ..functions.ordered import exact_quantiles, running_totals, value_bin
 from ..functions.scalars import plus_seconds
 from ..sources.tables import stored
 from .forest import Forest, train_forest
@@ -36,13 +36,11 @@ def label_windows(
 
 
 def temporal_split(
-    rows: DataFrame, time: str = "time", tie: Sequence[str] = ("endpoint_id",), bin_seconds: int = 3600
+    rows: DataFrame, time: str = "time", tie: Sequence[str] = ("endpoint_id",)
 ) -> DataFrame:
     """Add ``split``: the first half of all rows in time order is train, the rest test."""
     work = rows.withColumn("_order", F.struct(time, *tie))
-    work = running_totals(
-        work, [], "_order", {"_pos": F.lit(1)}, time_bin(time, bin_seconds), with_ties=False
-    )
+    work = running_totals(work, [], "_order", {"_pos": F.lit(1)}, None, with_ties=False)
     half = rows.select(F.floor(F.count(F.lit(1)) / 2)).scalar()
     return work.withColumn("split", F.when(F.col("_pos") <= half, "train").otherwise("test")).drop("_order", "_pos")
 

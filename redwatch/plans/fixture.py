@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,7 +60,7 @@ DEPLOY_ROWS = [
 
 
 def ts(text: str) -> datetime:
-    return datetime.strptime(text, "%Y-%m-%d %H:%M")
+    return datetime.strptime(text, "%Y-%m-%d %H:%M").replace(tzinfo=timezone.utc)
 
 
 def at(moment: datetime) -> Column:

@@ -15,6 +15,7 @@ from ..functions.scalars import (
 )
 from ..operators import alerts, attribution, baseline, evaluation, features, graph, red, scoring, selfobs
 from ..operators.joins import asof_latest, interval_join
+from ..schemas import FEATURES as FEATURES_DDL
 from ..sources import ground_truth, tables, telemetry
 from .fixture import BUCKET, HOUR, INJECTION_ROWS, at
 from .registry import query
@@ -324,7 +325,11 @@ def finite_filter(t):
 @query("lookback_filter", ("features",), f"""
     SELECT endpoint_id, {stamp('time')}, {num('p99_ms')} FROM features WHERE time >= TIMESTAMP '2024-01-17'""")
 def lookback_filter(t):
-    return baseline.lookback(t.features, t.as_of, 14).select("endpoint_id", "time", "p99_ms")
+    # from the date-partitioned table, so that older partitions are not read at all
+    path = tables.fresh_path(t.spark, "features")
+    tables.write_features(t.features, path)
+    recent = tables.read_range(t.spark, path, FEATURES_DDL, "time", datetime(2024, 1, 17))
+    return baseline.lookback(recent, t.as_of, 14).select("endpoint_id", "time", "p99_ms")
 
 
 @query("span_filter", ("features", "injections"), f"""

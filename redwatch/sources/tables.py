@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,5 +182,19 @@ def read_spans(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.schema(SPANS).format(fmt).load(path)
 
 
+def read_range(
+    spark: SparkSession, path: str, schema: str, time: str, since: datetime, until: datetime | None = None
+) -> DataFrame:
+    """Rows of a date-partitioned table in a time range.
+
+    The range is also given on ``date``, so whole partitions are pruned before the scan.
+    """
+    rows = spark.read.schema(f"{schema}, date date").parquet(path)
+    rows = rows.where((F.col("date") >= F.lit(since.date())) & (F.col(time) >= F.lit(since)))
+    if until is not None:
+        rows = rows.where((F.col("date") <= F.lit(until.date())) & (F.col(time) <= F.lit(until)))
+    return rows.drop("date")
+
+
 def stream_spans(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     return spark.readStream.schema(SPANS).format(fmt).options(**options).load(path)

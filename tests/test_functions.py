@@ -146,7 +146,7 @@ def test_asof_equals_brute_force(spark, minute, strict):
     right = [(f"k{k}", minute(m), float(j)) for j, (k, m) in enumerate(taken)]
     l = spark.createDataFrame(left, "i int, k string, t timestamp")
     r = spark.createDataFrame(right, "k string, at timestamp, v double")
-    got = {x["i"]: x["v"] for x in asof_latest(l, r, "t", "at", ["k"], 600, ["i"], ["v"], strict).collect()}
+    got = {x["i"]: x["v"] for x in asof_latest(l, r, "t", "at", ["k"], 600, ["v"], strict).collect()}
     for i, k, t in left:
         fits = [(at, v) for q, at, v in right if q == k and 0 <= (t - at).total_seconds() <= 600 and not (strict and at == t)]
         assert got[i] == (max(fits)[1] if fits else None)

@@ -3,8 +3,8 @@ import pytest
 
 from compare import connect, same
 
-FOLDER = "/root/testdata/sf0.001"
-# queries that are quick on the smallest data; tests/compare.py runs all of them
+FOLDER = "/root/testdata/sf0.01"
+# a quick selection; tests/compare.py runs all of them
 KEYS = (
     "red_features", "red_features_exact", "histogram_quantile", "counter_rate", "seasonal_baseline", "baseline_global",
     "baseline_lookup", "score_replay", "alert_state_machine", "alert_episodes", "fault_attribution", "detection_stats",

@@ -50,6 +50,10 @@ def test_feature_sink_and_retention(spark, tmp_path):
     assert tables.expired_partitions(path, spark, now) == ["date=2024-01-01"]
     assert tables.drop_expired(path, spark, now) == ["date=2024-01-01"] and tables.expired_partitions(path, spark, now) == []
     assert spark.read.parquet(path).count() == 2
+    recent = tables.read_range(spark, path, "time timestamp, p99_ms double", "time", T0 + timedelta(days=99))
+    assert [r["p99_ms"] for r in recent.collect()] == [3.0]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "PushedFilters: [IsNotNull(time), GreaterThanOrEqual(time" in plan
 
 
 def test_baseline_upsert_and_versions(spark, tmp_path):
