@@ -114,6 +114,7 @@ class Settings:
     fire_after: int = 3
     resolve_after: int = 3
     compat_resolving: bool = False
+    clear_threshold: float | None = None  # below fire_threshold: an open alert holds down to it
     offline_fire_after: int = 2
 
     # attribution

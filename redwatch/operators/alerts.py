@@ -21,12 +21,16 @@ KEY = ("endpoint_id", "signal_type")
 RUN = 64
 
 
-def machine(settings: Settings = PRODUCTION) -> list[tuple[str, int, int, int]]:
-    """States in order, as (name, counter, next on clean, next on anomaly).
+CLEAN, BAD, BETWEEN = 0, 1, 2
+
+
+def machine(settings: Settings = PRODUCTION) -> list[tuple[str, int, int, int, int]]:
+    """States in order, as (name, counter, next on clean, next on anomaly, next in between).
 
     ``fire_after`` anomalous cycles in a row open an alert and ``resolve_after`` clean ones close
     it.  With ``compat_resolving`` an anomaly in the last resolving step closes the alert too,
-    instead of going back to firing.
+    instead of going back to firing.  A cycle between the clear and the fire threshold is clean
+    for a closed alert and anomalous for an open one.
     """
     pend = max(settings.fire_after - 1, 0)
     res = max(settings.resolve_after - 1, 0)
@@ -39,15 +43,21 @@ def machine(settings: Settings = PRODUCTION) -> list[tuple[str, int, int, int]]:
         on_clean = 0 if i == res else firing + i + 1
         on_bad = 0 if (settings.compat_resolving and i == res) else firing
         states.append(("resolving", i, on_clean, on_bad))
-    return states
+    return [(n, c, clean, bad, clean if n in ("ok", "pending") else bad) for n, c, clean, bad in states]
+
+
+def symbol(settings: Settings = PRODUCTION, flag: str = "anomaly") -> Column:
+    """Input of the machine for a cycle; the in-between level exists for latency scores only."""
+    bad = F.coalesce(F.col(flag), F.lit(False))
+    if settings.clear_threshold is None:
+        return F.when(bad, BAD).otherwise(CLEAN)
+    held = (F.col("signal_type") == "p99_ms") & (F.col("level") >= settings.clear_threshold)
+    return F.when(bad, BAD).when(held, BETWEEN).otherwise(CLEAN)
 
 
 def _step(states) -> Column:
-    """Array [on clean, on anomaly] of next-state arrays."""
-    return F.array(
-        F.array(*[F.lit(s[2]) for s in states]),
-        F.array(*[F.lit(s[3]) for s in states]),
-    )
+    """Next-state arrays by input: clean, anomaly, in between."""
+    return F.array(*[F.array(*[F.lit(s[2 + i]) for s in states]) for i in (CLEAN, BAD, BETWEEN)])
 
 
 def _compose(first: Column, then: Column) -> Column:
@@ -71,7 +81,7 @@ def fold_states(
     seq = F.row_number().over(W.partitionBy(*key).orderBy(time))
     numbered = rows.withColumn("_run", F.floor((seq - 1) / RUN).cast("int"))
     item = F.struct(
-        F.col(time).alias("_t"), F.col(flag).cast("int").alias("_a"),
+        F.col(time).alias("_t"), symbol(settings, flag).alias("_a"),
         F.struct(*[c for c in rows.columns if c not in key]).alias("_row"),
     )
     runs = numbered.groupBy(*key, "_run").agg(F.sort_array(F.collect_list(item)).alias("_items"))

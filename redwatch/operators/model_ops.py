@@ -102,6 +102,20 @@ def from_store(spark: SparkSession, model: Model) -> Trained:
     )
 
 
+class CurrentModel:
+    """The promoted model, loaded again only when the pointer has moved."""
+
+    def __init__(self, store: ModelStore):
+        self.store, self._version, self._model = store, None, None
+
+    def get(self) -> Trained | None:
+        version = self.store.latest_version()
+        if version != self._version:
+            self._model = from_store(self.store.spark, self.store.load_latest())
+            self._version = version
+        return self._model
+
+
 def layer_ml(rows: DataFrame, model: Trained, settings: Settings = PRODUCTION) -> DataFrame:
     """Add ``raw_ml`` and the calibrated ``ml_norm``; short windows score 0."""
     cols = [F.col(c) for c in feature_columns(settings)]

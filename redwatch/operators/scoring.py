@@ -158,7 +158,10 @@ def anomaly_rows(scored: DataFrame, doc: Column | None = None) -> DataFrame:
 
 
 def signals(scored: DataFrame) -> DataFrame:
-    """Two alert signals per scored cycle: latency and 5xx rate."""
+    """Two alert signals per scored cycle: latency and 5xx rate.
+
+    ``score`` is 0 for a clean cycle, ``level`` is the value that was compared in any case.
+    """
     err, slo = F.col("error_rate_5xx"), F.col("slo_error_rate_5xx")
     bad = F.coalesce(err > slo, F.lit(False))
     latency = F.struct(
@@ -168,6 +171,7 @@ def signals(scored: DataFrame) -> DataFrame:
         F.when(F.col("anomaly"), F.col("combined")).otherwise(0.0).alias("score"),
         F.col("p99_ms").alias("raw_value"),
         F.col("layer").alias("layer"),
+        F.col("combined").alias("level"),
     )
     errors = F.struct(
         F.lit("error_rate_5xx").alias("signal_type"),
@@ -176,6 +180,7 @@ def signals(scored: DataFrame) -> DataFrame:
         F.when(bad, (err - slo) / (slo + 1e-6)).otherwise(0.0).alias("score"),
         err.alias("raw_value"),
         F.when(bad, "static").alias("layer"),
+        F.coalesce((err - slo) / (slo + 1e-6), F.lit(0.0)).alias("level"),
     )
     return scored.select("endpoint_id", "service", "time", F.inline(F.array(latency, errors)))
 

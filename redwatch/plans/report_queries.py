@@ -512,6 +512,12 @@ def _norms(t):
     return rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut)
 
 
+@query("ks_statistic", ("drift_cdf",), f"SELECT {num('ks')} FROM drift_cdf")
+def ks_statistic(t):
+    ref, live = _norms(t)
+    return model_ops.ks_statistic(ref, live, "ml_norm", "ml_norm").select("ks")
+
+
 @query("drift_summary", ("norms",), f"""
     SELECT count(*) {LIVE} AS n_live, {num("avg(ml_norm) FILTER (ts < TIMESTAMP '2024-01-15')", 'ref_mean')}, {num(f'avg(ml_norm) {LIVE}', 'live_mean')},
            {num(f'quantile_cont(ml_norm, 0.95) {LIVE}', 'live_p95')}, {num(f'avg(CAST(ml_norm >= 0.5 AS DOUBLE)) {LIVE}', 'live_anomaly_rate')} FROM norms""")

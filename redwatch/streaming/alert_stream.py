@@ -11,8 +11,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import PRODUCTION, Settings
-from ..operators.alerts import machine
-from ..operators.features import SERIES
+from ..operators.alerts import BAD, BETWEEN, CLEAN, machine
+from ..operators.baseline import with_baseline
+from ..operators.features import SERIES, from_window
+from ..operators.model_ops import Trained, layer_ml
+from ..operators.scoring import combine, layer_scores, with_slos
 from ..sources.tables import checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -92,6 +95,27 @@ def rolling_window_stream(features: DataFrame, settings: Settings = PRODUCTION)
     )
 
 
+def score_stream(
+    features: DataFrame, baseline: DataFrame, slos: DataFrame, model: Trained | None = None,
+    settings: Settings = PRODUCTION,
+) -> DataFrame:
+    """Scored cycles of a stream of features: stateful windows, then stateless expressions.
+
+    Baseline and limits are static tables; a restarted query (or ``foreachBatch`` with
+    ``CurrentModel``) takes up a newer model.
+    """
+    rows = with_baseline(rolling_window_stream(features, settings), baseline)
+    rows = layer_scores(with_slos(from_window(rows, settings), slos), settings)
+    if model is not None:
+        rows = layer_ml(rows, model, settings)
+    return combine(rows, settings, "ml_norm" if model is not None else None)
+
+
+def batch_durations(query) -> list[tuple[int, float]]:
+    """(batch id, seconds) of the recent micro-batches of a streaming query."""
+    return [(p["batchId"], p["batchDuration"] / 1000.0) for p in query.recentProgress]
+
+
 LOG_SCHEMA = (
     "endpoint_id string, signal_type string, service string, time timestamp, anomaly boolean, "
     "severity string, score double, raw_value double, layer string, prev_state string, "
@@ -110,6 +134,7 @@ class AlertMachine(StatefulProcessor):
 
     def __init__(self, settings: Settings, stale_after: int | None = None):
         self.states = machine(settings)
+        self.clear = settings.clear_threshold
         self.stale_after = stale_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -118,8 +143,14 @@ class AlertMachine(StatefulProcessor):
             "alert", "code int, last_us bigint, began bigint, fired bigint, closed bigint, service string"
         )
 
+    def _symbol(self, signal: str, row: dict) -> int:
+        if bool(row["anomaly"]):
+            return BAD
+        held = self.clear is not None and signal == "p99_ms" and row["level"] >= self.clear
+        return BETWEEN if held else CLEAN
+
     def _row(self, key, us, before, code, began, fired, closed, values):
-        prev, (state, count, _, _) = self.states[before][0], self.states[code]
+        prev, (state, count, *_) = self.states[before][0], self.states[code]
         return [
             key[0], key[1], values["service"], _stamp(us), values["anomaly"], values["severity"],
             values["score"], values["raw_value"], values["layer"], prev, state,
@@ -129,8 +160,8 @@ class AlertMachine(StatefulProcessor):
             _stamp(closed if state == "ok" else None), _stamp(began),
         ]
 
-    def _move(self, before, bad, us, began, fired, closed):
-        code = self.states[before][3 if bad else 2]
+    def _move(self, before, symbol, us, began, fired, closed):
+        code = self.states[before][2 + symbol]
         was, now = self.states[before][0], self.states[code][0]
         if was == "ok" and now != "ok":
             began = us
@@ -147,7 +178,9 @@ class AlertMachine(StatefulProcessor):
         out = []
         for row in _in_order(rows, "time", last).to_dict("records"):
             before, last, service = code, row["_us"], row["service"]
-            code, began, fired, closed = self._move(before, bool(row["anomaly"]), last, began, fired, closed)
+            code, began, fired, closed = self._move(
+                before, self._symbol(key[1], row), last, began, fired, closed
+            )
             out.append(self._row(key, last, before, code, began, fired, closed, {c: row[c] for c in INPUT}))
         if out:
             self.state.update((code, last, began, fired, closed, service))

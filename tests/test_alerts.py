@@ -10,7 +10,7 @@ from redwatch.operators import alerts
 from redwatch.sources.tables import fresh_path
 from redwatch.streaming import alert_stream, red_stream
 
-SIG = "endpoint_id string, signal_type string, service string, time timestamp, anomaly boolean, severity string, score double, raw_value double, layer string"
+SIG = "endpoint_id string, signal_type string, service string, time timestamp, anomaly boolean, severity string, score double, raw_value double, layer string, level double"
 
 
 def replay(flags, fire=2, resolve=2, compat=False):
@@ -44,7 +44,7 @@ def replay(flags, fire=2, resolve=2, compat=False):
 
 def signal_rows(minute, flags, endpoint="e"):
     return [
-        (endpoint, "p99_ms", "s", minute(i), bool(b), "critical" if b and i % 5 == 0 else ("warning" if b else None), float(i % 7) if b else 0.0, 1.0, "static" if b else None)
+        (endpoint, "p99_ms", "s", minute(i), bool(b), "critical" if b and i % 5 == 0 else ("warning" if b else None), float(i % 7) if b else 0.0, 1.0, "static" if b else None, float(i % 7) if b else 0.0)
         for i, b in enumerate(flags)
     ]
 
@@ -145,7 +145,7 @@ def test_stream_equals_batch_over_many_batches(spark, minute, series):
 def test_stale_signal_is_closed_by_a_timer(spark, minute):
     path = fresh_path(spark, "stale")
     spark.createDataFrame(signal_rows(minute, [1, 1, 1], "gone"), SIG).coalesce(1).write.mode("append").parquet(path)
-    later = [("alive", "p99_ms", "s", minute(60 + i), False, None, 0.0, 1.0, None) for i in range(2)]
+    later = [("alive", "p99_ms", "s", minute(60 + i), False, None, 0.0, 1.0, None, 0.0) for i in range(2)]
     spark.createDataFrame(later, SIG).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(SIG).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("time", "1 minute")
     out = red_stream.run_to_table(alert_stream.alert_stream(stream, stale_after=300), fresh_path(spark, "log"), fresh_path(spark, "cp"))
@@ -153,6 +153,21 @@ def test_stale_signal_is_closed_by_a_timer(spark, minute):
     assert last["state"] == "ok" and last["time"] == minute(2) + timedelta(seconds=300)
 
 
+def test_clear_threshold_holds_an_open_alert(spark, minute):
+    # levels: fire at 0.6, hold at 0.3
+    levels = [0.4, 0.7, 0.7, 0.7, 0.4, 0.1, 0.4, 0.1, 0.1, 0.1, 0.4]
+    rows = [("e", "p99_ms", "s", minute(i), v >= 0.6, None, v, 1.0, None, v) for i, v in enumerate(levels)]
+    df = spark.createDataFrame(rows, SIG)
+    s = replace(PRODUCTION, clear_threshold=0.3)
+    want = ["ok", "pending", "pending", "firing", "firing", "resolving", "firing", "resolving", "resolving", "ok", "ok"]
+    assert [r["state"] for r in alerts.alert_log(df, s).orderBy("time").collect()] == want
+    path = fresh_path(spark, "hold")
+    df.write.parquet(path)
+    stream = alert_stream.alert_stream(spark.readStream.schema(SIG).parquet(path), s)
+    out = red_stream.run_to_table(stream, fresh_path(spark, "log"), fresh_path(spark, "cp"))
+    assert [r["state"] for r in out.orderBy("time").collect()] == want
+
+
 def test_published_current_table_is_repeatable(spark, minute):
     log = alerts.alert_log(spark.createDataFrame(signal_rows(minute, [1, 1, 1, 0, 0, 0]), SIG))
     root = fresh_path(spark, "current")

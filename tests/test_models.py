@@ -101,7 +101,9 @@ def test_store_gates_and_reference(spark, matrix, model):
     store.save(model.nodes, model.meta, "20240101_000000", False, T0)
     assert store.load_latest() is None and store.load_previous().version == "20240101_000000"
     store.save(model.nodes, model.meta.withColumn("version", F.lit("b")), "b", True, T0)
-    old = model_ops.from_store(spark, store.load_latest())
+    current = model_ops.CurrentModel(store)
+    old = current.get()
+    assert current.get() is old and old.medians == pytest.approx(model.medians)
     assert model_ops.sanity_gate(model, None, ref, SMALL) == (True, None)
     ok, ks = model_ops.sanity_gate(model, old, ref, SMALL)
     assert ok and ks == 0.0
