@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import datetime, timezone
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,10 +59,6 @@ DEPLOY_ROWS = [
 ]
 
 
-def ts(text: str) -> datetime:
-    return datetime.strptime(text, "%Y-%m-%d %H:%M").replace(tzinfo=timezone.utc)
-
-
 def at(moment: datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp")
 
@@ -105,31 +101,44 @@ class Telemetry:
         """The feature table: written once, then read by every later step."""
         return self._stored(red_features(self.spans, self.settings), "features")
 
+    def _values(self, rows: list[tuple], schema: str) -> DataFrame:
+        """Constant rows as a relation of known size, so joins can weigh it without a hint."""
+
+        def literal(v) -> str:
+            if v is None:
+                return "NULL"
+            return "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else repr(v)
+
+        fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+        names = ", ".join(n for n, _ in fields)
+        body = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
+        casts = ", ".join(f"CAST({n} AS {kind}) AS {n}" for n, kind in fields)
+        return self.spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({names})")
+
     @cached_property
     def injections(self) -> DataFrame:
-        rows = [(a, b, c, d, ts(e), ts(f), g) for a, b, c, d, e, f, g in INJECTION_ROWS]
-        return self.spark.createDataFrame(
-            rows,
+        return self._values(
+            INJECTION_ROWS,
             "scenario_id string, fault_type string, target_service string, target_endpoint string, "
             "injected_at timestamp, cleared_at timestamp, source_file string",
         )
 
     @cached_property
     def deploys(self) -> DataFrame:
-        return self.spark.createDataFrame([(a, b, c, ts(d), None) for a, b, c, d in DEPLOY_ROWS], DEPLOYS)
+        return self._values([(*r, None) for r in DEPLOY_ROWS], DEPLOYS)
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.spark.createDataFrame(list(CALL_EDGES), EDGES)
+        return self._values(list(CALL_EDGES), EDGES)
 
     @cached_property
     def slos(self) -> DataFrame:
-        return self.spark.createDataFrame(list(ENDPOINT_SLOS), SLOS)
+        return self._values(list(ENDPOINT_SLOS), SLOS)
 
     @cached_property
     def endpoints(self) -> DataFrame:
         rows = [(f"{m} {r}", s, t) for m, r, s, t in ENDPOINTS]
-        return self.spark.createDataFrame(rows, "endpoint_id string, service string, service_tier string")
+        return self._values(rows, "endpoint_id string, service string, service_tier string")
 
     @cached_property
     def baseline(self) -> DataFrame:
