@@ -86,26 +86,24 @@ def topology_load(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def cyclic_core(edges: DataFrame, every: int = 4) -> DataFrame:
-    """Edges left after peeling endpoints without callers or without callees, again and again.
+    """Edges left after peeling calls to endpoints that call nobody, again and again.
 
-    An acyclic graph peels away in as many rounds as its longest path.  Each round is two
-    semi-joins; rounds are cut by checkpoints in the shared folder.
+    An acyclic graph peels away completely, in as many steps as its longest path; what is left
+    lies on cycles or leads to one.  A step is one semi-join; every few steps the result is cut by
+    a checkpoint in the shared folder.
     """
-    core = edges.select("parent_endpoint_id", "child_endpoint_id").distinct()
-    core = checkpointed(core)
+    core = checkpointed(edges.select("parent_endpoint_id", "child_endpoint_id").distinct())
     size = core.count()
     while size:
         for _ in range(every):
-            callers = core.select(F.col("parent_endpoint_id").alias("child_endpoint_id")).distinct()
+            callers = core.select(F.col("parent_endpoint_id").alias("child_endpoint_id"))
             core = core.join(callers, "child_endpoint_id", "left_semi")
-            called = core.select(F.col("child_endpoint_id").alias("parent_endpoint_id")).distinct()
-            core = core.join(called, "parent_endpoint_id", "left_semi")
         core = checkpointed(core)
         left = core.count()
         if left == size:
             break
         size = left
-    return core.select("parent_endpoint_id", "child_endpoint_id")
+    return core
 
 
 def topology_check(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -117,21 +115,22 @@ def topology_check(existing: DataFrame, new: DataFrame) -> DataFrame:
     loops = new.where(F.col(key[0]) == F.col(key[1])).select(*key).distinct()
     proper = new.where(F.col(key[0]) != F.col(key[1])).select(*key).distinct()
     known = existing.select(*key).where(F.col(key[0]) != F.col(key[1]))
-    core = checkpointed(cyclic_core(known.unionByName(proper)))
+    core = cyclic_core(known.unionByName(proper))
     hop = core.select(F.col(key[0]).alias("_at"), F.col(key[1]).alias("_to"))
     # walk from the child of each suspicious new edge; reached pairs are kept once
     suspects = checkpointed(proper.join(core, key, "left_semi"))
-    reached = checkpointed(
+    frontier = checkpointed(
         suspects.select(F.col(key[1]).alias("origin"), F.col(key[1]).alias("_at")).distinct()
     )
-    frontier = reached
+    reached, level = frontier, 0
     while not frontier.isEmpty():
-        step = (
+        frontier = checkpointed(
             frontier.join(hop, "_at").select("origin", F.col("_to").alias("_at")).distinct()
             .join(reached, ["origin", "_at"], "left_anti")
         )
-        frontier = checkpointed(step)
-        reached = checkpointed(reached.unionByName(frontier))
+        reached, level = reached.unionByName(frontier), level + 1
+        if level % 8 == 0:  # keep the union of levels short
+            reached = checkpointed(reached)
     closing = suspects.join(
         reached.select(F.col("origin").alias(key[1]), F.col("_at").alias(key[0])), key, "left_semi"
     )
