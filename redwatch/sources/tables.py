@@ -15,10 +15,16 @@ from ..schemas import SPANS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the session's setting, a temporary one only if unset."""
+    """Shared folder for checkpoints and stage tables, as the session names it.
+
+    Only where driver and executors share one process (``local[...]``) may the setting be missing;
+    then a temporary folder serves. On a cluster that would scatter files, so it is an error.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="redwatch-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
