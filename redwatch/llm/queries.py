@@ -40,3 +40,17 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filters
 
     return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+@register
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash_dedup
+
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@register
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup
+
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 13)
