@@ -54,3 +54,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring_dedup
 
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 13)
+
+
+@register
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("language", "char_distance", "word_distance")
