@@ -62,6 +62,23 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
+def window_hashes(words: Column, window: int) -> Column:
+    """Hashes of all windows of ``window`` words, from hashes of half the length joined in pairs."""
+
+    def joined(left: Column, right: Column, shift: int, count: Column) -> Column:
+        return F.zip_with(F.slice(left, F.lit(1), count), F.slice(right, F.lit(shift + 1), count), lambda a, b: F.xxhash64(a, b))
+
+    def build(ones: Column, length: int, then: Callable[[Column], Column]) -> Column:
+        if length == 1:
+            return then(ones)
+        count = F.greatest(F.size(ones) - (length - 1), F.lit(0))
+        if length % 2:
+            return build(ones, length - 1, lambda h: let(joined(h, ones, length - 1, count), then))
+        return build(ones, length // 2, lambda h: let(joined(h, h, length // 2, count), then))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda ones: build(ones, window, lambda h: h))
+
+
 def repeated_words(words: Column, window: int) -> Column:
     """Words inside a window of ``window`` words that occurs twice or more among ``words``."""
 
@@ -75,12 +92,8 @@ def repeated_words(words: Column, window: int) -> Column:
         reach = let(places, lambda p: F.transform(p, lambda i, j: F.least(F.lit(window), F.coalesce(F.get(p, j + 1) - i, F.lit(window))).cast("long")))
         return total(reach)
 
-    def hashed(w: Column) -> Column:
-        starts = F.when(F.size(w) >= window, F.sequence(F.lit(0), F.size(w) - window)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(window)]))
-
     return let(
-        let(words, hashed),
+        window_hashes(words, window),
         lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")),
     )
 
@@ -111,8 +124,11 @@ def common_counts(words: Column, language: Column) -> Column:
 
 def most_likely(words: Column) -> Column:
     """The reference language with most common words in the text; ties by name."""
-    hits = [F.struct(F.size(F.filter(words, lambda w, f=_forms(lang): w.isin(f))).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, lang in enumerate(sorted(COMMON_WORDS))]
-    return F.greatest(*hits)["lang"]
+    def hits(lang: str) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(_forms(lang))))
+
+    ranked = [F.struct(hits(lang).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, lang in enumerate(sorted(COMMON_WORDS))]
+    return F.greatest(*ranked)["lang"]
 
 
 def measures(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:

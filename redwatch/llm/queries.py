@@ -61,3 +61,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules
 
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("language", "char_distance", "word_distance")
+
+
+@register
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding_dedup
+
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
