@@ -68,3 +68,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embedding_dedup
 
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@register
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), 4096)
