@@ -75,3 +75,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
     return packing.pack_documents(table(spark, sf_dir, "documents"), 4096)
+
+
+@register
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sentencepiece_codec
+
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), with_ids=False)
