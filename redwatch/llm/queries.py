@@ -16,6 +16,12 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+def _line_oracle() -> str:
+    from . import line_dedup
+
+    return line_dedup.oracle()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -82,3 +88,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sentencepiece_codec
 
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@register
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_deleted", F.md5(F.encode("text", "UTF-8")).alias("kept_md5"))
+
+
+ORACLES["op1_line_dedup"] = _line_oracle()
