@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,13 @@ class Stages:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, release: bool = False) -> DataFrame:
+        """Write and read back. With ``release`` the shuffle files behind the table go at once, not at the driver's next collection."""
         path = fresh_path(self.spark, self.name)
         df.write.parquet(path)
+        if release:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

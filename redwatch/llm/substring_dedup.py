@@ -6,7 +6,8 @@ documents is the window of full length formed and compared; with 13 words the le
 union of repeated windows, so further levels would remove no other word.
 
 The first level sends about two of nine positions, not every window; hot windows are reduced to their smallest document before
-the shuffle. Windows are compared by 128-bit hashes of their words' 64-bit hashes.
+the shuffle. Windows are compared by 96 bits of hash of their words' 64-bit hashes. A
+text that an earlier document has as well is marked by its digest and sends no windows.
 """
 
 from __future__ import annotations
@@ -122,18 +123,19 @@ def _second_level(length: int):
                         keep[cut[r] : cut[r + 1]] = np.isin(found[cut[r] : cut[r + 1]], wanted)
                     at, text = at[keep], text[keep]
                     one, two = windows(hashes, length, 1)[at], windows(hashes, length, 2)[at]
-                    text, both = _distinct_windows(text, one, two)
-                    yield from _pairs(["h1", "h2", "doc_id"], [both[0].view(np.int64), both[1].view(np.int64), ids[first + text]])
+                    text, one, two = _distinct_windows(text, one, two.astype(np.uint32))
+                    yield from _pairs(["h1", "h2", "doc_id"], [one.view(np.int64), two.view(np.int32), ids[first + text]])
 
     return run
 
 
-def _distinct_windows(text: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct_windows(text: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, one, two)."""
     order = np.lexsort((two, one, text))
     text, one, two = text[order], one[order], two[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    return text[new], np.stack([one[new], two[new]])
+    return text[new], one[new], two[new]
 
 
 def _last_level(length: int, with_text: bool):
@@ -148,21 +150,22 @@ def _last_level(length: int, with_text: bool):
 
 
 def _removed(part: pa.RecordBatch, length: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    texts, ones, twos = _texts(part.column("packed")), part.column("ones"), part.column("twos")
+    texts, lists, copies = _texts(part.column("packed")), part.column("hits"), part.column("copy").to_numpy(zero_copy_only=False)
     data, at = buffers(texts)
     for first, rows, hashes, bounds, starts, ends in words_of(texts):
         gone = np.zeros(len(hashes) + 1, np.int64)
         for r in range(rows):
             b, e = int(bounds[r]), int(bounds[r + 1])
-            if e - b < length or not ones[first + r].is_valid:
+            if e - b < length:
                 continue
-            wanted = set(zip(ones[first + r].values.to_numpy().tolist(), twos[first + r].values.to_numpy().tolist(), strict=True))
-            one = windows(hashes[b:e], length, 1).view(np.int64)
-            two = windows(hashes[b:e], length, 2).view(np.int64)
-            maybe = np.flatnonzero(np.isin(one, ones[first + r].values.to_numpy()))
-            hit = np.array([i for i in maybe if (int(one[i]), int(two[i])) in wanted], np.int64)
-            np.add.at(gone, b + hit, 1)
-            np.add.at(gone, b + hit + length, -1)
+            if copies[first + r]:
+                gone[b] += 1
+                gone[e] -= 1
+            elif lists[first + r].is_valid:
+                own = windows(hashes[b:e], length, 1).view(np.int64)
+                hit = b + np.flatnonzero(np.isin(own, lists[first + r].values.to_numpy()))
+                np.add.at(gone, hit, 1)
+                np.add.at(gone, hit + length, -1)
         covered = np.cumsum(gone[:-1]) > 0
         kept = ~covered
         begin, stop = int(at[first]), int(at[first + rows])
@@ -206,16 +209,25 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     stages = Stages(docs.sparkSession, "substring")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     named = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    # a text that an earlier document has as well goes whole and is nobody's source: the earlier one is
+    prints = named.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("print"))
+    sources = prints.groupBy("print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print", "low")
+    later = F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False))
+    copies = stages.put(prints.join(sources, "print", "left").groupBy("doc_id").agg(F.bool_and(later).alias("copy")).where("copy"))
     halves = named.mapInArrow(_first_level(length), "anchor long, doc_id long")
-    often = stages.put(halves.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"))
-    lists = stages.put(halves.join(often, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    often = halves.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    often = stages.put(often, release=True)
+    lists = halves.join(often, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    lists = stages.put(lists, release=True)
     stages.drop(often)
-    wide = packed(named).join(lists, "doc_id").mapInArrow(_second_level(length), "h1 long, h2 long, doc_id long")
-    wide = stages.put(wide)
+    wide = packed(named).join(lists.join(copies, "doc_id", "left_anti"), "doc_id").mapInArrow(_second_level(length), "h1 long, h2 int, doc_id long")
+    wide = stages.put(wide, release=True)
     stages.drop(lists)
     least = wide.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
-    later = wide.join(least, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
-    later = stages.put(later.select("doc_id", F.col("hits.h1").alias("ones"), F.col("hits.h2").alias("twos")))
+    hits = wide.join(least, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h1").alias("hits"))
+    hits = stages.put(hits, release=True)
     stages.drop(wide)
+    marks = hits.join(copies, "doc_id", "full")
+    marked = packed(texts).join(marks, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "")
-    return packed(texts).join(later, "doc_id", "left").mapInArrow(_last_level(length, with_text), kinds)
+    return marked.mapInArrow(_last_level(length, with_text), kinds)
