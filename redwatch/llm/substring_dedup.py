@@ -80,7 +80,8 @@ def _texts(column: pa.Array) -> pa.Array:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed text as ``packed``: what goes through a shuffle is less than half as large."""
+    """The columns with the compressed text, ``packed``, for ``text``: what goes through a shuffle is less than half as large."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = zstandard.ZstdCompressor(level=1, write_content_size=True)
@@ -88,9 +89,11 @@ def packed(docs: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 1024):
                 text = batch.column("text").slice(i, 1024)
                 blobs = [None if t is None else engine.compress(t) for t in text.cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1024), pa.array(blobs, pa.binary())], ["doc_id", "packed"])
+                own = [batch.column(c).slice(i, 1024) for c in others]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(blobs, pa.binary())], [*others, "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, packed binary")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
+    return docs.mapInArrow(run, f"{kinds}packed binary")
 
 
 def _parts(batch: pa.RecordBatch, size: int = 1 << 23) -> Iterator[tuple[int, int]]:
@@ -191,12 +194,13 @@ def _removed(part: pa.RecordBatch, length: int, with_text: bool) -> Iterator[pa.
             # untouched texts stay as they are
             whole = texts.slice(first, rows).to_pylist()
             out = [None if w is None else (w if not n else x).decode() for w, x, n in zip(whole, rest, n_removed, strict=True)]
-            columns, names = [*columns, pa.array(out, pa.string())], [*names, "text"]
+            columns, names = [*columns, pa.array(out, pa.string()), part.column("rest").slice(first, rows)], [*names, "text", "rest"]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and the remaining text, if ``with_text``) per document.
+    """doc_id, n_words, n_removed, kept_sha256 per document; with ``with_text`` also the remaining text and, as the struct
+    ``rest``, all columns but the text.
 
     A word goes if a window of ``length`` words over it has the same words as a window of a document with a smaller id. All
     windows are judged on the input. A null text counts as no words (digest of nothing; the text stays null); texts shorter than a
@@ -228,6 +232,11 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     hits = stages.put(hits, release=True)
     stages.drop(wide)
     marks = hits.join(copies, "doc_id", "full")
+    if with_text:
+        rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+        texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), rest.alias("rest"))
     marked = packed(texts).join(marks, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "")
+    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" 
+    if with_text:
+        kinds += f", text string, rest {texts.schema['rest'].dataType.simpleString()}"
     return marked.mapInArrow(_last_level(length, with_text), kinds)
