@@ -6,9 +6,9 @@ agree on a group of the first *and* on a group of the second collection; documen
 on one of the sides are dropped before any pair key is formed.
 
 Documents with equal shingle sets are one node. Within a bucket every node is compared with the smallest one only; links found
-so far make components, and only buckets that still hold different components are looked at again: small ones pair by pair
-across components, large ones by an exact prefix filter over their rarest shingles. So no link between candidates is lost
-and a group of near copies costs as many comparisons as it has members.
+so far make components. Buckets that still hold different components are looked at again: nodes with too many shingles of
+their own leave, the rest of each crowd is compared in blocks, those outside the largest component against all. So no
+link between candidates is lost, no list of pairs is formed, and most of a group of near copies costs one comparison each.
 """
 
 from __future__ import annotations
@@ -19,15 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .shared import Stages, components
 from .words import mix, window_starts, windows, words_of
 
 GROUPS = 9
 ROWS = 2
-#: Buckets with more nodes than this find their remaining pairs by the prefix filter.
-LARGE = 64
+#: Shingles on either side of a block of comparisons.
+BLOCK = 400_000
 
 _SEEDS = np.random.default_rng(20240301).integers(1, 2**63, 4096, dtype=np.uint64)
 
@@ -132,36 +131,76 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components among ``nodes`` (node, component, n) that share a shingle of their rarest ones.
-
-    Two sets with a Jaccard similarity of at least t share one of the n - ceil(t n) + 1 rarest shingles of each, for any
-    common order of the shingles; here the order is their frequency among ``nodes``.
-    """
+def promising(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``nodes`` (node, n) without those of which too few shingles occur in any other of them to reach ``percent``."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, blob in enumerate(batch.column("set")):
+            for node, blob in zip(batch.column("node").to_pylist(), batch.column("set"), strict=True):
                 h = np.frombuffer(blob.as_buffer(), np.int64)
-                own = [pa.array(np.repeat(batch.column(c)[i].as_py(), len(h))) for c in ("node", "component", "n")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(h)], ["node", "component", "n", "shingle"])
-
-    items = nodes.join(sets, "node").select("node", "component", "n", "set").mapInArrow(spread, "node long, component long, n long, shingle long")
-    often = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-    own = Window.partitionBy("node").orderBy("often", "shingle")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    rare = items.join(often, "shingle").withColumn("place", F.row_number().over(own)).where(F.col("place") <= prefix)
-    return across(rare.select(F.col("shingle").alias("key"), "node", "component", "n"), percent)
-
-
-def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of nodes of different components under one key, of sizes that can reach ``percent``."""
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    here = rows.join(mixed, "key", "left_semi")
-    x = here.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    y = here.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    fit = (F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return x.join(y, "key").where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h)], ["node", "shingle"])
+
+    items = nodes.join(sets, "node").select("node", "set").mapInArrow(spread, "node long, shingle long")
+    # a shingle that one node alone has lowers what that node can share: one row per such shingle, counted per node
+    alone = items.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("often")).where("often = 1")
+    lost = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    fit = 100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")
+    return nodes.join(lost, "node", "left").where(fit).select(*nodes.columns)
+
+
+def _block_links(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        stray = group.column("stray").to_numpy()
+        node, component, n = (group.column(c).to_numpy() for c in ("node", "component", "n"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
+        others = np.flatnonzero(~stray)
+        tokens, ids = np.unique(np.concatenate([sets[i] for i in others]), return_inverse=True)
+        starts = np.cumsum(n[others]) - n[others]
+        present = np.zeros(len(tokens), np.int32)
+        found = []
+        for x in np.flatnonzero(stray):
+            at = np.searchsorted(tokens, sets[x])
+            at = at[at < len(tokens)]
+            at = at[np.isin(tokens[at], sets[x], assume_unique=True)]
+            present[at] = 1
+            both = np.add.reduceat(present[ids], starts)
+            present[at] = 0
+            hit = (100 * both.astype(np.int64) >= percent * (n[x] + n[others] - both)) & (component[others] != component[x])
+            # one link into each component is enough
+            _, one = np.unique(component[others][hit], return_index=True)
+            found += [(node[x], y) for y in node[others][hit][one]]
+        table = np.array(found, np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], schema=schema)
+
+    return compare
+
+
+def crowd_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components that met in some bucket; ``cells`` is (key, node, n, component).
+
+    Nodes that met, directly or over others, are a crowd. The nodes outside a crowd's largest component are compared with
+    all of the crowd, in blocks of about ``BLOCK`` shingles a side, and one link into each other component is kept.
+    """
+    stages = Stages(cells.sparkSession, "crowd")
+    mixed = cells.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    here = cells.join(mixed, "key", "left_semi")
+    nodes = stages.put(here.select("node", "n", "component").distinct())
+    able = stages.put(promising(nodes, sets, percent))
+    left = here.join(able.select("node"), "node", "left_semi")
+    heads = left.groupBy("key").agg(F.min("node").alias("head"))
+    crowds = components(left.join(heads, "key").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    rows = stages.put(able.join(crowds.select("node", F.col("component").alias("crowd")), "node"))
+    stages.drop(nodes, able)
+    parts = rows.groupBy("crowd", "component").agg(F.sum("n").alias("n"))
+    sizes = parts.groupBy("crowd").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    blocks = sizes.select("crowd", F.col("top.component").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("mb"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("sb"))
+    placed = rows.join(blocks, "crowd").withColumn("h", F.xxhash64("node"))
+    every = placed.select("*", F.lit(False).alias("stray"), F.pmod("h", "mb").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s"))
+    strays = placed.where("component <> largest").select("*", F.lit(True).alias("stray"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod("h", "sb").cast("int").alias("s"))
+    both = every.unionByName(strays).select("crowd", "s", "m", "stray", "node", "component", "n").join(sets, "node")
+    return both.groupBy("crowd", "s", "m").applyInArrow(_block_links(percent), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -170,7 +209,6 @@ def near_duplicates(
     percent: int = 80,
     groups: int = GROUPS,
     rows: int = ROWS,
-    large: int = LARGE,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -206,17 +244,12 @@ def near_duplicates(
     stars = stages.put(buckets.where((F.col("head") < F.col("node")) & fit).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     links = stages.put(confirmed(stars, sets, percent))
     labels = components(links)
-    # buckets that still hold several components: every pair across them
-    named = buckets.join(labels, "node", "left").select("key", "node", "n", "size", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = stages.put(named.join(mixed, "key", "left_semi"))
-    pairs = across(open_.where(F.col("size") <= large), percent)
-    crowd = open_.where(F.col("size") > large).select("node", "component", "n").distinct()
-    more = pairs.unionByName(rare_pairs(crowd, sets, percent)).distinct().join(stars, ["a", "b"], "left_anti")
-    found = stages.put(confirmed(more, sets, percent))
+    # buckets that still hold several components
+    named = buckets.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = stages.put(crowd_links(named, sets, percent))
     if not found.isEmpty():
         labels = components(links.unionByName(found))
-    stages.drop(buckets, sets, stars, open_)
+    stages.drop(buckets, sets, stars)
     group = nodes.join(labels, "node", "left").select("n", "f1", "f2", "rows", "node", F.coalesce("component", "node").alias("component"))
     group = group.where("rows > 1 OR component <> node").select("n", "f1", "f2", "component")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
