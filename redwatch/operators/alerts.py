@@ -166,21 +166,34 @@ def alert_log(
 
 
 def current_alerts(log: DataFrame, key: Sequence[str] = KEY, time: str = "time") -> DataFrame:
-    """Newest state of every signal that ever left OK; a mergeable latest-by-key."""
+    """Newest state of every signal that ever left OK; a mergeable latest-by-key.
+
+    Score, raw value, severity and layer are those of the last anomalous cycle: clean cycles move the state on but do not
+    wipe what the alert was about.
+    """
+    evidence = ["score", "raw_value", "severity", "layer"]
     rest = [c for c in log.columns if c not in key]
     newest = F.max_by(F.struct(*rest), F.col(time))
+    bad = F.when(F.coalesce(F.col("anomaly"), F.lit(False)), F.col(time))
+    kept = F.coalesce(F.col("_e"), F.struct(*[F.col(f"_n.{c}").alias(c) for c in evidence]))
     return (
         log.groupBy(*key)
-        .agg(newest.alias("_n"), F.max("episode_start").alias("_seen"))
+        .agg(newest.alias("_n"), F.max_by(F.struct(*evidence), bad).alias("_e"), F.max("episode_start").alias("_seen"))
         .where(F.col("_seen").isNotNull())
-        .select(*key, "_n.*")
+        .select(*key, *[(kept[c] if c in evidence else F.col(f"_n.{c}")).alias(c) for c in rest])
         .withColumnRenamed(time, "updated_at")
     )
 
 
 def upsert_current(old: DataFrame, new: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """New rows replace old rows of the same signal."""
-    return old.join(new.select(*key), list(key), "left_anti").unionByName(new)
+    """New rows replace old rows of the same signal; one that saw no anomaly keeps what the old row says about it."""
+    evidence = ["score", "raw_value", "severity", "layer"]
+    before = old.select(*key, F.struct(*evidence).alias("_e"))
+    kept = F.when(F.col("severity").isNull(), F.col("_e"))
+    merged = new.join(before, list(key), "left").select(
+        *[(F.when(kept.isNotNull(), kept[c]).otherwise(F.col(c))).alias(c) if c in evidence else F.col(c) for c in new.columns]
+    )
+    return old.join(new.select(*key), list(key), "left_anti").unionByName(merged)
 
 
 def transitions(log: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ BAND = ("p10", "p50", "p90")
 
 
 def lookback(features: DataFrame, as_of: Column, days: int, time: str = "time") -> DataFrame:
-    return features.where(F.col(time) >= plus_seconds(as_of, -days * 86400))
+    """Rows of the ``days`` before ``as_of``; nothing from then on."""
+    return features.where((F.col(time) >= plus_seconds(as_of, -days * 86400)) & (F.col(time) < as_of))
 
 
 def exclude_injections(

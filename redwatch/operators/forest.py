@@ -22,7 +22,6 @@ from ..functions.ordered import exact_quantiles
 from ..schemas import TREE_NODES
 
 EULER_GAMMA = 0.5772156649015329
-SLACK = 4
 
 
 def expected_path(n):
@@ -38,24 +37,41 @@ def _unit_hash(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def _binomial_steps(n: int, p: float) -> list[float]:
+    """P(X < k) for k = 1, 2 ... n of a binomial variable, as far as it differs from one."""
+    if p >= 1.0:
+        return [0.0] * n
+    out, below = [], 0.0
+    for k in range(n):
+        log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+        below += math.exp(log)
+        if below >= 1.0 - 1e-15:
+            break
+        out.append(below)
+    return out or [1.0]
+
+
 def tree_samples(
     matrix: DataFrame, n_rows: int, settings: Settings = PRODUCTION, row_id: str = "row_id"
 ) -> DataFrame:
     """Assign rows to trees: ``subsample`` distinct rows per tree, chosen by hashes of the row id.
 
-    One hash per row first cuts the data to a few rows per wanted sample; only these are offered
-    to the trees.  The choice does not depend on the partitioning.
+    Every row is offered to every tree with the same chance, whatever the number of rows; a tree then takes the rows of smallest
+    hash. One hash per row draws from the binomial distribution how many trees it is offered to, and only rows offered to some
+    are hashed once more per tree. The choice does not depend on the partitioning.
     """
     per_tree = min(settings.subsample, n_rows)
-    keep = min(1.0, SLACK * settings.trees * per_tree / max(n_rows, 1))
-    offered = max(n_rows * keep, 1.0)
-    chance = min(1.0, (2.0 * per_tree + 64.0) / offered)
-    pool = matrix.where(_unit_hash(F.col(row_id), F.lit(settings.seed)) < keep)
-    trees = F.filter(
+    chance = min(1.0, (2.0 * per_tree + 64.0) / max(n_rows, 1))
+    below = _binomial_steps(settings.trees, chance)
+    u = _unit_hash(F.col(row_id), F.lit(settings.seed))
+    count = F.when(u >= below[0], F.size(F.filter(F.array(*[F.lit(x) for x in below]), lambda x: x <= u))).otherwise(0)
+    drawn = F.transform(
         F.sequence(F.lit(0), F.lit(settings.trees - 1)),
-        lambda t: _unit_hash(F.col(row_id), t, F.lit(settings.seed + 1)) < chance,
+        lambda t: F.struct(F.xxhash64(F.col(row_id), t, F.lit(settings.seed + 1)).alias("h"), t.alias("t")),
     )
-    offered_rows = pool.withColumn("tree", F.explode(trees)).withColumn(
+    trees = F.transform(F.slice(F.array_sort(drawn), F.lit(1), F.col("_count")), lambda x: x["t"])
+    pool = matrix.withColumn("_count", count).where(F.col("_count") > 0)
+    offered_rows = pool.withColumn("tree", F.explode(trees)).drop("_count").withColumn(
         "_h", F.xxhash64(F.col(row_id), F.col("tree"), F.lit(settings.seed + 2))
     )
     order = W.partitionBy("tree").orderBy("_h", row_id)
@@ -99,10 +115,12 @@ def train_forest(
 ) -> DataFrame:
     """Node table of a forest; ``matrix`` has a row id and the array ``features``."""
     limit = max(1, math.ceil(math.log2(max(2, min(settings.subsample, n_rows)))))
-    seed = settings.seed
+    seed, wanted = settings.seed, min(settings.subsample, n_rows)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
+        if len(pdf) < wanted:
+            raise ValueError(f"tree {tree} got {len(pdf)} of {wanted} rows")
         pdf = pdf.sort_values(row_id)
         x = np.stack(pdf["features"].to_numpy()).astype(float)
         out = pd.DataFrame(

@@ -35,17 +35,18 @@ def interval_join(
 ) -> DataFrame:
     """Join each point to the intervals that contain it (closed ends unless opened).
 
+    An interval without an end is still going on: it reaches to the last point.
+
     ``how`` is inner, left, left_semi or left_anti.  ``keys`` are equal-named columns of both
     sides; other column names must not collide.
     """
     keys = list(keys)
     p = points.withColumn("_b", _bucket(F.col(time), bucket_seconds))
-    i = intervals.withColumn(
-        "_b",
-        F.explode(
-            F.sequence(_bucket(F.col(start), bucket_seconds), _bucket(F.col(end), bucket_seconds))
-        ),
-    ).where(F.col(start) <= F.col(end))
+    going_on = F.greatest(F.col(start), points.select(F.max(time)).scalar())
+    i = intervals.withColumn("_until", F.coalesce(F.col(end), going_on)).where(F.col(start) <= F.col("_until"))
+    i = i.withColumn(
+        "_b", F.explode(F.sequence(_bucket(F.col(start), bucket_seconds), _bucket(F.col("_until"), bucket_seconds)))
+    )
     for k in keys:
         i = i.withColumnRenamed(k, f"_k_{k}")
     i = i.withColumnRenamed("_b", "_ib")
@@ -54,10 +55,11 @@ def interval_join(
         cond = cond & (F.col(k) == F.col(f"_k_{k}"))
     low = F.col(time) > F.col(start) if open_start else F.col(time) >= F.col(start)
     high = F.col(time) < F.col(end) if open_end else F.col(time) <= F.col(end)
+    high = F.col(end).isNull() | high
     out = p.join(i, cond & low & high, how)
     drop = ["_b"]
     if how not in ("left_semi", "left_anti"):
-        drop += ["_ib"] + [f"_k_{k}" for k in keys]
+        drop += ["_ib", "_until"] + [f"_k_{k}" for k in keys]
     return out.drop(*drop)
 
 

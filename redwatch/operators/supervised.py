@@ -36,7 +36,7 @@ def label_windows(
 
 
 def temporal_split(
-    rows: DataFrame, time: str = "time", tie: Sequence[str] = ("endpoint_id",)
+    rows: DataFrame, time: str = "time", tie: Sequence[str] = ("endpoint_id", "row_id")
 ) -> DataFrame:
     """Add ``split``: the first half of all rows in time order is train, the rest test."""
     work = rows.withColumn("_order", F.struct(time, *tie))

@@ -239,19 +239,20 @@ def rolling_window_stream(t):
 
 
 BLOCKS["hold_input"] = (("scored",), """
-    SELECT endpoint_id, time, CASE WHEN anomaly THEN 1 WHEN combined >= 0.2 THEN 2 ELSE 0 END AS a,
-           row_number() OVER (PARTITION BY endpoint_id ORDER BY time) AS seq FROM scored""")
+    SELECT *, row_number() OVER (PARTITION BY endpoint_id, signal_type ORDER BY time) AS seq FROM (
+      SELECT endpoint_id, 'p99_ms' AS signal_type, time, CASE WHEN anomaly THEN 1 WHEN combined >= 0.2 THEN 2 ELSE 0 END AS a FROM scored
+      UNION ALL SELECT endpoint_id, 'error_rate_5xx', time, CASE WHEN error_rate_5xx > slo_error_rate_5xx THEN 1 ELSE 0 END FROM scored)""")
 BLOCKS["gated_hold"] = (("hold_input",), """
-    SELECT endpoint_id, seq, time, 'ok' AS prev_state, CASE WHEN a = 1 THEN 'pending' ELSE 'ok' END AS state, 0 AS n FROM hold_input WHERE seq = 1
+    SELECT endpoint_id, signal_type, seq, time, 'ok' AS prev_state, CASE WHEN a = 1 THEN 'pending' ELSE 'ok' END AS state, 0 AS n FROM hold_input WHERE seq = 1
     UNION ALL
-    SELECT endpoint_id, seq, time, prev_state, state, CASE WHEN state = prev_state AND state IN ('pending', 'resolving') THEN n + 1
+    SELECT endpoint_id, signal_type, seq, time, prev_state, state, CASE WHEN state = prev_state AND state IN ('pending', 'resolving') THEN n + 1
            WHEN state = 'resolving' THEN 1 ELSE 0 END
-    FROM (SELECT i.endpoint_id, i.seq, i.time, g.state AS prev_state, g.n,
+    FROM (SELECT i.endpoint_id, i.signal_type, i.seq, i.time, g.state AS prev_state, g.n,
                  CASE g.state WHEN 'ok' THEN CASE WHEN a = 1 THEN 'pending' ELSE 'ok' END
                    WHEN 'pending' THEN CASE WHEN a <> 1 THEN 'ok' WHEN g.n >= 1 THEN 'firing' ELSE 'pending' END
                    WHEN 'firing' THEN CASE WHEN a = 0 THEN 'resolving' ELSE 'firing' END
                    ELSE CASE WHEN a > 0 THEN 'firing' WHEN g.n >= 2 THEN 'ok' ELSE 'resolving' END END AS state
-          FROM gated_hold g JOIN hold_input i ON i.endpoint_id = g.endpoint_id AND i.seq = g.seq + 1)""")
+          FROM gated_hold g JOIN hold_input i ON i.endpoint_id = g.endpoint_id AND i.signal_type = g.signal_type AND i.seq = g.seq + 1)""")
 
 
 @query("score_stream", ("scored",), f"""
@@ -265,11 +266,11 @@ def score_stream(t):
     return _run(t, scored.select(*columns), "scores")
 
 
-@query("alert_clear_threshold", ("gated_hold",), f"SELECT endpoint_id, {stamp('time')}, state, prev_state FROM gated_hold")
+@query("alert_clear_threshold", ("gated_hold",), f"SELECT endpoint_id, signal_type, {stamp('time')}, state, prev_state FROM gated_hold")
 def alert_clear_threshold(t):
     # an open latency alert holds while the score is at least 0.2
     log = alerts.alert_log(scoring.signals(t.scored), replace(t.settings, clear_threshold=0.2))
-    return log.where("signal_type = 'p99_ms'").select("endpoint_id", "time", "state", "prev_state")
+    return log.select("endpoint_id", "signal_type", "time", "state", "prev_state")
 
 
 @query("state_audit", ("log",), """

@@ -38,7 +38,6 @@ SETTINGS = replace(
     neighbour_lookback_seconds=60 * HOUR,
     label_margin_seconds=0,
     history_hours=14 * 24,
-    trees=50,
 )
 BUCKET = 12 * HOUR
 

@@ -396,7 +396,7 @@ def iforest_train(t):
 
 
 @query("iforest_train_shape", ("matrix",), """
-    SELECT range AS tree, least(256, (SELECT count(*) FROM matrix)) AS leaf_rows, true AS is_binary, true AS within_depth FROM range(50)""")
+    SELECT range AS tree, least(256, (SELECT count(*) FROM matrix)) AS leaf_rows, true AS is_binary, true AS within_depth FROM range(200)""")
 def iforest_train_shape(t):
     leaf = F.col("is_leaf")
     return _fitted(t).nodes.groupBy("tree").agg(
@@ -438,7 +438,7 @@ def ablation_attribution(t):
 
 
 @query("model_meta", ("matrix",), f"""
-    SELECT count(*) AS n_samples, least(256, count(*)) AS subsample, 50 AS trees, {num('0.02', 'contamination')}, 10 AS window_size FROM matrix""")
+    SELECT count(*) AS n_samples, least(256, count(*)) AS subsample, 200 AS trees, {num('0.02', 'contamination')}, 10 AS window_size FROM matrix""")
 def model_meta(t):
     return _fitted(t).meta.select("n_samples", "subsample", "trees", "contamination", "window_size")
 
@@ -589,17 +589,22 @@ def _labelled(t):
     return tables.stored(m.select("row_id", "endpoint_id", "time", "features", "label"), "labelled")
 
 
+def _compared(t):
+    """Metrics, boosting model and test rows; both queries share one fit of 300 rounds."""
+    if not hasattr(t, "compared"):
+        t.compared = supervised.supervised_compare(_labelled(t), t.settings)
+    return t.compared
+
+
 @query("supervised_compare")
 def supervised_compare(t):
-    return supervised.supervised_compare(_labelled(t), t.settings, rounds=10)[0]
+    return _compared(t)[0]
 
 
 @query("permutation_importance")
 def permutation_importance(t):
-    rows = _labelled(t)
-    split = tables.stored(supervised.temporal_split(rows), "split")
-    model = supervised.fit_boosting(split.where("split = 'train'"), 10)
-    return supervised.permutation_importance(model, split.where("split = 'test'"), t.settings.features, 3)
+    _, model, test = _compared(t)
+    return supervised.permutation_importance(model, test, t.settings.features)
 
 
 # --------------------------------------------------------------------------- explanations

@@ -154,13 +154,14 @@ def topology_load(t):
     return graph.topology_load(o.where("stored").drop("stored"), o.where("not stored").drop("stored"))
 
 
-# Customers as endpoints, in blocks of ten: calls go down inside a block, some new ones go back.
+# Customers as endpoints, in blocks of ten: calls go down inside a block, the last one calls leaves, some new ones go back.
 @query("topology_check", (), """
     WITH RECURSIVE e AS (
       SELECT DISTINCT o_custkey AS p,
              CASE WHEN o_orderkey % 40 = 0 THEN o_custkey - o_custkey % 10 + o_orderkey % 7
+                  WHEN o_custkey % 10 = 9 THEN -o_custkey - o_orderkey % 3
                   ELSE o_custkey + least(1 + o_orderkey % 3, 9 - o_custkey % 10) END AS c, o_orderkey % 40 = 0 AS fresh
-      FROM orders WHERE o_orderkey % 40 = 0 OR o_custkey % 10 < 9),
+      FROM orders),
     reach(origin, node) AS (
       SELECT DISTINCT c, c FROM e WHERE fresh
       UNION SELECT r.origin, e.c FROM reach r JOIN e ON e.p = r.node)
@@ -171,8 +172,9 @@ def topology_check(t):
     o = t.table("orders")
     cust, order = F.col("o_custkey"), F.col("o_orderkey")
     back = order % 40 == 0
-    child = F.when(back, cust - cust % 10 + order % 7).otherwise(cust + F.least(1 + order % 3, 9 - cust % 10))
-    e = o.where(back | (cust % 10 < 9)).select(
+    down = F.when(cust % 10 == 9, -cust - order % 3).otherwise(cust + F.least(1 + order % 3, 9 - cust % 10))
+    child = F.when(back, cust - cust % 10 + order % 7).otherwise(down)
+    e = o.select(
         F.concat(F.lit("c"), cust).alias("parent_endpoint_id"),
         F.concat(F.lit("c"), child).alias("child_endpoint_id"),
         back.alias("fresh"),
@@ -252,14 +254,17 @@ LOG_SQL = ", ".join([
 
 
 @query("alert_upsert", ("log",), f"""
-    SELECT {LOG_SQL}, {stamp('time', 'updated_at')} FROM log
+    SELECT {LOG_SQL}, severity, layer, {stamp('time', 'updated_at')} FROM (SELECT *, evidence.s AS score, evidence.r AS raw_value, evidence.v AS severity, evidence.l AS layer FROM (
+      SELECT * EXCLUDE (score, raw_value, severity, layer), coalesce(last_value(CASE WHEN anomaly THEN {{'s': score, 'r': raw_value, 'v': severity, 'l': layer}} END IGNORE NULLS) OVER w,
+             {{'s': score, 'r': raw_value, 'v': severity, 'l': layer}}) AS evidence FROM log
+      WINDOW w AS (PARTITION BY endpoint_id, signal_type ORDER BY time)))
     WHERE (endpoint_id, signal_type) IN (SELECT (endpoint_id, signal_type) FROM log WHERE state <> 'ok')
     QUALIFY row_number() OVER (PARTITION BY endpoint_id, signal_type ORDER BY time DESC) = 1""")
 def alert_upsert(t):
     cut = at(datetime(2024, 1, 20))
     old = alerts.current_alerts(t.log.where(F.col("time") < cut))
     new = alerts.current_alerts(t.log)
-    return alerts.upsert_current(old, new).select(*LOG_COLUMNS, "updated_at")
+    return alerts.upsert_current(old, new).select(*LOG_COLUMNS, "severity", "layer", "updated_at")
 
 
 @query("alert_history", ("log",), f"""
@@ -668,7 +673,7 @@ def rank_candidates(t):
 
 
 BLOCKS["ks_counts"] = (("spans",), """
-    SELECT latency_ms AS v, count(*) FILTER (service = 'orders') AS a, count(*) FILTER (service = 'payments') AS b
+    SELECT latency_ms AS v, count(*) FILTER (service = 'gateway') AS a, count(*) FILTER (service <> 'gateway') AS b
     FROM spans GROUP BY 1""")
 
 
@@ -678,17 +683,17 @@ BLOCKS["ks_counts"] = (("spans",), """
 def ks_cdf(t):
     from ..operators.model_ops import ks_statistic
 
-    a = t.spans.where("service = 'orders'")
-    b = t.spans.where("service = 'payments'")
+    a = t.spans.where("service = 'gateway'")
+    b = t.spans.where("service <> 'gateway'")
     return ks_statistic(a, b, "latency_ms", "latency_ms")
 
 
 @query("temporal_split", ("spans",), """
-    SELECT span_id, CASE WHEN row_number() OVER (ORDER BY ts, endpoint_id) <= (SELECT count(*) // 2 FROM spans) THEN 'train' ELSE 'test' END AS split FROM spans""")
+    SELECT span_id, CASE WHEN row_number() OVER (ORDER BY ts, endpoint_id, span_id) <= (SELECT count(*) // 2 FROM spans) THEN 'train' ELSE 'test' END AS split FROM spans""")
 def temporal_split(t):
     from ..operators.supervised import temporal_split as split
 
-    return split(t.spans.select("span_id", "ts", "endpoint_id"), "ts").select("span_id", "split")
+    return split(t.spans.select("span_id", "ts", "endpoint_id"), "ts", ("endpoint_id", "span_id")).select("span_id", "split")
 
 
 # --------------------------------------------------------------------------- top-k and sets
@@ -730,7 +735,7 @@ def neighbour_ids(t):
 @query("union_recursive", (), """
     WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS p, o_custkey + 1 + o_orderkey % 3 AS c FROM orders),
     r(root, node, depth) AS (
-      SELECT p, c, 1 FROM e WHERE p % 50 = 0
+      SELECT p, c, 1 FROM e
       UNION SELECT r.root, e.c, r.depth + 1 FROM r JOIN e ON e.p = r.node WHERE r.depth < 3)
     SELECT 'c' || CAST(root AS VARCHAR) AS root, 'c' || CAST(node AS VARCHAR) AS endpoint_id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY root, node""")
 def union_recursive(t):
@@ -739,10 +744,7 @@ def union_recursive(t):
         F.concat(F.lit("c"), F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("child_endpoint_id"),
         F.lit("s").alias("child_service"), F.lit("direct").alias("call_type"), F.lit("s").alias("parent_service"),
     ).distinct()
-    roots = t.table("orders").where(F.col("o_custkey") % 50 == 0).select(
-        F.concat(F.lit("c"), "o_custkey").alias("endpoint_id")
-    )
-    return graph.descendants(e, roots, 3).groupBy("root", "endpoint_id").agg(F.min("depth").alias("depth"))
+    return graph.descendants(e, None, 3).groupBy("root", "endpoint_id").agg(F.min("depth").alias("depth"))
 
 
 @query("union_windows", ("injections", "spans"), f"""

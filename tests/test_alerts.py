@@ -98,6 +98,20 @@ def test_history_episodes_and_current(spark, minute):
     assert [r["state"] for r in changed.collect()] == ["firing"]
 
 
+def test_current_alert_keeps_its_evidence(spark, minute):
+    rows = signal_rows(minute, [1, 1, 1, 0, 0, 0, 0])
+    log = alerts.alert_log(spark.createDataFrame(rows, SIG))
+    whole = alerts.current_alerts(log).first()
+    last_bad = log.where("anomaly").orderBy(F.desc("time")).first()
+    assert whole["state"] == "ok" and last_bad["severity"] is not None
+    assert [whole[c] for c in ("score", "raw_value", "severity", "layer")] == [last_bad[c] for c in ("score", "raw_value", "severity", "layer")]
+    # a later batch without an anomaly keeps it too
+    cut = last_bad["time"]
+    old, new = alerts.current_alerts(log.where(F.col("time") <= cut)), alerts.current_alerts(log.where(F.col("time") > cut))
+    merged = alerts.upsert_current(old, new).first()
+    assert (merged["state"], merged["severity"], merged["score"]) == ("ok", last_bad["severity"], last_bad["score"])
+
+
 @pytest.mark.parametrize("flags, m, onsets", [
     ([0, 1, 1, 1, 0, 1, 1], 2, [3, 7]), ([1, 0, 1, 0], 2, []), ([1, 1, 1, 1], 3, [3]), ([1, 1], 1, [1]),
 ])

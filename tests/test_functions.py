@@ -157,3 +157,11 @@ def test_finite_guards(spark):
     assert [r[0] for r in df.select(scalars.finite_or_null("v")).collect()] == [1.0, None, None, None, None]
     rows = df.select(scalars.safe_ratio(F.lit(1.0), "v")).collect()
     assert [r[0] for r in rows] == [1.0, 0.0, 0.0, 0.0, 0.0] and not any(math.isnan(r[0]) for r in rows)
+
+
+def test_interval_without_an_end_is_still_going_on(spark, minute):
+    p = spark.createDataFrame([(i, minute(i * 90)) for i in range(40)], "i int, t timestamp")
+    s = spark.createDataFrame([(0, minute(1000), None), (1, minute(5000), None), (2, minute(0), minute(100))], "j int, a timestamp, b timestamp")
+    got = {(r["i"], r["j"]) for r in interval_join(p, s, "t", "a", "b").collect()}
+    assert got == {(i, 0) for i in range(12, 40)} | {(0, 2), (1, 2)}
+    assert {r["i"] for r in interval_join(p, s, "t", "a", "b", (), "left_anti").collect()} == set(range(2, 12))

@@ -1,3 +1,4 @@
+import math
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -168,3 +169,21 @@ def test_supervised_comparison_and_importance(spark):
     assert by["gradient boosting"]["pr_auc"] > 0.7 and by["isolation forest"]["roc_auc"] > 0.5
     imp = {r["feature"]: r["importance"] for r in supervised.permutation_importance(boosting, test, MODEL_FEATURES, 2).collect()}
     assert max(imp, key=imp.get) == "baseline_dev_p99" and len(imp) == 7
+
+
+def test_sampling_chance_does_not_depend_on_the_number_of_rows(spark):
+    """Far more rows than trees x subsample: every row may enter, and each tree is full."""
+    settings = replace(SMALL, trees=8, subsample=32, seed=3)
+    n = 20_000
+    matrix = spark.range(n).select(F.col("id").cast("string").alias("row_id"), F.array(F.rand(1)).alias("features"))
+    picked = forest.tree_samples(matrix, n, settings).select("tree", "row_id").collect()
+    assert len(picked) == 8 * 32 and len({(r["tree"], r["row_id"]) for r in picked}) == len(picked)
+    assert {r["tree"] for r in picked} == set(range(8))
+    ids = np.array([int(r["row_id"]) for r in picked])
+    assert abs(ids.mean() / n - 0.5) < 0.08 and (np.histogram(ids, 4, (0, n))[0] > 30).all()
+
+
+def test_binomial_steps():
+    steps = forest._binomial_steps(5, 0.3)
+    want = np.cumsum([math.comb(5, k) * 0.3**k * 0.7 ** (5 - k) for k in range(5)])
+    assert np.allclose(steps, want)
