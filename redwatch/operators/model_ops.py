@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -336,8 +336,22 @@ def threshold_sweep(
     return out.withColumn("fp_per_hour", F.col("fp") / hours)
 
 
-def contamination_sweep(metrics: DataFrame, contaminations: list[float]) -> DataFrame:
-    """Metrics per contamination: the setting moves only the binary cut, so the rows are equal."""
-    return metrics.withColumn(
-        "contamination", F.explode(F.array(*[F.lit(float(c)) for c in contaminations]))
-    )
+def contamination_sweep(
+    features: DataFrame, baseline: DataFrame, injections: DataFrame, slos: DataFrame, as_of: datetime,
+    contaminations: list[float], settings: Settings = PRODUCTION, bucket_seconds: int = 3600,
+) -> DataFrame:
+    """Detection quality per contamination: a model is trained, and the history scored with it, for each value.
+
+    The calibrated score does not use the binary cut that contamination moves, so equal rows are the expected finding.
+    """
+    moment = F.lit(as_of.isoformat(sep=" ")).cast("timestamp")
+    matrix = stored(training_matrix(features, baseline, injections, moment, settings, bucket_seconds), "matrix")
+    out = None
+    for c in contaminations:
+        own = replace(settings, contamination=float(c))
+        model = fit(matrix, as_of, own)
+        scored = stored(scored_history(features, baseline, slos, model, own), "replayed")
+        one = threshold_sweep(scored, injections, [own.fire_threshold], own, bucket_seconds)
+        one = one.drop("threshold").withColumn("contamination", F.lit(float(model.meta.first()["contamination"])))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -293,65 +293,10 @@ def best_threshold(t):
     return evaluation.best_threshold(_sweep(t)).select("threshold", "f1")
 
 
-@query("contamination_sweep", ("sweep",), f"""
-    SELECT {num('c', 'contamination')}, tp, fn, fp FROM sweep, (VALUES (0.01), (0.02), (0.05), (0.1)) v(c) WHERE threshold = 0.6""")
+@query("contamination_sweep")
 def contamination_sweep(t):
-    base = _sweep(t).where(F.col("threshold") == 0.6)
-    return model_ops.contamination_sweep(base, [0.01, 0.02, 0.05, 0.1]).select("contamination", "tp", "fn", "fp")
-
-
-def _campaign(t):
-    """Campaign runs from orders: customers are scenarios, the order parity is the tier."""
-    o = t.table("orders")
-    return o.select(
-        F.concat(F.lit("s"), F.col("o_custkey") % 60).alias("scenario"),
-        F.when(F.col("o_orderkey") % 2 == 0, "core").otherwise("stress").alias("tier"),
-        (F.col("o_custkey") % 60 * 10).cast("int").alias("duration_yaml_s"),
-        F.when(F.col("o_orderkey") % 3 == 0, "error").otherwise("ok").alias("status"),
-        F.struct("o_orderdate", "o_orderkey").alias("started_at"),
-        F.col("o_totalprice").alias("delay_median_s"),
-    )
-
-
-BLOCKS["campaign"] = ((), """
-    SELECT 's' || CAST(o_custkey % 60 AS VARCHAR) AS scenario, CASE WHEN o_orderkey % 2 = 0 THEN 'core' ELSE 'stress' END AS tier,
-           o_custkey % 60 * 10 AS duration_yaml_s, CASE WHEN o_orderkey % 3 = 0 THEN 'error' ELSE 'ok' END AS status, o_totalprice AS delay_median_s
-    FROM orders QUALIFY row_number() OVER (PARTITION BY 1, 2 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""".replace("PARTITION BY 1, 2", "PARTITION BY o_custkey % 60, o_orderkey % 2"))
-
-
-@query("campaign_summary", ("campaign",), f"""
-    SELECT scenario, tier, CASE WHEN tier = 'core' THEN greatest(duration_yaml_s, 300) ELSE duration_yaml_s END AS duration_effective_s, status, {num('delay_median_s')} FROM campaign""")
-def campaign_summary(t):
-    return evaluation.campaign_summary(_campaign(t), 300).select(
-        "scenario", "tier", "duration_effective_s", "status", "delay_median_s"
-    )
-
-
-@query("campaign_completeness", ("campaign",), """
-    SELECT 120 AS expected_runs, count(*) FILTER (status = 'ok') AS ok_runs, count(*) FILTER (status = 'ok') = 120 AS complete FROM campaign""")
-def campaign_completeness(t):
-    s = tables.stored(evaluation.campaign_summary(_campaign(t), 300), "campaign")
-    return evaluation.campaign_completeness(s, s)
-
-
-@query("csv_report", ("campaign",), "SELECT scenario, tier, status FROM campaign")
-def csv_report(t):
-    path = tables.fresh_path(t.spark, "csv")
-    s = evaluation.campaign_summary(_campaign(t), 300)
-    missing = [c for c in SUMMARY_COLUMNS if c not in s.columns]
-    s = s.withColumns({c: F.lit(None).cast("string") for c in missing})
-    tables.write_csv_report(s, path, list(SUMMARY_COLUMNS))
-    back = t.spark.read.schema(", ".join(f"{c} string" for c in SUMMARY_COLUMNS)).csv(path, header=True)
-    return back.select("scenario", "tier", "status")
-
-
-@query("json_report", ("stats",), f"SELECT level, fault_type, magnitude, n, {num('dr_layered')} FROM stats")
-def json_report(t):
-    path = tables.fresh_path(t.spark, "json")
-    tables.write_json_report(evaluation.detection_stats(_found(t)), path)
-    schema = "level string, fault_type string, magnitude string, n bigint, dr_layered double"
-    return t.spark.read.schema(schema).json(path)
-
+    args = (t.features, t.baseline, t.injections, t.slos, AS_OF, [0.01, 0.02, 0.05, 0.1])
+    return model_ops.contamination_sweep(*args, t.settings, BUCKET).select("contamination", "tp", "fn", "fp")
 
 # --------------------------------------------------------------------------- model layer
 
@@ -455,7 +400,9 @@ def model_store_query(t):
     return m.meta.select(F.lit(latest.version).alias("promoted"), F.lit(previous.version).alias("newest"), "n_samples")
 
 
-@query("reference_window")
+@query("reference_window", ("matrix",), f"""
+    SELECT row_id, {num(FEATURES[2], 'dev_p99')} FROM (SELECT *, sha256(endpoint_id || '|' || CAST(epoch_us(time) AS VARCHAR)) AS row_id FROM matrix)
+    ORDER BY md5(row_id || '|42'), row_id LIMIT 500""")
 def reference_window(t):
     return model_store.reference_window(_matrix(t), t.settings).select("row_id", F.get("features", F.lit(2)).alias("dev_p99"))
 

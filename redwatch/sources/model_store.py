@@ -83,6 +83,6 @@ def reference_window(matrix: DataFrame, settings: Settings = PRODUCTION) -> Data
     """A fixed number of rows by hash order; each task keeps only that many candidates."""
     return (
         matrix.select("row_id", "features")
-        .orderBy(F.xxhash64("row_id", F.lit(settings.seed)), "row_id")
+        .orderBy(F.md5(F.concat_ws("|", "row_id", F.lit(str(settings.seed)))), "row_id")
         .limit(settings.reference_rows)
     )
