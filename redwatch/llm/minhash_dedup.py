@@ -156,6 +156,8 @@ def _block_links(percent: int):
         node, component, n = (group.column(c).to_numpy() for c in ("node", "component", "n"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
         others = np.flatnonzero(~stray)
+        if not len(others) or not stray.any():
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, schema=schema)
         tokens, ids = np.unique(np.concatenate([sets[i] for i in others]), return_inverse=True)
         starts = np.cumsum(n[others]) - n[others]
         present = np.zeros(len(tokens), np.int32)
@@ -219,8 +221,7 @@ def near_duplicates(
     share a component; rows with the same id all carry ``kept`` of that id. A row without an id is in no component
     (component_id null, kept false). Other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    stages = Stages(spark, "minhash")
+    stages = Stages(docs.sparkSession, "minhash")
     signed = stages.put(signatures(docs, k, groups, rows, id_col, text_col))
     classes = (
         signed.where("n > 0 AND doc_id IS NOT NULL")

@@ -171,9 +171,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], F.col("__rank").cast("long").alias("__rank"))
     # rank and length in one number, so that one sorted search finds the bin
     wide = max(histogram.values(), default=0) + 1
+    if capacity * wide >= 1 << 62:
+        raise ValueError("too many pieces of one length for 64-bit places")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = table["length"].astype(object) * wide + table["first"] if capacity * wide >= 1 << 63 else table["length"] * wide + table["first"]
+        keys = table["length"] * wide + table["first"]
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("__rank").to_numpy()
             row = np.searchsorted(keys, length * wide + rank, "right") - 1

@@ -16,7 +16,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .shared import Stages
 
 #: Characters per chunk; documents of at most this length are one chunk.
-CHUNK = 16_384
-KEPT_WORDS = 300_000
+CHUNK = 65_536
+KEPT_WORDS = 500_000
 KEPT_PAIRS = 300_000
 LONGEST_WORD = 48
 SPACE = "▁"
@@ -99,16 +100,20 @@ class PieceModel:
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text: the best-scored neighbours are merged, the left one of equals, until none are left."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
+        parts, none, score = list(text), float("-inf"), self.score.get
+        gains = [score(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while gains:
+            best = max(gains)
+            if best == none:
+                break
+            at = gains.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            if at:
+                gains[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(gains):
+                gains[at] = score(parts[at] + parts[at + 1], none)
+        return parts
 
     def follows(self, left: str | None, right: str) -> bool:
         """Whether ``right`` may stand after ``left`` (after a safe boundary, if None)."""
@@ -152,13 +157,23 @@ class PieceModel:
         while end > start:
             end, piece, _ = paths[end]
             pieces.append(piece)
+        return self.packed(reversed(pieces))
+
+    def packed(self, pieces: Iterable[str]) -> bytes:
+        """Ids of pieces; a character that is no piece becomes its bytes."""
         out = []
-        for piece in reversed(pieces):
+        for piece in pieces:
             known = self.ids.get(piece)
-            out += [known] if known is not None else [self.byte_ids[b] for b in piece.encode()]
-        return np.array(out, "<u4").tobytes()
+            if known is None:
+                out += [self.byte_ids[b] for b in piece.encode()]
+            else:
+                out.append(known)
+        return array("I", out).tobytes()
 
     def word(self, word: str) -> bytes:
+        """Ids between two safe boundaries: one path leads there, and merging finds it without the other places."""
+        if len(word) <= LONGEST_WORD:
+            return self.packed(self.merged(word))
         return self.trace(self.paths(word, 0, None, len(word), len(word)), 0, len(word))
 
     # ------------------------------------------------------------------ chunks
@@ -383,9 +398,9 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, with_id
     most = giant.agg(F.max("chunks").alias("n")).first()["n"]
     if most is None:
         return short
+    first = giant.mapInArrow(_transfers(path), "key string, nodes long, node long, enter long, leave long, weight long")
     # copies of a giant text have equal matrices: one is enough
-    first = giant.dropDuplicates(["key", "chunk"]).mapInArrow(_transfers(path), "key string, nodes long, node long, enter long, leave long, weight long")
-    levels = [stages.put(first)]
+    levels = [stages.put(first.groupBy("key", "nodes", "node", "enter", "leave").agg(F.max("weight").alias("weight")))]
     while most > 1:
         levels.append(stages.put(combined(levels[-1])))
         most = -(-most // 2)
