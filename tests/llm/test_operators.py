@@ -292,7 +292,7 @@ def test_minhash_crowds(spark, monkeypatch):
     sets = {i: shingles(t, 3) for i, t in rows}
     links = near_links(sets, 85)
     root = components(sets, links)
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 3000)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 700)
     got = minhash_dedup.near_duplicates(documents(spark, rows), 3, 85).collect()
     assert {r.doc_id: r.component_id for r in got} == root
     assert any(a != 0 and b != 0 and (0, b) not in set(links) for a, b in links)
@@ -346,7 +346,7 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
 
 
-@pytest.mark.parametrize("chunk", [64, 16_384])
+@pytest.mark.parametrize("chunk", [64, 65_536])
 def test_pieces(docs, library, chunk):
     rows = [(i, t) for i, t in ROWS if chunk > 64 or len(t or "") < 5000]
     source = docs.where(F.coalesce(F.length("text"), F.lit(0)) < (5000 if chunk == 64 else 10**9))
