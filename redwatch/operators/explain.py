@@ -97,78 +97,62 @@ def _number(c: Column, digits: int = 2) -> Column:
 
 
 def template_summary(c: str = "context") -> Column:
+    """What was measured: signal, endpoint, value against limit, then score and severity if known."""
     f = lambda n: F.col(f"{c}.{n}")
-    score = F.when(f("score").isNotNull(), F.concat(F.lit(", score "), _number(f("score")))).otherwise("")
-    sev = F.when(f("severity").isNotNull(), F.concat(F.lit(", severity "), f("severity"))).otherwise("")
+    subject = F.concat(f("signal_type"), F.lit(" of "), f("endpoint_id"))
     known = f("observed_value").isNotNull() & f("slo_threshold").isNotNull()
-    return F.when(
-        known,
-        F.concat(
-            f("endpoint_id"), F.lit(" is above its limit for "), f("signal_type"), F.lit(": observed "),
-            _number(f("observed_value")), F.lit(", limit "), _number(f("slo_threshold")), score, sev, F.lit("."),
-        ),
-    ).otherwise(
-        F.concat(f("endpoint_id"), F.lit(" raised an alert for "), f("signal_type"), score, F.lit("."))
+    values = F.concat(_number(f("observed_value")), F.lit(" against a limit of "), _number(f("slo_threshold")))
+    marks = F.concat_ws(
+        ", ",
+        F.when(f("score").isNotNull(), F.concat(F.lit("score "), _number(f("score")))),
+        F.when(known, f("severity")),
     )
+    tail = F.when(marks != "", F.concat(F.lit(" ["), marks, F.lit("]"))).otherwise("")
+    return F.when(known, F.concat(subject, F.lit(": "), values, tail)).otherwise(F.concat(F.lit("Alert on "), subject, tail))
+
+
+#: What to make of a degraded dependency, by its rating.
+ADVICE = {"high": "start the investigation there", "medium": "look there before other leads", "low": "a weak hint only"}
 
 
 def template_cause(c: str = "context", candidate: Column | None = None) -> Column:
-    """Cause by priority: best degraded dependency, then a strong correlation, then none.
+    """Lead by priority: best degraded dependency, then a strong correlation, then none.
 
     ``candidate`` is the best root-cause struct (endpoint_id, service, call_type, anomaly_score,
     confidence_score, confidence) or null.
     """
-    endpoint = F.col(f"{c}.endpoint_id")
     fault, imputed = F.col(f"{c}.correlation.suspected_fault"), F.col(f"{c}.correlation.imputation_score")
     strong = fault.isNotNull() & (fault != "") & (imputed >= 0.5)
-    correlated = F.concat(
-        F.lit("Probable cause (score "), _number(imputed), F.lit("): "), fault, F.lit(".")
-    )
-    unknown = F.lit(
-        "Cause not determined automatically: no strong correlation with a known fault or deployment."
-    )
+    correlated = F.concat(F.lit("Onset falls into "), fault, F.lit(" (score "), _number(imputed), F.lit(")"))
+    unknown = F.lit("No lead: neither a fault, a deployment nor a dependency suspected so far")
     if candidate is None:
         return F.when(strong, correlated).otherwise(unknown)
-
-    def part(name: str, label: str) -> Column:
-        v = candidate[name]
-        return F.when(v.isNotNull(), F.concat(F.lit(label), _number(v))).otherwise("")
-
-    kind = (
-        F.when(candidate["call_type"] == "direct", "direct call")
-        .when(candidate["call_type"] == "cascade", "cascaded call")
-        .otherwise("dependency")
-    )
-    who = F.concat(
-        F.coalesce(candidate["endpoint_id"], F.lit("unknown")), F.lit(" ("),
-        F.coalesce(candidate["service"], F.lit("unknown")), F.lit(", "), kind,
-    )
-    full = F.concat(who, part("confidence_score", ", confidence "), part("anomaly_score", ", score "), F.lit(")"))
-    brief = F.concat(who, part("anomaly_score", ", score "), F.lit(")"))
     level = candidate["confidence"]
-    text = (
-        F.when(level == "high", F.concat(
-            F.lit("The degradation of "), endpoint, F.lit(" is likely caused by an anomaly on "), full,
-            F.lit(". Both degrade in the same period; suspected cause, please confirm by hand.")))
-        .when(level == "medium", F.concat(
-            F.lit("The degradation of "), endpoint, F.lit(" seems linked to an anomaly on "), full,
-            F.lit(". Both degrade in the same period; causality is not proven.")))
-        .when(level == "low", F.concat(
-            F.lit("A possible correlation exists with "), brief,
-            F.lit(". The signal is weak; investigate before concluding.")))
-        .otherwise(F.concat(
-            F.lit("The anomaly may come from "), brief,
-            F.lit(", which is degraded as well and could explain "), endpoint,
-            F.lit(". Not confirmed; investigate by hand.")))
+    facts = F.concat_ws(
+        ", ",
+        F.coalesce(candidate["service"], F.lit("service unknown")),
+        F.when(candidate["call_type"].isin("direct", "cascade"), candidate["call_type"]),
+        F.when(candidate["anomaly_score"].isNotNull(), F.concat(F.lit("anomaly "), _number(candidate["anomaly_score"]))),
+        F.when(
+            level.isin("high", "medium") & candidate["confidence_score"].isNotNull(),
+            F.concat(F.lit("confidence "), _number(candidate["confidence_score"])),
+        ),
+    )
+    advice = F.lit("not rated, compare the timelines")
+    for rating, words in ADVICE.items():
+        advice = F.when(level == rating, words).otherwise(advice)
+    text = F.concat(
+        F.lit("Suspected dependency: "), F.coalesce(candidate["endpoint_id"], F.lit("unknown")), F.lit(" ["), facts,
+        F.lit("], degraded before "), F.col(f"{c}.endpoint_id"), F.lit("; "), advice,
     )
     return F.when(candidate.isNotNull(), text).when(strong, correlated).otherwise(unknown)
 
 
 def template_checks(c: str = "context") -> Column:
     return F.array(
-        F.concat(F.lit("Inspect the recent logs of the service behind "), F.col(f"{c}.endpoint_id")),
-        F.lit("Compare with the most recent deployment event of the service"),
-        F.lit("Inspect the state of the downstream dependencies and pools"),
+        F.concat(F.lit("Read the logs behind "), F.col(f"{c}.endpoint_id"), F.lit(" from shortly before the onset")),
+        F.lit("List what was deployed in the half hour before the onset"),
+        F.lit("Check pool usage, waits and errors of the services it calls"),
     )
 
 

@@ -160,14 +160,8 @@ def rca_level(score, settings: Settings = PRODUCTION) -> Column:
 
 
 def rca_reason(level, call_type, depth) -> Column:
-    """Sentence that names the evidence and never claims a proven cause."""
-    hops = F.when(F.col(depth) > 1, F.format_string(", %d calls away", F.col(depth))).otherwise("")
-    claim = (
-        F.when(F.col(level) == "high", "degrades together with this endpoint; suspected cause, not proven")
-        .when(F.col(level) == "medium", "degraded in the same period; causal link not proven")
-        .otherwise("shows a weak degradation signal; a link is possible, not proven")
-    )
-    return F.concat(F.lit("dependency ("), F.col(call_type), F.lit(" call"), hops, F.lit(") "), claim)
+    """Short note of the evidence: kind of call, distance, rating. It never calls a cause proven."""
+    return F.format_string("%s evidence, %s call at distance %d, unproven", F.col(level), F.col(call_type), F.col(depth))
 
 
 def neighbour_scores(

@@ -442,9 +442,7 @@ def root_cause_candidates(t):
 
 
 @query("rca_reason", ("rca",), f"""
-    SELECT root, {stamp('detected_at')}, endpoint_id, 'dependency (' || call_type || ' call' || CASE WHEN depth > 1 THEN ', ' || CAST(depth AS VARCHAR) || ' calls away' ELSE '' END || ') ' ||
-      CASE confidence WHEN 'high' THEN 'degrades together with this endpoint; suspected cause, not proven'
-        WHEN 'medium' THEN 'degraded in the same period; causal link not proven' ELSE 'shows a weak degradation signal; a link is possible, not proven' END AS reason FROM rca""")
+    SELECT root, {stamp('detected_at')}, endpoint_id, confidence || ' evidence, ' || call_type || ' call at distance ' || CAST(depth AS VARCHAR) || ', unproven' AS reason FROM rca""")
 def rca_reason(t):
     return graph.root_cause_candidates(_seen(t), t.settings).select("root", "detected_at", "endpoint_id", "reason")
 

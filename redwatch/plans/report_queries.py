@@ -612,19 +612,15 @@ def _graph_candidates(t, a):
 BLOCKS["best_rca"] = (("rca",), """
     SELECT root AS endpoint_id, detected_at AS opened_at, endpoint_id AS who, service, call_type, anomaly_score, confidence_score, confidence
     FROM rca QUALIFY row_number() OVER (PARTITION BY root, detected_at ORDER BY confidence_score DESC, endpoint_id) = 1""")
-_TWO = "printf('%.2f', {})"
-_WHO = ("who || ' (' || service || ', ' || CASE call_type WHEN 'direct' THEN 'direct call' WHEN 'cascade' THEN 'cascaded call' ELSE 'dependency' END")
-_FULL = _WHO + " || ', confidence ' || printf('%.2f', confidence_score) || ', score ' || printf('%.2f', anomaly_score) || ')'"
-_BRIEF = _WHO + " || ', score ' || printf('%.2f', anomaly_score) || ')'"
-BLOCKS["explained"] = (("attributed", "slos", "best_rca"), f"""
-    SELECT a.*, l.*, endpoint_id || ' is above its limit for ' || signal_type || ': observed ' || printf('%.2f', round_even(raw_value, 2)) || ', limit ' ||
-           printf('%.2f', CASE WHEN signal_type = 'p99_ms' THEN slo_p99_ms ELSE slo_error_rate_5xx END) || ', score ' || printf('%.2f', round_even(score, 2)) || ', severity ' || severity || '.' AS summary,
-           CASE WHEN confidence = 'high' THEN 'The degradation of ' || endpoint_id || ' is likely caused by an anomaly on ' || {_FULL} || '. Both degrade in the same period; suspected cause, please confirm by hand.'
-                WHEN confidence = 'medium' THEN 'The degradation of ' || endpoint_id || ' seems linked to an anomaly on ' || {_FULL} || '. Both degrade in the same period; causality is not proven.'
-                WHEN confidence = 'low' THEN 'A possible correlation exists with ' || {_BRIEF} || '. The signal is weak; investigate before concluding.'
-                WHEN suspected_fault IS NOT NULL AND round_even(imputation_score, 2) >= 0.5 THEN 'Probable cause (score ' || printf('%.2f', round_even(imputation_score, 2)) || '): ' || suspected_fault || '.'
-                ELSE 'Cause not determined automatically: no strong correlation with a known fault or deployment.' END AS suspected_cause
-    FROM attributed a JOIN slos l USING (endpoint_id) LEFT JOIN (SELECT * EXCLUDE (service), service AS rca_service FROM best_rca) r USING (endpoint_id, opened_at)""".replace("|| service ||", "|| rca_service ||"))
+BLOCKS["explained"] = (("attributed", "slos", "best_rca"), """
+    SELECT a.*, l.*, signal_type || ' of ' || endpoint_id || ': ' || printf('%.2f', round_even(raw_value, 2)) || ' against a limit of ' ||
+           printf('%.2f', CASE WHEN signal_type = 'p99_ms' THEN slo_p99_ms ELSE slo_error_rate_5xx END) || ' [score ' || printf('%.2f', round_even(score, 2)) || ', ' || severity || ']' AS summary,
+           CASE WHEN who IS NOT NULL THEN 'Suspected dependency: ' || who || ' [' || concat_ws(', ', rca_service, CASE WHEN call_type IN ('direct', 'cascade') THEN call_type END,
+                  'anomaly ' || printf('%.2f', anomaly_score), CASE WHEN confidence IN ('high', 'medium') THEN 'confidence ' || printf('%.2f', confidence_score) END)
+                  || '], degraded before ' || endpoint_id || '; ' || CASE confidence WHEN 'high' THEN 'start the investigation there' WHEN 'medium' THEN 'look there before other leads' ELSE 'a weak hint only' END
+                WHEN suspected_fault IS NOT NULL AND round_even(imputation_score, 2) >= 0.5 THEN 'Onset falls into ' || suspected_fault || ' (score ' || printf('%.2f', round_even(imputation_score, 2)) || ')'
+                ELSE 'No lead: neither a fault, a deployment nor a dependency suspected so far' END AS suspected_cause
+    FROM attributed a JOIN slos l USING (endpoint_id) LEFT JOIN (SELECT * EXCLUDE (service), service AS rca_service FROM best_rca) r USING (endpoint_id, opened_at)""")
 
 
 def _explained(t):
@@ -632,12 +628,13 @@ def _explained(t):
     return explain.template_explanation(rows, F.col("candidate"))
 
 
-@query("template_explanation", ("explained",), f"SELECT endpoint_id, signal_type, {stamp('opened_at')}, summary, suspected_cause, 3 AS checks FROM explained")
+@query("template_explanation", ("explained",), f"""
+    SELECT endpoint_id, signal_type, {stamp('opened_at')}, summary, suspected_cause, 'Read the logs behind ' || endpoint_id || ' from shortly before the onset' AS first_check, 3 AS checks FROM explained""")
 def template_explanation(t):
     e = F.col("explanation")
     return _explained(t).select(
         "endpoint_id", "signal_type", "opened_at", e["summary"].alias("summary"), e["suspected_cause"].alias("suspected_cause"),
-        F.size(e["checks"]).alias("checks"),
+        F.get(e["checks"], F.lit(0)).alias("first_check"), F.size(e["checks"]).alias("checks"),
     )
 
 

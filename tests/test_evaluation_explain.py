@@ -122,7 +122,7 @@ def explain_with(spark, cand=None, **kw):
     return explain.template_explanation(rows, value).first()["explanation"]
 
 
-@pytest.mark.parametrize("level, word", [("high", "likely caused by"), ("medium", "seems linked to"), ("low", "possible correlation"), (None, "could explain")])
+@pytest.mark.parametrize("level, word", [("high", "start the investigation there"), ("medium", "before other leads"), ("low", "a weak hint"), (None, "not rated")])
 def test_candidate_wording(spark, level, word):
     e = explain_with(spark, ("GET /b", "b", "direct", 0.9, 0.9, level), fault="s:f:e", score=1.0)
     assert word in e["suspected_cause"] and "GET /b" in e["suspected_cause"] and "s:f:e" not in e["suspected_cause"]
@@ -131,10 +131,10 @@ def test_candidate_wording(spark, level, word):
 
 def test_cause_priority(spark):
     assert "s:f:e" in explain_with(spark, fault="s:f:e", score=0.5)["suspected_cause"]
-    assert "not determined" in explain_with(spark, fault="s:f:e", score=0.49)["suspected_cause"]
-    assert "not determined" in explain_with(spark)["suspected_cause"]
+    assert "No lead" in explain_with(spark, fault="s:f:e", score=0.49)["suspected_cause"]
+    assert "No lead" in explain_with(spark)["suspected_cause"]
     assert "400.00" in explain_with(spark)["summary"] and "300.00" in explain_with(spark)["summary"]
-    assert "raised an alert" in explain_with(spark, value=None)["summary"]
+    assert "Alert on p99_ms of GET /x" in explain_with(spark, value=None)["summary"]
 
 
 GOOD = {"summary": " s ", "suspected_cause": "c", "checks": ["x ", "y"]}
