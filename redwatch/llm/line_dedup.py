@@ -37,10 +37,12 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def intervals(lines: DataFrame, stages: Stages) -> list[tuple[int, DataFrame]]:
     """(window length, positions) per level: doc_id, print, line, pos, chars, rank, and the first position of the interval."""
-    often = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    # written first: then the rows of a very common line can be split over tasks in the join
+    often = stages.put(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"))
     repeated = lines.join(often, ["h1", "h2"], "left_semi").dropDuplicates([*KEY, "line"])
     # positions grow with document and line; written, so that they stay the same for every reader
     at = stages.put(repeated.repartitionByRange(*KEY, "line").sortWithinPartitions(*KEY, "line").withColumn("pos", F.monotonically_increasing_id()))
+    stages.drop(often)
     here = at.select(*KEY, "line", "pos", "chars", "h1", "h2")
     keys, length, out = ["h1", "h2"], 1, []
     while True:
