@@ -231,15 +231,17 @@ def near_duplicates(
     nodes = stages.put(classes)
     # keep what shares a group with another node, on both sides
     halves = nodes.select("node", "n", F.posexplode("keys").alias("place", "key"))
-    met = halves.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("key")
+    # written before the join, as the heads are below: then the rows of a key that many share can be split over tasks
+    met = stages.put(halves.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("key"))
     first = F.when(F.col("place") < groups, F.col("key"))
     second = F.when(F.col("place") >= groups, F.col("key"))
     sides = halves.join(met, "key").groupBy("node", "n").agg(F.collect_list(first).alias("x"), F.collect_list(second).alias("y"))
     paired = sides.where("size(x) > 0 AND size(y) > 0").select("node", "n", F.explode(F.expr("flatten(transform(x, p -> transform(y, q -> xxhash64(p, q))))")).alias("key"))
     cells = stages.put(paired)
     heads = cells.groupBy("key").agg(F.min("node").alias("head"), F.min_by("n", "node").alias("head_n"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    heads = stages.put(heads)
     buckets = stages.put(cells.join(heads, "key"))
-    stages.drop(cells)
+    stages.drop(cells, heads, met)
     sets = stages.put(stored_sets(docs, buckets.select("node").distinct(), k, id_col, text_col))
     fit = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
     stars = stages.put(buckets.where((F.col("head") < F.col("node")) & fit).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
