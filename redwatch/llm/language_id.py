@@ -12,16 +12,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SLICE, buffers, mix, slices
+from .words import buffers, mix, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE = 4_000
 MAX_LANGUAGES = 256
 UNDETERMINED = "und"
+#: Bytes scored at a time; n-grams take about a hundred bytes of memory per byte of text.
+SLICE = 1 << 18
 
 _TABLE = 0x3000
 _lower: np.ndarray | None = None
@@ -124,7 +127,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col:
         total = np.zeros(len(languages) * BUCKETS, np.int64)
         for batch in batches:
             text, lang = batch.column("text"), np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for low, high in slices(text):
+            for low, high in slices(text, SLICE):
                 for row, bucket, _ in grams(text, low, high):
                     total += np.bincount(lang[low + row] * BUCKETS + bucket, minlength=len(total))
         cell = np.flatnonzero(total)
@@ -140,22 +143,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score, one row per document.
+    """Columns ``keep`` with lang_pred and score, one row per document; ``text_col`` may be a field of a kept struct.
 
     ``und`` with score 0 where the text is null or has no letter (an empty text has none), or where the model knows no
     language. Otherwise the language of largest posterior probability, ties by name, and that probability. Repeated rows are
     scored one by one; other columns are not read; an empty table gives no rows.
     """
-    inputs = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    struct, _, field = text_col.partition(".")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    # a text inside a kept struct is read from there and not sent twice
+    inputs = kept if field else docs.select(*kept.columns, F.col(f"`{text_col}`").cast("string").alias("__text"))
     # each n-gram order is weighted alike: the score of a text is the sum over all its n-grams
     prior, table, names = model.prior, model.log_prob, np.array([*model.languages, UNDETERMINED], object)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("__text")
+            text = pc.struct_field(batch.column(struct), field) if field else batch.column("__text")
             best = np.full(len(text), len(prior), np.int64)
             value = np.zeros(len(text))
-            for low, high in slices(text):
+            for low, high in slices(text, SLICE):
                 total = np.tile(prior, (high - low, 1))
                 letters = np.zeros(high - low, bool)
                 for row, bucket, has in grams(text, low, high):
@@ -170,7 +176,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
             arrays = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(value)], [*keep, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[:-1])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return inputs.mapInArrow(score, f"{kinds}, lang_pred string, score double")
 
 

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words kept per Python worker; beyond that the table starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 _END = b"\xff"
 _LATIN = 0x250
 
