@@ -27,8 +27,7 @@ def _as_documents(columns: list[str], row: str, text: str = "text") -> list:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter (null and empty texts too) and those whose language is uncertain."""
     model = language_id.fit(docs)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    judged = language_id.predict(rows, model, keep=("row",))
+    judged = language_id.predict(docs.select(F.struct("*").alias("row")), model, text_col="row.text", keep=("row",))
     return judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
