@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import buffers, mix, slices
+from .words import buffers, mix, settle, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -175,6 +175,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
                     value[low:high] = np.where(letters, share, 0.0)
             arrays = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(value)], [*keep, "lang_pred", "score"])
+            settle()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return inputs.mapInArrow(score, f"{kinds}, lang_pred string, score double")

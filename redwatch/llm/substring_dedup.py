@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Stages
-from .words import SEPARATOR, buffers, window_starts, windows, words_of
+from .words import SEPARATOR, buffers, settle, window_starts, windows, words_of
 
 #: Rows of one output batch: a very long text is sent in several.
 BATCH = 1 << 16
@@ -86,17 +86,17 @@ def packed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = zstandard.ZstdCompressor(level=1, write_content_size=True)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                text = batch.column("text").slice(i, 1024)
+            for i in range(0, batch.num_rows, 256):
+                text = batch.column("text").slice(i, 256)
                 blobs = [None if t is None else engine.compress(t) for t in text.cast(pa.binary()).to_pylist()]
-                own = [batch.column(c).slice(i, 1024) for c in others]
+                own = [batch.column(c).slice(i, 256) for c in others]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(blobs, pa.binary())], [*others, "packed"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
     return docs.mapInArrow(run, f"{kinds}packed binary")
 
 
-def _parts(batch: pa.RecordBatch, size: int = 1 << 23) -> Iterator[tuple[int, int]]:
+def _parts(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Row ranges whose compressed texts have about ``size`` bytes."""
     _, at = buffers(batch.column("packed"))
     low = 0
@@ -128,6 +128,7 @@ def _second_level(length: int):
                     one, two = windows(hashes, length, 1)[at], windows(hashes, length, 2)[at]
                     text, one, two = _distinct_windows(text, one, two.astype(np.uint32))
                     yield from _pairs(["h1", "h2", "doc_id"], [one.view(np.int64), two.view(np.int32), ids[first + text]])
+            settle()
 
     return run
 
@@ -148,6 +149,7 @@ def _last_level(length: int, with_text: bool):
         for batch in batches:
             for low, high in _parts(batch):
                 yield from _removed(batch.slice(low, high - low), length, with_text)
+            settle()
 
     return run
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
 #: Words kept per Python worker; beyond that the table starts anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 _END = b"\xff"
 _LATIN = 0x250
 
@@ -50,9 +50,8 @@ class _Words(dict):
 class WordBpe:
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             content = json.load(f)
         suffix = content["model"]["end_of_word_suffix"]
@@ -71,6 +70,13 @@ class WordBpe:
         # U+0130 has a lower case of two characters; special tokens start with "<|"
         self.other = re.compile(f"[^\\u0000-{chr(_LATIN - 1)}]|\\u0130|<\\|").search
 
+    @cached_property
+    def whole(self):
+        """The library's tokenizer, loaded when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     @lru_cache(maxsize=2)
     def load(path: str) -> WordBpe:

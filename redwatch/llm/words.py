@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 19
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -26,6 +26,11 @@ _STEP = np.random.default_rng(20240102).integers(1, _MASK, 64, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
+def settle() -> None:
+    """Give freed Arrow memory back to the system: workers live on from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the 64 output bits (a bijection)."""
     x = x ^ (x >> np.uint64(30))
