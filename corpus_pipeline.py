@@ -25,10 +25,17 @@ def _as_documents(columns: list[str], row: str, text: str = "text") -> list:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter (null and empty texts too) and those whose language is uncertain."""
+    """Drops documents without a letter (null and empty texts too) and those whose language is uncertain.
+
+    Uncertain is a document with no likely language among the known ones, and one whose n-grams are too rare in its likeliest
+    language, compared with all documents of that language: a text in an unknown language, or in none.
+    """
     model = language_id.fit(docs)
-    judged = language_id.predict(docs.select(F.struct("*").alias("row")), model, text_col="row.text", keep=("row",))
-    return judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select("row.*")
+    rows = language_id.predict(docs.select(F.struct("*").alias("row")), model, text_col="row.text", keep=("row",), detail=True)
+    judged = Stages(spark, "language").put(rows, release=True)
+    usual = language_id.typical(judged, F.col("row.lang").cast("string"))
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SCORE)
+    return judged.where(known & ~language_id.misfit(model, usual)).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

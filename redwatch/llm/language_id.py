@@ -23,6 +23,11 @@ ORDERS = (1, 2, 3)
 SAMPLE = 4_000
 MAX_LANGUAGES = 256
 UNDETERMINED = "und"
+#: A text is judged against its language by its log-probability per n-gram: this much below the middle (or ``SPREADS`` times the
+#: spread of the language's documents, if more) is allowed, and ``NOISE`` standard errors of its own length.
+MARGIN = 0.8
+SPREADS = 6.0
+NOISE = 3.0
 #: Bytes scored at a time; n-grams take about a hundred bytes of memory per byte of text.
 SLICE = 1 << 18
 
@@ -100,6 +105,13 @@ class Model:
     prior: np.ndarray  # (languages)
     log_prob: np.ndarray  # (languages, BUCKETS) float32
 
+    def gram_deviation(self) -> dict[str, float]:
+        """Standard deviation of the log-probability of one n-gram drawn from each language."""
+        wide = self.log_prob.astype(float)
+        share = np.exp(wide)
+        mean = (share * wide).sum(axis=1, keepdims=True)
+        return dict(zip(self.languages, np.sqrt((share * (wide - mean) ** 2).sum(axis=1)).tolist(), strict=True))
+
 
 def held_out(id_col: Column) -> Column:
     """Documents kept from training: crc32 of the id as text leaves 2 modulo 4."""
@@ -142,9 +154,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col:
     return Model(languages, prior, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), detail: bool = False) -> DataFrame:
     """Columns ``keep`` with lang_pred and score, one row per document; ``text_col`` may be a field of a kept struct.
 
+    ``detail`` adds n_grams and gram_log_prob, the mean log-probability of the text's n-grams in that language: the score says
+    which of the known languages is likeliest, this one how well the text fits it (see ``typical`` and ``misfit``).
+
     ``und`` with score 0 where the text is null or has no letter (an empty text has none), or where the model knows no
     language. Otherwise the language of largest posterior probability, ties by name, and that probability. Repeated rows are
     scored one by one; other columns are not read; an empty table gives no rows.
@@ -154,6 +169,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     # a text inside a kept struct is read from there and not sent twice
     inputs = kept if field else docs.select(*kept.columns, F.col(f"`{text_col}`").cast("string").alias("__text"))
     # each n-gram order is weighted alike: the score of a text is the sum over all its n-grams
+    names_more = ["n_grams", "gram_log_prob"] if detail else []
     prior, table, names = model.prior, model.log_prob, np.array([*model.languages, UNDETERMINED], object)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +177,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
             text = pc.struct_field(batch.column(struct), field) if field else batch.column("__text")
             best = np.full(len(text), len(prior), np.int64)
             value = np.zeros(len(text))
+            seen, mean = np.zeros(len(text), np.int64), np.zeros(len(text))
             for low, high in slices(text, SLICE):
                 total = np.tile(prior, (high - low, 1))
                 letters = np.zeros(high - low, bool)
                 for row, bucket, has in grams(text, low, high):
                     letters[has] = True
+                    seen[low:high] += np.bincount(row, minlength=high - low)
                     for k in range(len(prior)):
                         total[:, k] += np.bincount(row, weights=table[k][bucket], minlength=high - low)
                 if len(prior):
@@ -173,12 +191,38 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
                     share = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                     best[low:high] = np.where(letters, top, len(prior))
                     value[low:high] = np.where(letters, share, 0.0)
+                    own = total[np.arange(high - low), top] - prior[top]
+                    mean[low:high] = np.where(letters, own / np.maximum(seen[low:high], 1), 0.0)
+            more = [pa.array(seen), pa.array(mean)] if detail else []
             arrays = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(value)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(value), *more], [*keep, "lang_pred", "score", *names_more])
             settle()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return inputs.mapInArrow(score, f"{kinds}, lang_pred string, score double")
+    return inputs.mapInArrow(score, f"{kinds}, lang_pred string, score double" + (", n_grams long, gram_log_prob double" if detail else ""))
+
+
+def typical(judged: DataFrame, label: Column) -> dict[str, tuple[float, float]]:
+    """Middle and spread of gram_log_prob per language, over all rows of ``predict(detail=True)`` whose label is the prediction.
+
+    Rows of other or no label do not count, so that texts in an unknown language do not widen the language they fall to; one row
+    per language reaches the driver.
+    """
+    low, middle = (F.percentile_approx("gram_log_prob", p, 10_000) for p in (0.25, 0.5))
+    rows = judged.where((F.col("lang_pred") == label) & (F.col("lang_pred") != UNDETERMINED)).groupBy("lang_pred").agg(low.alias("low"), middle.alias("middle"))
+    return {r["lang_pred"]: (r["middle"], (r["middle"] - r["low"]) / 0.6745) for r in rows.collect()}
+
+
+def misfit(model: Model, usual: dict[str, tuple[float, float]]) -> Column:
+    """Whether a row's gram_log_prob is too low for its language, whatever its length; false where ``usual`` lacks the language.
+
+    The standard error takes the n-grams of one place (one per order) as one draw.
+    """
+    deviation, out = model.gram_deviation(), F.lit(False)
+    for lang, (middle, spread) in sorted(usual.items()):
+        error = deviation[lang] * F.sqrt(len(ORDERS) / F.greatest(F.col("n_grams"), F.lit(1)))
+        out = F.when(F.col("lang_pred") == lang, F.col("gram_log_prob") < middle - max(MARGIN, SPREADS * spread) - NOISE * error).otherwise(out)
+    return out
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

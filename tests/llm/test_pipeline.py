@@ -44,6 +44,29 @@ def test_language_stage(spark, chain):
     assert without <= lost and len(lost) <= len(without) + 3
 
 
+UNKNOWN = [
+    "La mattina presto il vecchio pescatore scese verso la spiaggia con le reti sulle spalle",
+    "Wczesnym rankiem stary rybak zszedł na plażę z sieciami na ramionach",
+    "Рано утром старый рыбак спустился к берегу с сетями на плечах",
+    "asdf jkl qwer uiop zxcv bnm asdf hjkl wert yuio xcvb nmas dfgh jklq wert",
+    "xkq zvw qqj wkx jzq vxk qzj kwv xqj zkv wqx jvk zqw xvj kqz wxv qjk",
+]
+
+
+def test_language_stage_drops_unknown_languages_and_noise(spark):
+    """Texts in an unlearned language or in none go, at 60 to 90 characters and longer, with no label or a wrong one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = docs.where("length(text) >= 40")
+    strange = [t for u in UNKNOWN for t in (u, "\n".join([u] * 30))]
+    rows = [(-1 - i, t, (None, "en")[i % 2], "src", len(t)) for i, t in enumerate(strange)]
+    mixed = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = corpus_pipeline.identify_language(spark, mixed, "").select("doc_id").collect()
+    assert [strange[-1 - r.doc_id] for r in kept if r.doc_id < 0] == []
+    ids = {r.doc_id for r in kept}
+    want = [r.doc_id for r in clean.select("doc_id").collect()]
+    assert len(want) > 900 and sum(i in ids for i in want) > 0.99 * len(want)
+
+
 def test_line_stage(chain):
     before, after = chain[1][1], chain[2][1]
     left = lines_left([(r.doc_id, r.text) for r in before], line_dedup.MIN_CHARS)
