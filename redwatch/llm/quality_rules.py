@@ -3,11 +3,13 @@
 Each document has two histograms: its character classes and the common words of its language. They are compared with the
 histograms of that language, summed over all documents that look ordinary, by the Jensen-Shannon distance (base 2, 0 to 1).
 Short documents are guarded: their histograms are noisy, so the allowed distance shrinks with the square root of the word
-count and below a minimum length no distance is judged.
+count and below a minimum length no distance is judged. The factor for the common words is that of ordinary documents of the
+language and about that length, and never reaches the distance of a text without any common word, where such a text is no accident.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -37,8 +39,10 @@ class Limits:
     judged_words: int = 20  # fewer: no distance is judged
     char_distance: float = 0.17
     char_slack: float = 0.5  # divided by the square root of the words
-    word_distance: float = 0.30
-    word_slack: float = 1.6
+    word_spreads: float = 4.0  # above the middle of ordinary documents
+    word_sample: int = 30  # fewer ordinary documents of a language and length: all lengths of the language count
+    word_reach: float = 0.95  # of the distance without a common word: no higher limit from the length on where
+    word_accident: float = 1e-4  # an ordinary text lacks all common words with at most this chance
     ordinary_symbols: float = 0.005  # share of symbols up to which a document counts as ordinary
 
 
@@ -135,7 +139,7 @@ def measures(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id",
     """Counts per document; a null text counts like the empty one. The language is the declared one if there is a reference for it."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     declared = F.col(f"`{lang_col}`").cast("string") if lang_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.when(declared.isin(*COMMON_WORDS), declared).alias("declared"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.when(declared.isin(*COMMON_WORDS), declared).alias("declared"), F.coalesce(~declared.isin(*COMMON_WORDS), F.lit(False)).alias("foreign"))
 
     def counted(w: Column) -> Column:
         language = F.coalesce(F.col("declared"), most_likely(w))
@@ -151,12 +155,14 @@ def measures(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id",
 
     return rows.select(
         "doc_id",
+        "foreign",
         let(words_of(F.col("text")), counted).alias("c"),
         F.char_length(F.translate("text", SEPARATORS, "")).cast("long").alias("word_chars"),
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
         F.array(*class_counts(F.col("text"))).alias("classes"),
     ).select(
         "doc_id",
+        "foreign",
         F.col("c.n_words").alias("n_words"),
         "word_chars",
         F.get("classes", F.lit(CLASSES.index("symbol"))).alias("n_symbols"),
@@ -205,24 +211,56 @@ def distance(counts: Column, shares: Column) -> Column:
     return let(counts, of)
 
 
+def length_class(n: Column) -> Column:
+    """Lengths between two powers of two."""
+    return F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+
+
+def word_limits(rows: DataFrame, found: dict[str, tuple[list[float], list[float]]], limits: Limits = Limits()) -> Column:
+    """Largest allowed word distance of a row, from the distances of all judged ordinary documents by language and length.
+
+    A histogram of n words lies about 1 / sqrt(n) from its source, so middle and spread are taken of distance x sqrt(n); one row
+    per language and length class (or all lengths) reaches the driver.
+    """
+    ordinary = rows.where(~failed(limits) & (F.col("n_symbols") <= limits.ordinary_symbols * F.col("word_chars")) & (F.col("n_words") >= limits.judged_words))
+    scaled = ordinary.where("word_distance IS NOT NULL AND NOT foreign").select("language", length_class(F.col("n_words")).alias("class"), (F.col("word_distance") * F.sqrt("n_words")).alias("u"))
+    middle, high = (F.percentile_approx("u", p, 10_000) for p in (0.5, 0.75))
+    laws = scaled.rollup("language", "class").agg(middle.alias("middle"), high.alias("high"), F.count(F.lit(1)).alias("n")).where("language IS NOT NULL").collect()
+    allowed = {(r["language"], r["class"]): r["middle"] + limits.word_spreads * (r["high"] - r["middle"]) / 0.6745 for r in laws if r["class"] is None or r["n"] >= limits.word_sample}
+    n, out = F.col("n_words"), F.lit(None).cast("double")
+    for lang, (_, shares) in sorted(found.items()):
+        factor = F.lit(allowed.get((lang, None))).cast("double")
+        for (_, size), value in sorted((k, v) for k, v in allowed.items() if k[0] == lang and k[1] is not None):
+            factor = F.when(length_class(n) == size, value).otherwise(factor)
+        rest = shares[-1]  # words that are not common
+        without = math.sqrt(max(0.0, (math.log2(2 / (1 + rest)) + (1 - rest) + (rest * math.log2(2 * rest / (1 + rest)) if rest else 0.0)) / 2))
+        least = math.log(limits.word_accident) / math.log(rest) if 0 < rest < 1 else math.inf
+        limit = factor / F.sqrt(n)
+        out = F.when(F.col("language") == lang, F.when(n >= least, F.least(limit, F.lit(limits.word_reach * without))).otherwise(limit)).otherwise(out)
+    return out
+
+
 def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """Counts, both distances and the verdict, one row per document.
 
     A null or empty text has no words and fails the base rules. A language without a reference counts as the one with most common
-    words in the text; where no ordinary document exists for it, no distance is judged. Repeated rows are judged one by one.
+    words in the text; where no ordinary document exists for it, no distance is judged, and where it was declared, only the
+    characters are: its common words are not known. Repeated rows are judged one by one.
     Other columns are not read; an empty table gives no rows.
     """
     stages = Stages(docs.sparkSession, "quality")
     measured = stages.put(measures(docs, limits, id_col, text_col, lang_col))
     classes, words = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
-    for lang, (c, w) in sorted(references(measured, limits).items()):
+    found = references(measured, limits)
+    for lang, (c, w) in sorted(found.items()):
         here = F.col("language") == lang
         classes = F.when(here, F.array(*[F.lit(x) for x in c])).otherwise(classes)
         words = F.when(here, F.array(*[F.lit(x) for x in w])).otherwise(words)
     all_words = F.concat("common", F.array(F.col("n_words") - total(F.col("common"))))
     rows = measured.withColumn("char_distance", distance(F.col("classes"), classes)).withColumn("word_distance", distance(all_words, words))
     noise = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-    far = (F.col("char_distance") > limits.char_distance + limits.char_slack * noise) | (F.col("word_distance") > limits.word_distance + limits.word_slack * noise)
+    odd_words = ~F.col("foreign") & (F.col("word_distance") > word_limits(rows, found, limits))
+    far = (F.col("char_distance") > limits.char_distance + limits.char_slack * noise) | F.coalesce(odd_words, F.lit(False))
     judged = F.coalesce(far, F.lit(False)) & (F.col("n_words") >= limits.judged_words)
     return rows.withColumn("base_failed", failed(limits)).withColumn("kept", ~failed(limits) & ~judged).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "language", "char_distance", "word_distance"

@@ -254,6 +254,21 @@ def test_quality_verdict(spark):
     assert len(calm) > 500 and sum(r.kept for r in calm) > 0.995 * len(calm)
 
 
+def test_quality_verdict_without_common_words(spark):
+    """Lower-case word salad of any judged length without common words goes, and only that of these languages; clean texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    common = {w for own in quality_rules.COMMON_WORDS.values() for w in own}
+    parts = [t for t in (r.text for r in docs.where("lang = 'en' AND text IS NOT NULL").orderBy("doc_id").limit(400).collect())]
+    pool = [w for t in parts for w in re.findall(r"[a-z]{3,}", t) if w not in common]
+    salad = [(-1 - k, " ".join(pool[37 * k : 37 * k + n]), lang) for k, (n, lang) in enumerate((n, lang) for n in (60, 100, 200, 500, 2000) for lang in ("en", None, "it"))]
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(salad, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in quality_rules.judge(rows).where("not base_failed and n_words >= 20").collect()}
+    assert all(got[i].kept == (lang == "it") for i, _, lang in salad)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    calm = [r for i, r in got.items() if i >= 0 and sum(c.isupper() for c in texts[i]) < 0.1 * len(texts[i]) and r.n_symbols < 0.002 * len(texts[i])]
+    assert len(calm) > 500 and sum(r.kept for r in calm) > 0.99 * len(calm)
+
+
 def test_distance(spark):
     p, q = np.array([1, 0, 3, 4]), np.array([0.5, 0.25, 0.25, 0.0])
     row = spark.range(1).select(quality_rules.distance(F.array(*[F.lit(int(x)).cast("long") for x in p]), F.array(*[F.lit(float(x)) for x in q])).alias("d")).first()
