@@ -8,6 +8,8 @@ once has found its place and leaves, so only repeated runs are carried on.
 The positions of equal rank are a longest-common-prefix interval: their suffixes share that many lines. All but the first of an
 interval start a later copy. A maximal repeated run of n lines, 2^k <= n < 2^(k+1), is the union of its first and its last
 2^k lines, so the intervals at powers of two cover every line of every run that occurs earlier; covered lines go.
+The limit on characters holds per window of 2^k lines, as in the SQL form, not per maximal run: a run of short lines can stay, or
+go in part, although the whole run reaches the limit.
 """
 
 from __future__ import annotations
