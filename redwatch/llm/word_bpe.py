@@ -28,8 +28,12 @@ def _byte_symbols() -> dict[str, int]:
 
 
 def _char_class(kind: str) -> str:
-    """Regex class of the Latin characters of a Unicode category, as escaped code points."""
-    return "".join(f"\\u{c:04x}" for c in range(_LATIN) if unicodedata.category(chr(c)).startswith(kind))
+    """Regex class of the Latin characters of a Unicode category and of their lower cases, as escaped code points.
+
+    Some lower cases lie above the range, such as those of U+018F or U+023A.
+    """
+    chars = {x for c in range(_LATIN) for x in (chr(c), *chr(c).lower())}
+    return "".join(f"\\u{ord(x):04x}" for x in sorted(chars) if unicodedata.category(x).startswith(kind))
 
 
 class _Words(dict):

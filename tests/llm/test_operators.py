@@ -208,6 +208,13 @@ def test_word_bpe_equals_the_library(text):
     assert np.frombuffer(bpe.encode(text), "<u4").tolist() == bpe.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_word_bpe_equals_the_library_on_every_latin_character():
+    bpe = packing.WordBpe.load(packing.tokenizer_path())
+    texts = [t for c in map(chr, range(0x250)) for t in (c, c + "li", "al" + c, "a" + c + "b", c + c, f"Bu {c}n s{c} 1{c}2")]
+    want = bpe.whole.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, w in zip(texts, want, strict=True) if np.frombuffer(bpe.encode(t), "<u4").tolist() != w.ids] == []
+
+
 # --------------------------------------------------------------------------- 6 substrings
 
 
