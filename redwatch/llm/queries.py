@@ -22,6 +22,12 @@ def _line_oracle() -> str:
     return line_dedup.oracle()
 
 
+def _manifest_oracle() -> str:
+    from . import merkle_manifest
+
+    return merkle_manifest.ORACLE
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -98,4 +104,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_deleted", F.md5(F.encode("text", "UTF-8")).alias("kept_md5"))
 
 
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle_manifest
+
+    return merkle_manifest.audited(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op1_line_dedup"] = _line_oracle()
+ORACLES["op11_merkle_manifest"] = _manifest_oracle()
