@@ -111,5 +111,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.audited(table(spark, sf_dir, "documents"))
 
 
+@register
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_files
+
+    return token_files.stored_ids(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op1_line_dedup"] = _line_oracle()
 ORACLES["op11_merkle_manifest"] = _manifest_oracle()
