@@ -111,6 +111,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.audited(table(spark, sf_dir, "documents"))
 
 
+@register
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import importance_resampling
+
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 @register
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
