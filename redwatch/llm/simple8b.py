@@ -17,20 +17,41 @@ BITS = np.array([0, *WIDTHS, 60])
 _PAYLOAD = np.uint64((1 << 60) - 1)
 
 
+#: Smallest selector that holds a number below 2^16.
+_SMALL = np.searchsorted(BITS[: len(WIDTHS) + 1], np.frexp(np.arange(1 << 16, dtype=np.float64))[1]).astype(np.int8)
+
+
+def _classes(ids: np.ndarray) -> np.ndarray:
+    """Smallest selector that holds each number."""
+    out = _SMALL[(ids & np.uint64(0xFFFF)).astype(np.int64)]
+    large = np.flatnonzero(ids >> np.uint64(16))
+    if len(large):
+        # compared as whole numbers: the limits 2^bits are exact
+        out[large] = np.searchsorted((np.uint64(1) << BITS[1 : len(WIDTHS) + 1].astype(np.uint64)) - np.uint64(1), ids[large]) + 1
+    return out
+
+
 def _selectors(ids: np.ndarray) -> np.ndarray:
     """Per position the selector with most numbers that can start there; behind the end there is room for anything."""
     n = len(ids)
-    here = np.arange(n)
-    best = np.where(ids > _PAYLOAD, ESCAPE, len(WIDTHS)).astype(np.int8)
+    own = _classes(ids)
+    best = np.where(own == ESCAPE, ESCAPE, len(WIDTHS)).astype(np.int8)
     for s in range(len(WIDTHS) - 1, -1, -1):
-        wide = ids >> np.uint64(BITS[s]) != 0
-        if n - int(wide.sum()) < min(n, COUNTS[s]):
-            # fewer fitting numbers than one word takes
-            if not wide.any() or wide[-1]:
-                continue
-        # place of the next number that does not fit
-        stop = np.minimum.accumulate(np.where(wide, here, n)[::-1])[::-1]
-        best[(stop - here >= COUNTS[s]) | (stop == n)] = s
+        # stretches between numbers that do not fit
+        stops = np.concatenate([np.flatnonzero(own > s), [n]])
+        begins = np.concatenate([[0], stops[:-1] + 1])
+        stretch = np.flatnonzero(stops - begins >= COUNTS[s])
+        ends = stops[stretch] - COUNTS[s] + 1
+        begins = begins[stretch]
+        if len(stretch) > n // 64:
+            mark = np.zeros(n + 1, np.int8)
+            mark[begins] = 1
+            mark[ends] -= 1
+            best[np.cumsum(mark[:n], dtype=np.int8).view(bool)] = s
+        else:
+            for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+                best[begin:end] = s
+        best[stops[-2] + 1 if len(stops) > 1 else 0 :] = s
     return best
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from functools import cached_property, lru_cache
 
@@ -44,7 +45,8 @@ class _Words(dict):
         self.merge = merge
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.merge(word.encode() + _END), "<u4").tobytes()
+        merged = self.merge(word.encode() + _END)
+        ids = struct.pack(f"<{len(merged)}I", *merged)
         if len(self) >= KEPT_WORDS:
             self.clear()
         self[word] = ids
