@@ -5,7 +5,8 @@ Two small collections of minhash groups are computed per document. A table key i
 agree on a group of the first *and* on a group of the second collection; documents that share no group with anybody
 on one of the sides are dropped before any pair key is formed.
 
-Documents with equal shingle sets are one node. Within a bucket every node is compared with the smallest one only; links found
+Documents with equal shingle sets are one node, named by a number of its own: an id may stand for several texts, and each keeps its
+links. Within a bucket every node is compared with the smallest one only; links found
 so far make components. Buckets that still hold different components are looked at again: nodes with too many shingles of
 their own leave, the rest of each crowd is compared in blocks, those outside the largest component against all. So no
 link between candidates is lost, no list of pairs is formed, and most of a group of near copies costs one comparison each.
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from .shared import Stages, components
 from .words import mix, window_starts, windows, words_of
 
-GROUPS = 9
-ROWS = 2
+#: A pair of similarity 0.85 shares a key with probability 0.99998, one of 0.8 with 0.9993, one of 0.3 with 0.08, one of 0.2 with 0.01.
+GROUPS = 12
+ROWS = 3
 #: Shingles on either side of a block of comparisons.
-BLOCK = 400_000
+BLOCK = 100_000
 
 _SEEDS = np.random.default_rng(20240301).integers(1, 2**63, 4096, dtype=np.uint64)
 
@@ -76,12 +78,9 @@ def signatures(docs: DataFrame, k: int, groups: int, rows: int, id_col: str, tex
             for sizes, shingles in shingle_sets(batch.column("text"), k):
                 n = len(sizes)
                 full = sizes > 0
-                prints = np.zeros((2, n), np.uint64)
+                prints = fingerprints(sizes, shingles)
                 keys = pa.nulls(n, pa.list_(pa.int64()))
                 if full.any():
-                    starts = (np.cumsum(sizes) - sizes)[full]
-                    for i in range(2):
-                        prints[i, full] = np.add.reduceat(mix(shingles ^ _SEEDS[4000 + i]), starts)
                     found = group_keys(sizes[full], shingles, groups, rows).view(np.int64)
                     width = np.where(full, 2 * groups, 0)
                     offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
@@ -96,20 +95,33 @@ def signatures(docs: DataFrame, k: int, groups: int, rows: int, id_col: str, tex
     return rows_in.mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, keys array<long>")
 
 
+def fingerprints(sizes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """(2, texts): two sums of hashes over each set, 0 for an empty one."""
+    out, full = np.zeros((2, len(sizes)), np.uint64), sizes > 0
+    if full.any():
+        starts = (np.cumsum(sizes) - sizes)[full]
+        for i in range(2):
+            out[i, full] = np.add.reduceat(mix(shingles ^ _SEEDS[4000 + i]), starts)
+    return out
+
+
 def stored_sets(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """node, set (sorted 64-bit shingle hashes as bytes) for the documents in ``nodes``."""
+    """node, set (sorted 64-bit shingle hashes as bytes) for ``nodes`` (node, n, f1, f2, and low, the id of a document that has the set).
+
+    All texts of such an id are read; the fingerprint tells which of them is meant.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = 0
             for sizes, shingles in shingle_sets(batch.column("text"), k):
                 ends = np.cumsum(sizes)
                 sets = [shingles[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(done, len(sizes)), pa.array(sets, pa.binary())], ["node", "set"])
-                done += len(sizes)
+                f1, f2 = fingerprints(sizes, shingles).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(f1), pa.array(f2), pa.array(sets, pa.binary())], ["n", "f1", "f2", "set"])
 
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text"))
-    return texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(gather, "node long, set binary").dropDuplicates(["node"])
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("low"), F.col(f"`{text_col}`").alias("text"))
+    sets = texts.join(nodes.select("low").distinct(), "low", "left_semi").select("text").mapInArrow(gather, "n long, f1 long, f2 long, set binary")
+    return sets.dropDuplicates(["n", "f1", "f2"]).join(nodes.select("node", "n", "f1", "f2"), ["n", "f1", "f2"]).select("node", "set")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,9 +175,8 @@ def _block_links(percent: int):
         present = np.zeros(len(tokens), np.int32)
         found = []
         for x in np.flatnonzero(stray):
-            at = np.searchsorted(tokens, sets[x])
-            at = at[at < len(tokens)]
-            at = at[np.isin(tokens[at], sets[x], assume_unique=True)]
+            at = np.minimum(np.searchsorted(tokens, sets[x]), len(tokens) - 1)
+            at = at[tokens[at] == sets[x]]
             present[at] = 1
             both = np.add.reduceat(present[ids], starts)
             present[at] = 0
@@ -218,17 +229,19 @@ def near_duplicates(
 
     Texts are compared by their sets of ``k``-word shingles (A-Z folded); a link needs an overlap of ``percent`` of the union. A
     null text, or one without words, has an empty set and links with nothing. Equal sets are linked, so repeated rows
-    share a component; rows with the same id all carry ``kept`` of that id. A row without an id is in no component
-    (component_id null, kept false). Other columns are not read; an empty table gives no rows.
+    share a component. Rows that share an id but not the text are documents of their own, each with its own links, and not
+    linked by the id. A component is named by its smallest id. A row without an id is in no component (component_id null,
+    kept false). Other columns are not read; an empty table gives no rows.
     """
     stages = Stages(docs.sparkSession, "minhash")
     signed = stages.put(signatures(docs, k, groups, rows, id_col, text_col))
     classes = (
         signed.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("n", "f1", "f2")
-        .agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
+        .agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
     )
-    nodes = stages.put(classes)
+    # numbered when written, so that the numbers stay
+    nodes = stages.put(classes.withColumn("node", F.monotonically_increasing_id()))
     # keep what shares a group with another node, on both sides
     halves = nodes.select("node", "n", F.posexplode("keys").alias("place", "key"))
     # written before the join, as the heads are below: then the rows of a key that many share can be split over tasks
@@ -242,7 +255,8 @@ def near_duplicates(
     heads = stages.put(heads)
     buckets = stages.put(cells.join(heads, "key"))
     stages.drop(cells, heads, met)
-    sets = stages.put(stored_sets(docs, buckets.select("node").distinct(), k, id_col, text_col))
+    wanted = stages.put(nodes.select("node", "n", "f1", "f2", "low").join(buckets.select("node").distinct(), "node", "left_semi"))
+    sets = stages.put(stored_sets(docs, wanted, k, id_col, text_col))
     fit = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
     stars = stages.put(buckets.where((F.col("head") < F.col("node")) & fit).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
     links = stages.put(confirmed(stars, sets, percent))
@@ -252,10 +266,12 @@ def near_duplicates(
     found = stages.put(crowd_links(named, sets, percent))
     if not found.isEmpty():
         labels = components(links.unionByName(found))
-    stages.drop(buckets, sets, stars)
-    group = nodes.join(labels, "node", "left").select("n", "f1", "f2", "rows", "node", F.coalesce("component", "node").alias("component"))
-    group = group.where("rows > 1 OR component <> node").select("n", "f1", "f2", "component")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    stages.drop(buckets, sets, stars, wanted)
+    linked = nodes.select("node", "n", "f1", "f2", "low", "rows").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # written before the join with their members, of which one component may have most
+    lowest = stages.put(linked.groupBy("component").agg(F.min("low").alias("least"), F.sum("rows").alias("members")).where("members > 1").select("component", "least"))
+    group = linked.join(lowest, "component").select("n", "f1", "f2", "least")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return signed.join(group, ["n", "f1", "f2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
     )

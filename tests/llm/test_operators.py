@@ -301,6 +301,25 @@ def test_minhash(docs, k, percent):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)
 
 
+def test_minhash_of_ids_with_several_texts(spark, monkeypatch):
+    """Each text of an id keeps its own links, alone and in a crowd of edited copies."""
+    a, b = prose(100, 41).split(), prose(100, 42).split()
+    edit = lambda w, *at: " ".join("edit" if i in at else x for i, x in enumerate(w))
+    rows = [(5, edit(a)), (5, edit(b)), (7, edit(a, 3)), (9, edit(b, 50)), (9, edit(a, 90)), (11, "alone"), (11, edit(b, 51))]
+    rng = np.random.default_rng(8)
+    base = prose(150, 43).split()
+    rows += [(20 + i // 2, edit(base, *rng.choice(150, rng.integers(0, 8), replace=False))) for i in range(80)]
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 700)
+    sets = {k: shingles(t, 3) for k, (_, t) in enumerate(rows)}
+    root = components(sets, near_links(sets, 85))
+    least = {}
+    for k, r in root.items():
+        least[r] = min(least.get(r, 10**9), rows[k][0])
+    got = minhash_dedup.near_duplicates(documents(spark, rows), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(sets[k]), least[root[k]]) for k, (i, _) in enumerate(rows))
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_minhash_crowds(spark, monkeypatch):
     """Many edited copies of one text: links that the smallest copy does not have are found too."""
     rng = np.random.default_rng(3)
