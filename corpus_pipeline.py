@@ -46,10 +46,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of every group of near duplicates (five words, 0.8); rows without an id stay."""
-    found = minhash_dedup.near_duplicates(docs)
-    dropped = found.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Keeps one document of every group of near duplicates (five words, 0.8), that of smallest id; one without an id stays only
+    where the group has none with an id. Rows are compared by a number of their own, so copies that share an id, or have none, are
+    copies like others; a text without words is in no group.
+    """
+    tables = Stages(spark, "near")
+    rows = tables.put(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")))
+    texts = rows.select("key", F.col("row.text").alias("text"))
+    found = minhash_dedup.near_duplicates(texts, id_col="key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    found = tables.put(found)
+    copies = found.where("key <> group").select("group").distinct()
+    members = found.join(tables.put(copies), "group").join(rows.select("key", F.col("row.doc_id").alias("id")), "key")
+    members = tables.put(members.select("group", "key", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("place")))
+    # one row per group, written before the join with the members, of which one group may have most
+    first = tables.put(members.groupBy("group").agg(F.min("place").alias("place")))
+    dropped = members.join(first.select("group", F.col("place.key").alias("kept")), "group").where("key <> kept").select("key")
+    return rows.join(dropped, "key", "left_anti").select("row.*")
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
