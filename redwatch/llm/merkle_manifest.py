@@ -14,7 +14,7 @@ import hashlib
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ranks
@@ -147,19 +147,6 @@ def _handed_down(nodes: DataFrame, above: DataFrame, kept: list[str], ends: list
     return both.applyInArrow(down, f"{kinds}witness array<{_STEP}>" + "".join(f", {end} string" for end in ends))
 
 
-def _positions(rows: DataFrame, by: list[str], stages: Stages) -> DataFrame:
-    """``rows`` with pos (place in its tree in the order ``by``) and n (rows of the tree).
-
-    Rows are numbered in range partitions of (tree, ``by``); what meets per tree is one count per partition.
-    """
-    parts = ranks.sorted_parts(rows, [F.col("tree"), *[F.col(c).asc_nulls_first() for c in by]], stages)
-    rows = parts.withColumn("__part", ranks.part()).withColumn("__place", ranks.place()).drop(ranks.AT)
-    own = Window.partitionBy("tree")
-    cells = rows.groupBy("tree", "__part").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    cells = cells.select("tree", "__part", (F.sum("__n").over(own.orderBy("__part")) - F.col("__n") - F.col("__first")).alias("__before"), F.sum("__n").over(own).alias("n"))
-    return rows.join(cells, ["tree", "__part"]).withColumn("pos", F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
-
-
 def leaf(fields: list[Column]) -> Column:
     """Digest of a row: per field ``-`` if null, else its UTF-8 length, a colon and the value."""
     texts = [f.cast("string") for f in fields]
@@ -183,10 +170,10 @@ def witnessed(leaves: DataFrame, tree: str, by: list[str], value: str = "leaf",
     # a null name sorts before all others
     name = F.coalesce(F.concat(F.lit("="), F.col(f"`{tree}`")), F.lit(""))
     rows = stages.put(leaves.withColumn("tree", name).withColumn("digest", F.col(value)))
-    nodes = stages.put(_positions(rows, [*by, "digest"], stages))
+    nodes = stages.put(ranks.positions(rows, "tree", [F.col(c).asc_nulls_first() for c in (*by, "digest")], stages))
     blocks = _above(nodes, stages, arity, levels)
     subroots = blocks.where("pos = 0").select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest"))
-    top = stages.put(_positions(stages.put(subroots), ["name"], stages))
+    top = stages.put(ranks.positions(stages.put(subroots), "tree", [F.col("name").asc()], stages))
     over = _handed_down(top, _above(top, stages, arity, levels), ["name"], ["root"], arity, levels)
     over = over.select(F.col("name").alias("tree"), F.col("witness").alias("rest"), "root")
     whole = blocks.withColumnRenamed("root", "tree_root").join(over, "tree").withColumn("witness", F.concat("witness", "rest"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Stages
@@ -42,3 +42,16 @@ def global_rank(rows: DataFrame) -> Column:
     starts = dict(zip(known, accumulate((counts[p] for p in known), initial=0), strict=False))
     before = F.create_map(*[F.lit(x) for p in known for x in (p, starts[p])]) if known else F.create_map(F.lit(0), F.lit(0))
     return (F.element_at(before, part()) + place()).cast("long")
+
+
+def positions(rows: DataFrame, group: str, by: list[Column], stages: Stages) -> DataFrame:
+    """``rows`` with pos (place in its ``group`` in the order ``by``, from 0) and n (rows of the group); groups are not null.
+
+    Rows are numbered in range partitions of (group, ``by``); what meets per group is one count per partition.
+    """
+    parts = sorted_parts(rows, [F.col(group), *by], stages)
+    rows = parts.withColumn("__part", part()).withColumn("__place", place()).drop(AT)
+    own = Window.partitionBy(group)
+    cells = rows.groupBy(group, "__part").agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    cells = cells.select(group, "__part", (F.sum("__n").over(own.orderBy("__part")) - F.col("__n") - F.col("__first")).alias("__before"), F.sum("__n").over(own).alias("n"))
+    return rows.join(cells, [group, "__part"]).withColumn("pos", F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")

@@ -102,6 +102,9 @@ def test_embeddings(spark, monkeypatch):
     near = base[:20] + 0.2 * rng.normal(size=(20, 48)) * np.linalg.norm(base[:20], axis=1)[:, None] / 7
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(np.vstack([base, near, near[:5] * 3]).astype(np.float32))]
     rows += [(200, None), (201, []), (202, [0.0] * 48), (203, [float("nan")] * 48), (204, [float("inf")] + [1.0] * 47), (205, [None] + [1.0] * 47)]
+    # many lengths, and ids with several vectors
+    rows += [(300 + w, [1.0] * w) for w in range(1, 24)] + [(400 + w, [1.0] * w) for w in range(3, 24)]
+    rows += [(500, rows[3][1]), (500, rows[9][1]), (501, [5 * x for x in rows[9][1]]), (502, rows[3][1][:47] + [9.0])]
     rows += [(206, [1.0, 2.0]), (207, [1.0, 2.1]), (208, rows[0][1]), (208, rows[0][1]), (None, rows[0][1]), (209, [1e30] * 48), (210, [1e-30] * 48)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("node", F.lit(1)).withColumn("vector", F.lit("x"))
     got = embedding_dedup.near_duplicates(df, 0.9, tile=16).collect()
@@ -114,15 +117,26 @@ def test_embeddings(spark, monkeypatch):
             if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9:
                 count[a] += 1
                 count[b] += 1
-                links.append((fine[a][0], fine[b][0]))
-    root = components([i for i, _ in rows if i is not None], links)
-    degree = dict(zip([i for i, _ in fine], count, strict=True))
+                links.append((a, b))
+    root = components(range(len(fine)), links)
+    least = {}
+    for k, r in root.items():
+        least[r] = min(least.get(r, 10**9), fine[k][0])
+    want = [(i, count[k], least[root[k]]) for k, (i, _) in enumerate(fine)]
+    want += [(i, 0, i) for i, v in rows if i is not None and not (v and None not in v and np.isfinite(v).all() and any(v))]
     assert len(got) == len(rows) and len(links) > 20
-    for r in got:
-        if r.vec_id is None:
-            assert (r.n_links, r.component_id, r.kept) == (0, None, False)
-        else:
-            assert (r.n_links, r.component_id, r.kept) == (degree.get(r.vec_id, 0), root[r.vec_id], root[r.vec_id] == r.vec_id)
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, False)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id is not None) == sorted(want)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
+
+
+def test_boxes_bound_every_cosine():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = (embedding_dedup.units(rng.normal(size=(7, 30)) * rng.exponential(size=30) + 2 * rng.normal(size=30)) for _ in range(2))
+        assert embedding_dedup.reach(embedding_dedup.box(a), embedding_dedup.box(b)) >= (a @ b.T).max() - 1e-12
+    near, far = (embedding_dedup.units(c + 0.01 * rng.normal(size=(5, 30))) for c in (np.eye(30)[0], np.eye(30)[1]))
+    assert embedding_dedup.reach(embedding_dedup.box(near), embedding_dedup.box(far)) < 0.9
 
 
 # --------------------------------------------------------------------------- 4 languages
