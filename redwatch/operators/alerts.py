@@ -1,8 +1,9 @@
 """Alert life cycle in batch: one state machine, written once as data.
 
 A signal is OK, PENDING (counting anomalous cycles), FIRING or RESOLVING (counting clean cycles).
-The machine has few states, so a run of cycles is a function from state to state.  Runs of fixed
-length are folded independently into such functions; only the functions are chained per signal.
+The machine has few states, so a run of cycles is a function from state to state.  Functions compose, so
+the states of a long history are an associative scan: runs of cycles are folded apart from each other, their functions are
+combined level by level, and the state at the start of each run is handed down again.
 The streaming operator uses the same table.
 """
 
@@ -16,9 +17,13 @@ from pyspark.sql import Window as W
 
 from ..config import PRODUCTION, Settings
 from ..functions.scalars import col
+from ..sources.tables import stored
 
 KEY = ("endpoint_id", "signal_type")
+#: Cycles of a run, by the clock, and parts of a block on each level of the scan.
 RUN = 64
+FAN = 1024
+LEVELS = 2
 
 
 CLEAN, BAD, BETWEEN = 0, 1, 2
@@ -60,64 +65,82 @@ def _step(states) -> Column:
     return F.array(*[F.array(*[F.lit(s[2 + i]) for s in states]) for i in (CLEAN, BAD, BETWEEN)])
 
 
-def _compose(first: Column, then: Column) -> Column:
-    """State function that applies ``first`` and ``then``."""
-    return F.transform(first, lambda s: F.get(then, s))
+def _after(states, step: Column, before: Column, item: Column) -> Column:
+    """State after a cycle, with the times when the incident began, fired and closed last."""
+    firing = next(i for i, st in enumerate(states) if st[0] == "firing")
+    code = F.get(F.get(step, item["_a"]), before["code"])
+    return F.struct(
+        code.alias("code"),
+        F.when((before["code"] == 0) & (code != 0), item["_t"]).otherwise(before["began"]).alias("began"),
+        F.when((before["code"] < firing) & (code == firing), item["_t"]).otherwise(before["fired"]).alias("fired"),
+        F.when((before["code"] != 0) & (code == 0), item["_t"]).otherwise(before["closed"]).alias("closed"),
+    )
+
+
+def _applied(function: Column, before: Column) -> Column:
+    """State after the cycles that ``function`` (an end for each start state) stands for."""
+    end = F.get(function, before["code"])
+    return F.struct(end["code"].alias("code"), *[F.coalesce(end[c], before[c]).alias(c) for c in ("began", "fired", "closed")])
+
+
+def _start(code, kind: str) -> Column:
+    return F.struct(F.lit(code).cast("int").alias("code"), *[F.lit(None).cast(kind).alias(c) for c in ("began", "fired", "closed")])
+
+
+def _entries(parts: DataFrame, key: Sequence[str], states, kind: str, levels: int) -> DataFrame:
+    """(key, _pos, _entry): the state before each part, for parts (key, _pos, _map) in the order of _pos.
+
+    Parts are combined to blocks of ``FAN``, the blocks' entries are found in the same way, and each block hands its own on.
+    """
+    key = list(key)
+    listed = F.sort_array(F.collect_list(F.struct("_pos", "_map"))).alias("_parts")
+    if not levels:
+        blocks = parts.groupBy(*key).agg(listed).withColumn("_entry", _start(0, kind))
+    else:
+        grouped = parts.groupBy(*key, F.floor(F.col("_pos") / FAN).cast("long").alias("_up")).agg(listed)
+        every = F.array(*[_start(i, kind) for i in range(len(states))])
+        whole = F.aggregate("_parts", every, lambda f, p: F.transform(f, lambda s: _applied(p["_map"], s)))
+        above = _entries(grouped.select(*key, F.col("_up").alias("_pos"), whole.alias("_map")), key, states, kind, levels - 1)
+        blocks = grouped.join(above.withColumnRenamed("_pos", "_up"), [*key, "_up"])
+    before = F.aggregate("_parts", F.array("_entry"), lambda acc, p: F.array_append(acc, _applied(p["_map"], F.element_at(acc, -1))))
+    return blocks.select(*key, F.explode(F.arrays_zip(F.col("_parts._pos").alias("_pos"), before.alias("_entry"))).alias("_z")).select(
+        *key, "_z._pos", "_z._entry"
+    ).where(F.col("_pos").isNotNull())
 
 
 def fold_states(
     rows: DataFrame, settings: Settings = PRODUCTION, key: Sequence[str] = KEY,
     time: str = "time", flag: str = "anomaly",
 ) -> DataFrame:
-    """Add ``prev_code`` and ``code``: the state before and after each cycle.
+    """Add ``prev_code`` and ``code``, the state before and after each cycle, and ``_began``, ``_fired`` and ``_closed``: when
+    the incident last began, fired and closed.
 
-    Cycles are numbered per key, cut into runs of 64, and each run is folded from every possible
-    start state, so no fold and no array grows with the length of the history.
+    A run holds the cycles of 64 cycle lengths by the clock, so no task needs a whole signal and nothing is sorted globally. Each run
+    is folded from every possible start state; the functions are scanned in blocks of ``FAN``, whatever the
+    length of the history. Cycles at the same time are taken clean ones first; cycles without a time come before all others.
     """
     key = list(key)
     states = machine(settings)
-    step = _step(states)
-    start_all = F.array(*[F.lit(i) for i in range(len(states))])
-    seq = F.row_number().over(W.partitionBy(*key).orderBy(time))
-    numbered = rows.withColumn("_run", F.floor((seq - 1) / RUN).cast("int"))
+    step, kind = _step(states), rows.schema[time].dataType.simpleString()
+    run = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / F.lit(RUN * settings.cycle_seconds)).cast("long")
     item = F.struct(
         F.col(time).alias("_t"), symbol(settings, flag).alias("_a"),
         F.struct(*[c for c in rows.columns if c not in key]).alias("_row"),
     )
-    runs = numbered.groupBy(*key, "_run").agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    runs = runs.withColumn("_flags", F.transform("_items", lambda x: x["_a"]))
-    # the run as a function: end state for each start state
-    runs = runs.withColumn(
-        "_map",
-        F.aggregate(
-            "_flags", start_all,
-            lambda acc, a: F.transform(acc, lambda s: F.get(F.get(step, a), s)),
-        ),
-    )
-    # chain the functions: first inside blocks of 64 runs, then over whole blocks
-    runs = runs.withColumn("_block", F.floor(F.col("_run") / RUN).cast("int"))
-    by_run = W.partitionBy(*key).orderBy("_run")
-    in_block = W.partitionBy(*key, "_block").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.withColumn(
-        "_pre", F.aggregate(F.collect_list("_map").over(in_block), start_all, _compose)
-    )
-    block_ends = ~F.col("_block").eqNullSafe(F.lead("_block").over(by_run))
-    runs = runs.withColumn("_block_map", F.when(block_ends, _compose(F.col("_pre"), F.col("_map"))))
-    blocks = F.collect_list("_block_map").over(by_run.rowsBetween(W.unboundedPreceding, -1))
-    entry = F.aggregate(blocks, F.lit(0), lambda s, m: F.get(m, s))
-    runs = runs.withColumn("_entry", entry).withColumn("_start", F.get("_pre", F.col("_entry")))
-    # states inside the run: append the next state, at most 64 times
-    codes = F.aggregate(
-        "_flags", F.array(F.col("_start")),
-        lambda acc, a: F.array_append(acc, F.get(F.get(step, a), F.element_at(acc, -1))),
-    )
-    runs = runs.withColumn("_codes", codes)
-    out = runs.select(*key, F.posexplode("_items").alias("_i", "_item"), "_codes")
+    placed = rows.withColumn("_pos", F.coalesce(run, F.lit(-(1 << 40))))
+    runs = placed.groupBy(*key, "_pos").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    every = F.array(*[_start(i, kind) for i in range(len(states))])
+    ends = F.aggregate("_items", every, lambda f, x: F.transform(f, lambda s: _after(states, step, s, x)))
+    # written: read once for the scan and once for the states inside the runs
+    runs = stored(runs.withColumn("_map", ends), "runs")
+    entries = _entries(runs.select(*key, "_pos", "_map"), key, states, kind, LEVELS)
+    known = runs.select(*key, "_pos", "_items").join(entries, [*key, "_pos"])
+    inside = F.aggregate("_items", F.array("_entry"), lambda acc, x: F.array_append(acc, _after(states, step, F.element_at(acc, -1), x)))
+    out = known.withColumn("_codes", inside).select(*key, F.posexplode("_items").alias("_i", "_item"), "_codes")
+    after = F.get(F.col("_codes"), F.col("_i") + 1)
     return out.select(
-        *key,
-        "_item._row.*",
-        F.get(F.col("_codes"), F.col("_i")).alias("prev_code"),
-        F.get(F.col("_codes"), F.col("_i") + 1).alias("code"),
+        *key, "_item._row.*", F.get(F.col("_codes"), F.col("_i"))["code"].alias("prev_code"), after["code"].alias("code"),
+        *[after[c].alias(f"_{c}") for c in ("began", "fired", "closed")],
     )
 
 
@@ -145,17 +168,7 @@ def alert_log(
         .withColumn("pending_count", _count(states, "code", "pending"))
         .withColumn("resolving_count", _count(states, "code", "resolving"))
     )
-    w = W.partitionBy(*key).orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
-    state, prev = F.col("state"), F.col("prev_state")
-    at = F.col(time)
-    began = (prev == "ok") & (state != "ok")
-    fired = (state == "firing") & prev.isin("ok", "pending")
-    closed = (state == "ok") & (prev != "ok")
-    rows = (
-        rows.withColumn("_began", F.last(F.when(began, at), ignorenulls=True).over(w))
-        .withColumn("_fired", F.last(F.when(fired, at), ignorenulls=True).over(w))
-        .withColumn("_closed", F.last(F.when(closed, at), ignorenulls=True).over(w))
-    )
+    state = F.col("state")
     return (
         rows.withColumn("pending_since", F.when(state != "ok", F.col("_began")))
         .withColumn("opened_at", F.when(F.col("_fired") >= F.col("_began"), F.col("_fired")))

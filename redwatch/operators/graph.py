@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CALL_TYPE_WEIGHTS, OTHER_CALL_WEIGHT, PRODUCTION, Settings
 from ..functions.scalars import status_of_direction, half_even
-from ..sources.tables import checkpointed
+from .components import strong_components
 from .joins import asof_latest
 
 
@@ -85,58 +85,22 @@ def topology_load(existing: DataFrame, new: DataFrame) -> DataFrame:
     return new.dropDuplicates(key).join(existing, key, "left_anti")
 
 
-def cyclic_core(edges: DataFrame, every: int = 4) -> DataFrame:
-    """Edges left after peeling calls to endpoints that call nobody, again and again.
-
-    An acyclic graph peels away completely, in as many steps as its longest path; what is left
-    lies on cycles or leads to one.  A step is one semi-join; every few steps the result is cut by
-    a checkpoint in the shared folder.
-    """
-    core = checkpointed(edges.select("parent_endpoint_id", "child_endpoint_id").distinct())
-    size = core.count()
-    while size:
-        for _ in range(every):
-            callers = core.select(F.col("parent_endpoint_id").alias("child_endpoint_id"))
-            core = core.join(callers, "child_endpoint_id", "left_semi")
-        core = checkpointed(core)
-        left = core.count()
-        if left == size:
-            break
-        size = left
-    return core
-
-
 def topology_check(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New edges that must be rejected: self-loops and edges on a cycle of all edges together.
 
-    Only the cyclic core, which is empty for a sound topology, is searched for paths back.
+    An edge lies on a cycle exactly if both its ends are in one strongly connected component.
     """
     key = ["parent_endpoint_id", "child_endpoint_id"]
     loops = new.where(F.col(key[0]) == F.col(key[1])).select(*key).distinct()
     proper = new.where(F.col(key[0]) != F.col(key[1])).select(*key).distinct()
-    known = existing.select(*key).where(F.col(key[0]) != F.col(key[1]))
-    core = cyclic_core(known.unionByName(proper))
-    hop = core.select(F.col(key[0]).alias("_at"), F.col(key[1]).alias("_to"))
-    # walk from the child of each suspicious new edge; reached pairs are kept once
-    suspects = checkpointed(proper.join(core, key, "left_semi"))
-    frontier = checkpointed(
-        suspects.select(F.col(key[1]).alias("origin"), F.col(key[1]).alias("_at")).distinct()
-    )
-    reached, level = frontier, 0
-    while not frontier.isEmpty():
-        frontier = checkpointed(
-            frontier.join(hop, "_at").select("origin", F.col("_to").alias("_at")).distinct()
-            .join(reached, ["origin", "_at"], "left_anti")
-        )
-        reached, level = reached.unionByName(frontier), level + 1
-        if level % 8 == 0:  # keep the union of levels short
-            reached = checkpointed(reached)
-    closing = suspects.join(
-        reached.select(F.col("origin").alias(key[1]), F.col("_at").alias(key[0])), key, "left_semi"
-    )
+    labels = strong_components(existing.select(*key).unionByName(proper), *key)
+    ends = proper
+    for c in key:
+        ends = ends.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left")
+    first, second = (F.coalesce(f"_{c}", c) for c in key)
     return (
         loops.withColumn("reason", F.lit("self-loop"))
-        .unionByName(closing.withColumn("reason", F.lit("cycle")))
+        .unionByName(ends.where(first == second).select(*key, F.lit("cycle").alias("reason")))
     )
 
 

@@ -14,12 +14,12 @@ from ..functions.ordered import exact_quantiles, running_totals, value_bin
 from ..functions.scalars import plus_seconds
 from ..sources.tables import stored
 from .forest import Forest, train_forest
-from .joins import interval_join
+from .joins import interval_marks
 
 
 def label_windows(
     rows: DataFrame, injections: DataFrame, margin_seconds: int, time: str = "time",
-    bucket_seconds: int = 3600, row_id: str = "row_id",
+    bucket_seconds: int = 3600,
 ) -> DataFrame:
     """Add ``label``: 1 inside a fault window of the same endpoint, else 0."""
     wide = injections.select(
@@ -27,12 +27,8 @@ def label_windows(
         plus_seconds("injected_at", -margin_seconds).alias("_from"),
         plus_seconds("cleared_at", margin_seconds).alias("_to"),
     )
-    hit = (
-        interval_join(rows.select(row_id, "endpoint_id", time), wide, time, "_from", "_to",
-                      ["endpoint_id"], "left_semi", bucket_seconds)
-        .select(row_id, F.lit(1).alias("_hit"))
-    )
-    return rows.join(hit, row_id, "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
+    marked = interval_marks(rows, wide, time, "_from", "_to", ["endpoint_id"], "_hit", bucket_seconds)
+    return marked.withColumn("label", F.col("_hit").cast("int")).drop("_hit")
 
 
 def temporal_split(

@@ -578,7 +578,7 @@ _H, _S, _P = "count(*) FILTER (label AND pred)", "count(*) FILTER (pred)", "coun
            {num(f'(SELECT sum(neg * (tp - pos / 2.0)) FROM curve) / ({_P} * count(*) FILTER (NOT label))', 'roc_auc')},
            {num(f'(SELECT sum(pos * tp / (tp + fp)) FROM curve) / {_P}', 'pr_auc')} FROM labelled""")
 def binary_metrics(t):
-    rows = supervised.label_windows(t.spans, t.injections, 0, "ts", BUCKET, "span_id")
+    rows = supervised.label_windows(t.spans, t.injections, 0, "ts", BUCKET)
     rows = rows.select("label", F.col("latency_ms").alias("score"), (F.col("latency_ms") > 300).cast("int").alias("pred"))
     return supervised.binary_metrics(rows)
 

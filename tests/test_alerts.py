@@ -190,3 +190,52 @@ def test_published_current_table_is_repeatable(spark, minute):
     for _ in range(2):
         path = alert_stream.publish_current(second, root, 1)
     assert [r["state"] for r in spark.read.parquet(path).collect()] == ["ok"]
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_scan_over_blocks_equals_a_walk(spark, minute, monkeypatch, compat):
+    """Histories of many runs and blocks, with gaps, cycles at one time and cycles without a time."""
+    import dataclasses
+    import random
+
+    from redwatch.config import PRODUCTION
+
+    monkeypatch.setattr(alerts, "RUN", 4)
+    monkeypatch.setattr(alerts, "FAN", 3)
+    settings = dataclasses.replace(PRODUCTION, compat_resolving=compat)
+    rnd = random.Random(3)
+    rows = []
+    for s, n in enumerate((1, 5, 150, 151)):
+        at, bad = 0, False
+        for i in range(n):
+            at += rnd.choice([1, 1, 1, 1, 9, 400])
+            bad = bad if rnd.random() < 0.75 else not bad
+            rows.append((f"e{s}", "p99_ms", minute(at), bad, i))
+    df = spark.createDataFrame(rows, "endpoint_id string, signal_type string, time timestamp, anomaly boolean, i int").withColumn("level", F.lit(0.0)).repartition(5)
+    got = {(r["endpoint_id"], r["i"]): r for r in alerts.alert_log(df, settings).collect()}
+    assert len(got) == len(rows)
+    states, code, began, fired, closed = alerts.machine(settings), 0, None, None, None
+    for e, _, t, bad, i in rows:
+        if i == 0:
+            code, began, fired, closed = 0, None, None, None
+        new = states[code][3 if bad else 2]
+        before, after = states[code][0], states[new][0]
+        began = t if before == "ok" and after != "ok" else began
+        fired = t if after == "firing" and before in ("ok", "pending") else fired
+        closed = t if after == "ok" and before != "ok" else closed
+        code, r = new, got[(e, i)]
+        assert (r["prev_state"], r["state"], r["episode_start"]) == (before, after, began)
+        assert r["pending_since"] == (began if after != "ok" else None) and r["resolved_at"] == (closed if after == "ok" else None)
+        assert r["opened_at"] == (fired if fired and began and fired >= began else None)
+
+
+def test_a_million_cycles_of_one_signal_spread(spark):
+    """No run holds more than 64 cycles and no block more than 1024 runs, so no task needs a hundredth of a long signal."""
+    n = 1_000_000
+    df = spark.range(n, numPartitions=16).select(
+        F.lit("e").alias("endpoint_id"), F.lit("p99_ms").alias("signal_type"), F.timestamp_seconds(F.col("id") * 60).alias("time"),
+        (F.col("id") % 1000 < 10).alias("anomaly"), F.lit(0.0).alias("level"),
+    )
+    out = alerts.fold_states(df).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("code") == 3).cast("int")).alias("firing"), F.max("_closed").alias("closed")).first()
+    # of ten bad cycles in a row the third fires; three clean ones close
+    assert (out["n"], out["firing"]) == (n, 8 * n // 1000) and out["closed"].timestamp() % 60000 == 12 * 60

@@ -120,3 +120,59 @@ def test_sound_topology_and_load(spark):
     assert graph.topology_check(e.where("parent_endpoint_id = 'A'"), e.where("parent_endpoint_id = 'B'")).count() == 0
     more = edges(spark, ("A", "B", "direct"), ("C", "D", "direct"), ("C", "D", "direct"))
     assert [r["child_endpoint_id"] for r in graph.topology_load(e, more).collect()] == ["D"]
+
+
+def strong(pairs):
+    """{node: nodes of its component} by search from every node."""
+    step = {}
+    for a, b in pairs:
+        step.setdefault(a, set()).add(b)
+    nodes = {x for p in pairs for x in p}
+
+    def reached(a):
+        seen, todo = {a}, [a]
+        while todo:
+            for n in step.get(todo.pop(), ()):
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        return seen
+
+    reach = {a: reached(a) for a in nodes}
+    return {a: {b for b in reach[a] if a in reach[b]} for a in nodes}
+
+
+def grouped(spark, pairs):
+    """(groups of endpoints with the same component, rounds of trimming) for all endpoints of ``pairs``."""
+    from redwatch.operators import components
+
+    rounds, plain = [], components._trimmed
+    components._trimmed = lambda edges: (rounds.append(1), plain(edges))[1]
+    try:
+        got = components.strong_components(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()
+    finally:
+        components._trimmed = plain
+    label = {r["node"]: r["component"] for r in got}
+    assert len(label) == len(got) and not any(k == v for k, v in label.items())
+    out = {}
+    for x in {x for p in pairs for x in p}:
+        out.setdefault(label.get(x, x), set()).add(x)
+    return {frozenset(g) for g in out.values()}, len(rounds) // 2
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_strong_components_of_random_graphs(spark, seed):
+    rnd = random.Random(seed)
+    n = 60
+    pairs = [(str(rnd.randrange(n)), str(rnd.randrange(n))) for _ in range(50 + 20 * seed)]
+    pairs += [(f"r{i}", f"r{(i + 1) % 17}") for i in range(17)] + [("x", "y"), ("y", "x"), ("y", "0"), ("r3", "z"), ("r5", "1")]
+    got, _ = grouped(spark, pairs)
+    assert got == {frozenset(g) for g in strong(pairs).values()}
+
+
+def test_long_chains_take_few_rounds(spark):
+    path = [(f"p{i}", f"p{i + 1}") for i in range(3000)]
+    ring = [(f"q{i}", f"q{(i + 1) % 2000}") for i in range(2000)]
+    got, rounds = grouped(spark, path + ring)
+    assert rounds <= 25
+    assert {len(g) for g in got} == {1, 2000} and len(got) == 3002

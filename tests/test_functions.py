@@ -165,3 +165,44 @@ def test_interval_without_an_end_is_still_going_on(spark, minute):
     got = {(r["i"], r["j"]) for r in interval_join(p, s, "t", "a", "b").collect()}
     assert got == {(i, 0) for i in range(12, 40)} | {(0, 2), (1, 2)}
     assert {r["i"] for r in interval_join(p, s, "t", "a", "b", (), "left_anti").collect()} == set(range(2, 12))
+
+
+@pytest.mark.parametrize("size", [1, 60, 3600, 100_000])
+def test_cells_of_an_interval_are_few_disjoint_and_cover_it(spark, size):
+    from redwatch.operators.joins import interval_cells
+
+    rnd = random.Random(size)
+    spans = [(j, a * size, (a + w) * size) for j, (a, w) in enumerate((rnd.randrange(-5000, 5000), rnd.choice([0, 1, 7, 8, 9, 63, 64, 600, 4000])) for _ in range(80))]
+    df = spark.createDataFrame(spans, "j int, a long, b long").select("j", F.timestamp_seconds("a").alias("a"), F.timestamp_seconds("b").alias("b"))
+    found = {}
+    for r in interval_cells(df, "a", "b", size).collect():
+        found.setdefault(r["j"], []).append((r["_size"], r["_cell"]))
+    for j, a, b in spans:
+        covered = [k for s, c in found[j] for k in range(c << 3 * s, (c + 1) << 3 * s)]
+        assert sorted(covered) == list(range(a // size, b // size + 1))
+
+
+def test_long_and_open_intervals_have_few_cells(spark):
+    from redwatch.operators.joins import interval_cells
+
+    rows = [(0, "2024-01-01 00:00:01", None), (1, "2015-03-04 05:06:07", "2025-02-03 04:05:06"), (2, "1950-01-01 00:00:00", "2040-01-01 00:00:00"), (3, "2024-01-02 00:00:00", "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "j int, a string, b string").select("j", F.to_timestamp("a").alias("a"), F.to_timestamp("b").alias("b"))
+    for size in (60, 3600):
+        counts = {r["j"]: r["count"] for r in interval_cells(df, "a", "b", size).groupBy("j").count().collect()}
+        assert set(counts) == {0, 1, 2} and max(counts.values()) < 100
+
+
+def test_interval_marks_keep_every_point_once(spark):
+    from redwatch.operators.joins import interval_marks
+
+    rnd = random.Random(9)
+    base = 1_700_000_000
+    points = [(i % 90, rnd.choice(["a", "b", None]), base + rnd.randrange(10**8) if i % 17 else None) for i in range(300)]
+    spans = [(rnd.choice(["a", "b"]), base + s, base + s + rnd.choice([0, 50, 3 * 10**7]) if rnd.random() < 0.9 else None) for s in (rnd.randrange(10**8) for _ in range(12))]
+    p = spark.createDataFrame(points, "i int, k string, t long").withColumn("t", F.timestamp_seconds("t"))
+    s = spark.createDataFrame(spans, "k string, a long, b long").select("k", F.timestamp_seconds("a").alias("a"), F.timestamp_seconds("b").alias("b"))
+    got = sorted((r["i"], r["k"] or "", r["inside"]) for r in interval_marks(p, s, "t", "a", "b", ["k"]).collect())
+    want = sorted((i, k or "", t is not None and any(q == k and a <= t and (b is None or t <= b) for q, a, b in spans)) for i, k, t in points)
+    assert got == want and {x[2] for x in got} == {True, False}
+    none = interval_marks(p, s.where("false"), "t", "a", "b", ["k"])
+    assert none.count() == 300 and none.where("inside").count() == 0
