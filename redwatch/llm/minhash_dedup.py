@@ -120,7 +120,9 @@ def stored_sets(docs: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col
                 yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(f1), pa.array(f2), pa.array(sets, pa.binary())], ["n", "f1", "f2", "set"])
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("low"), F.col(f"`{text_col}`").alias("text"))
-    sets = texts.join(nodes.select("low").distinct(), "low", "left_semi").select("text").mapInArrow(gather, "n long, f1 long, f2 long, set binary")
+    # the ids grow with the documents: merged at every size, never sent to all tasks
+    wanted = nodes.select("low").distinct().hint("merge")
+    sets = texts.join(wanted, "low", "left_semi").select("text").mapInArrow(gather, "n long, f1 long, f2 long, set binary")
     return sets.dropDuplicates(["n", "f1", "f2"]).join(nodes.select("node", "n", "f1", "f2"), ["n", "f1", "f2"]).select("node", "set")
 
 
