@@ -92,7 +92,8 @@ def interval_marks(
 ) -> DataFrame:
     """Points with the flag ``name``: whether some interval of the same ``keys`` contains the point.
 
-    The points are read once and keep their number, however many intervals contain them.
+    The points are read once and keep their number, however many intervals contain them. All their columns are carried through a
+    shuffle, so callers select those they need beforehand.
     """
     keys = list(keys)
     cells = interval_cells(intervals.select(*keys, F.col(start).alias("_from"), F.col(end).alias("_till")), "_from", "_till", bucket_seconds)

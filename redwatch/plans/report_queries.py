@@ -578,15 +578,15 @@ _H, _S, _P = "count(*) FILTER (label AND pred)", "count(*) FILTER (pred)", "coun
            {num(f'(SELECT sum(neg * (tp - pos / 2.0)) FROM curve) / ({_P} * count(*) FILTER (NOT label))', 'roc_auc')},
            {num(f'(SELECT sum(pos * tp / (tp + fp)) FROM curve) / {_P}', 'pr_auc')} FROM labelled""")
 def binary_metrics(t):
-    rows = supervised.label_windows(t.spans, t.injections, 0, "ts", BUCKET)
+    rows = supervised.label_windows(t.spans.select("endpoint_id", "ts", "latency_ms"), t.injections, 0, "ts", BUCKET)
     rows = rows.select("label", F.col("latency_ms").alias("score"), (F.col("latency_ms") > 300).cast("int").alias("pred"))
     return supervised.binary_metrics(rows)
 
 
 def _labelled(t):
     m = model_ops.feature_matrix(t.features, t.baseline, t.settings).withColumn("features", features.feature_vector(t.settings))
-    m = supervised.label_windows(m, t.injections, 12 * 3600, "time", BUCKET)
-    return tables.stored(m.select("row_id", "endpoint_id", "time", "features", "label"), "labelled")
+    m = supervised.label_windows(m.select("row_id", "endpoint_id", "time", "features"), t.injections, 12 * 3600, "time", BUCKET)
+    return tables.stored(m, "labelled")
 
 
 def _compared(t):

@@ -434,7 +434,7 @@ def exclude_injections(t):
 def label_windows(t):
     from ..operators.supervised import label_windows as label
 
-    return label(t.spans, t.injections, 120, "ts", BUCKET).select("span_id", "label")
+    return label(t.spans.select("span_id", "endpoint_id", "ts"), t.injections, 120, "ts", BUCKET).select("span_id", "label")
 
 
 @query("fault_candidates", ("candidates",), f"""
