@@ -82,8 +82,17 @@ def feature_columns(settings: Settings = PRODUCTION) -> list[str]:
     return ["feature_error_rate_5xx" if f == "error_rate_5xx" else f for f in settings.features]
 
 
+def model_inputs(settings: Settings = PRODUCTION) -> list[Column]:
+    """The model features in canonical order, rounded to nine decimals.
+
+    Without the rounding the last bits of a sum decide whether a feature varies inside a node, and with it the whole tree below.
+    """
+    values = [F.col(c).cast("double") for c in feature_columns(settings)]
+    return [F.when(F.abs(v) < 1e6, F.floor(v * 1e9 + 0.5) / F.lit(1e9)).otherwise(v) for v in values]
+
+
 def feature_vector(settings: Settings = PRODUCTION) -> Column:
-    return F.array(*[F.col(c).cast("double") for c in feature_columns(settings)])
+    return F.array(*model_inputs(settings))
 
 
 def top_features(settings: Settings = PRODUCTION, k: int = 3) -> Column:

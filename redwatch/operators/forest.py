@@ -1,8 +1,11 @@
 """Isolation forest (Liu, Ting, Zhou 2008) on DataFrames.
 
-Sampling, scoring and attribution are distributed; one tree is grown per group from at most
-``subsample`` rows.  The whole forest has at most trees x (2 x subsample - 1) nodes, which bounds
-what is collected and broadcast, whatever the size of the data.
+Sampling, growth, scoring and attribution are distributed.  A tree grows from at most ``subsample``
+rows.  The whole forest has at most trees x (2 x subsample - 1) nodes, which bounds what is
+collected and broadcast, whatever the size of the data.
+
+All draws are md5 numbers of (seed, tree, node) or (row id, tree, seed) and path lengths are summed
+in units of 1e-9, so any engine that computes md5 and doubles grows the same trees and scores.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from ..config import PRODUCTION, Settings
 from ..functions.arrays import top_by_abs
 from ..functions.scalars import half_even
 from ..functions.ordered import exact_quantiles
-from ..schemas import TREE_NODES
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -32,9 +34,16 @@ def expected_path(n):
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
-def _unit_hash(*cols) -> Column:
-    """Uniform number in [0, 1) that depends only on the values."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) / F.lit(float(1 << 53))
+PATH_UNIT = 1e9
+
+
+def _unit_hash(digest: Column, start: int = 1, digits: int = 13) -> Column:
+    """Number in [0, 1) from hexadecimal digits of a digest."""
+    return F.conv(F.substring(digest, start, digits), 16, 10).cast("double") / F.lit(float(16**digits))
+
+
+def _digest(*parts) -> Column:
+    return F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
 def _binomial_steps(n: int, p: float) -> list[float]:
@@ -63,16 +72,16 @@ def tree_samples(
     per_tree = min(settings.subsample, n_rows)
     chance = min(1.0, (2.0 * per_tree + 64.0) / max(n_rows, 1))
     below = _binomial_steps(settings.trees, chance)
-    u = _unit_hash(F.col(row_id), F.lit(settings.seed))
+    u = _unit_hash(_digest(F.col(row_id), settings.seed))
     count = F.when(u >= below[0], F.size(F.filter(F.array(*[F.lit(x) for x in below]), lambda x: x <= u))).otherwise(0)
     drawn = F.transform(
         F.sequence(F.lit(0), F.lit(settings.trees - 1)),
-        lambda t: F.struct(F.xxhash64(F.col(row_id), t, F.lit(settings.seed + 1)).alias("h"), t.alias("t")),
+        lambda t: F.struct(_digest(F.col(row_id), t, settings.seed + 1).alias("h"), t.alias("t")),
     )
     trees = F.transform(F.slice(F.array_sort(drawn), F.lit(1), F.col("_count")), lambda x: x["t"])
     pool = matrix.withColumn("_count", count).where(F.col("_count") > 0)
     offered_rows = pool.withColumn("tree", F.explode(trees)).drop("_count").withColumn(
-        "_h", F.xxhash64(F.col(row_id), F.col("tree"), F.lit(settings.seed + 2))
+        "_h", _digest(F.col(row_id), F.col("tree"), settings.seed + 2)
     )
     order = W.partitionBy("tree").orderBy("_h", row_id)
     return (
@@ -82,56 +91,67 @@ def tree_samples(
     )
 
 
-def _grow(x: np.ndarray, seed: int, limit: int) -> list[tuple]:
-    """Nodes of one random tree: (node, feature, threshold, left, right, leaf, depth, size)."""
-    rng = np.random.default_rng(seed)
-    nodes: list[tuple] = []
-    todo = [(0, np.arange(len(x)), 0)]
-    next_id = 1
-    while todo:
-        node, rows, depth = todo.pop()
-        part = x[rows]
-        spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(rows) > 1 else []
-        if depth >= limit or len(spread) == 0:
-            nodes.append((node, -1, 0.0, -1, -1, True, depth, len(rows)))
-            continue
-        feature = int(rng.choice(spread))
-        column = part[:, feature]
-        cut = float(rng.uniform(column.min(), column.max()))
-        goes_left = column <= cut
-        if goes_left.all():  # the draw hit the upper end
-            cut = float(np.max(column[column < column.max()]))
-            goes_left = column <= cut
-        left, right = next_id, next_id + 1
-        next_id += 2
-        nodes.append((node, feature, cut, left, right, False, depth, len(rows)))
-        todo.append((right, rows[~goes_left], depth + 1))
-        todo.append((left, rows[goes_left], depth + 1))
-    return nodes
+def _split(rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """Add to each row the split of its node: ``_size``, ``_f`` (null where nothing can be split) and ``_cut``.
+
+    A feature is drawn among those that vary in the node, the cut between its smallest and largest value, the largest excluded,
+    so both sides get rows under ``value <= cut``.
+    """
+    node = W.partitionBy("tree", "node")
+    value = [F.get("features", F.lit(i)) for i in range(width)]
+    seen = rows.withColumns({
+        "_size": F.count(F.lit(1)).over(node),
+        "_lo": F.array(*[F.min(v).over(node) for v in value]),
+        "_hi": F.array(*[F.max(v).over(node) for v in value]),
+        "_d": _digest(seed, F.col("tree"), F.col("node")),
+    })
+    varying = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get("_hi", i) > F.get("_lo", i))
+    drawn = seen.withColumn("_vary", varying).withColumn(
+        "_f", F.get("_vary", F.floor(_unit_hash(F.col("_d"), 1, 8) * F.size("_vary")).cast("int"))
+    )
+    lo, hi = F.get("_lo", F.col("_f")), F.get("_hi", F.col("_f"))
+    drawn = drawn.withColumn("_cut", lo + _unit_hash(F.col("_d"), 9, 13) * (hi - lo))
+    return drawn.withColumn("_cut", F.when(F.col("_cut") >= hi, lo).otherwise(F.col("_cut"))).drop(
+        "_lo", "_hi", "_d", "_vary"
+    )
 
 
 def train_forest(
     matrix: DataFrame, n_rows: int, settings: Settings = PRODUCTION, row_id: str = "row_id"
 ) -> DataFrame:
-    """Node table of a forest; ``matrix`` has a row id and the array ``features``."""
+    """Node table of a forest; ``matrix`` has a row id and the array ``features``.
+
+    All trees grow together, one level after the other: the rows of a node meet in a window, which draws the split and sends each
+    row on to a child.  The windows of all levels reuse the one shuffle by tree of the samples.  Nodes are numbered as in a heap:
+    the children of node k are 2k + 1 and 2k + 2.
+    """
     limit = max(1, math.ceil(math.log2(max(2, min(settings.subsample, n_rows)))))
-    seed, wanted = settings.seed, min(settings.subsample, n_rows)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        if len(pdf) < wanted:
-            raise ValueError(f"tree {tree} got {len(pdf)} of {wanted} rows")
-        pdf = pdf.sort_values(row_id)
-        x = np.stack(pdf["features"].to_numpy()).astype(float)
-        out = pd.DataFrame(
-            _grow(x, seed * 1_000_003 + tree, limit),
-            columns=["node", "feature", "threshold", "left", "right", "is_leaf", "depth", "size"],
+    rows = tree_samples(matrix, n_rows, settings, row_id).select(
+        "tree", "features", F.lit(0).alias("node"), F.array().cast(_PATH).alias("path")
+    )
+    for depth in range(limit + 1):
+        rows = _split(rows, len(settings.features), settings.seed)
+        inner = F.col("_f").isNotNull() & F.lit(depth < limit) & F.col("node").isNotNull()
+        step = F.struct(
+            F.col("node"), F.when(inner, F.col("_f")).otherwise(-1).alias("feature"),
+            F.when(inner, F.col("_cut")).otherwise(0.0).alias("threshold"), (~inner).alias("is_leaf"),
+            F.lit(depth).alias("depth"), F.col("_size").cast("int").alias("size"),
         )
-        out.insert(0, "tree", tree)
-        return out
+        left = F.get("features", F.col("_f")) <= F.col("_cut")
+        child = F.when(inner, 2 * F.col("node") + F.when(left, 1).otherwise(2))
+        # rows that have reached their leaf wait under a null node
+        grown = F.when(F.col("node").isNull(), F.col("path")).otherwise(F.concat("path", F.array(step)))
+        rows = rows.select("tree", "features", child.alias("node"), grown.alias("path"))
+    nodes = rows.select("tree", F.inline("path")).groupBy("tree", "node").agg(
+        *[F.first(c).alias(c) for c in ("feature", "threshold", "is_leaf", "depth", "size")]
+    )
+    child = lambda k: F.when(F.col("is_leaf"), -1).otherwise(2 * F.col("node") + k)
+    return nodes.select(
+        "tree", "node", "feature", "threshold", child(1).alias("left"), child(2).alias("right"), "is_leaf", "depth", "size"
+    )
+
 
-    samples = tree_samples(matrix, n_rows, settings, row_id).select("tree", row_id, "features")
-    return samples.groupBy("tree").applyInPandas(grow, TREE_NODES)
+_PATH = "array<struct<node:int,feature:int,threshold:double,is_leaf:boolean,depth:int,size:int>>"
 
 
 class Forest:
@@ -146,14 +166,14 @@ class Forest:
         trees = []
         for _, t in table.groupby("tree"):
             t = t.sort_values("node")
-            value = t["depth"].to_numpy(float) + expected_path(t["size"].to_numpy())
+            value = np.rint((t["depth"].to_numpy(float) + expected_path(t["size"].to_numpy())) * PATH_UNIT).astype(np.int64)
             leaf = t["is_leaf"].to_numpy(bool)
-            own = np.arange(len(t))
+            own, ids = np.arange(len(t)), t["node"].to_numpy()
             trees.append((
                 np.where(leaf, 0, t["feature"].to_numpy()).astype(np.int64),
                 t["threshold"].to_numpy(float),
-                np.where(leaf, own, t["left"].to_numpy()).astype(np.int64),
-                np.where(leaf, own, t["right"].to_numpy()).astype(np.int64),
+                np.where(leaf, own, np.searchsorted(ids, t["left"].to_numpy())).astype(np.int64),
+                np.where(leaf, own, np.searchsorted(ids, t["right"].to_numpy())).astype(np.int64),
                 value,
                 int(t["depth"].max()) if len(t) else 0,
             ))
@@ -192,14 +212,14 @@ class Forest:
 
 
 def _score(x: np.ndarray, trees: list[tuple], norm: float) -> np.ndarray:
-    total = np.zeros(len(x))
+    total = np.zeros(len(x), dtype=np.int64)
     rows = np.arange(len(x))
     for feature, cut, left, right, value, depth in trees:
         at = np.zeros(len(x), dtype=np.int64)
         for _ in range(depth):
             at = np.where(x[rows, feature[at]] <= cut[at], left[at], right[at])
         total += value[at]
-    return np.power(2.0, -(total / max(len(trees), 1)) / norm)
+    return np.power(2.0, -(total / (PATH_UNIT * max(len(trees), 1))) / norm)
 
 
 def calibrate(raw, p50: float, p99: float) -> Column:

@@ -15,7 +15,7 @@ from ..sources.model_store import Model, ModelStore
 from ..sources.tables import stored
 from .baseline import exclude_injections, lookback, with_baseline
 from .evaluation import detections, onsets_outside, replay_onsets, span_hours, with_ratios
-from .features import derived_features, feature_columns, feature_vector
+from .features import derived_features, feature_vector, model_inputs
 from .forest import (
     Forest, ablation_attribution, calibrate, calibration_params, feature_medians, train_forest,
 )
@@ -118,7 +118,7 @@ class CurrentModel:
 
 def layer_ml(rows: DataFrame, model: Trained, settings: Settings = PRODUCTION) -> DataFrame:
     """Add ``raw_ml`` and the calibrated ``ml_norm``; short windows score 0."""
-    cols = [F.col(c) for c in feature_columns(settings)]
+    cols = model_inputs(settings)
     out = rows.withColumn("raw_ml", model.forest.score(cols))
     norm = calibrate("raw_ml", model.p50, model.p99)
     return out.withColumn(
@@ -128,7 +128,7 @@ def layer_ml(rows: DataFrame, model: Trained, settings: Settings = PRODUCTION) -
 
 def with_attribution(rows: DataFrame, model: Trained, settings: Settings = PRODUCTION) -> DataFrame:
     """Add ``ml_top``: the three features that raise the forest score most."""
-    cols = [F.col(c) for c in feature_columns(settings)]
+    cols = model_inputs(settings)
     out = rows.withColumn("_drops", model.forest.ablation(cols, model.medians))
     return out.withColumn(
         "ml_top", ablation_attribution("_drops", settings.features, model.p50, model.p99)

@@ -13,6 +13,7 @@ from ..operators import evaluation, explain, features, forest, model_ops, scorin
 from ..operators.alerts import alert_history, current_alerts
 from ..sources import model_store, tables
 from .detection_queries import FEATURES
+from . import model_sql  # noqa: F401  (registers the blocks of the forest)
 from .fixture import AS_OF, BUCKET, at
 from .registry import query
 from .sql import BLOCKS, num, stamp
@@ -388,7 +389,9 @@ def _fitted(t):
     return model_ops.fit(_matrix(t), AS_OF, t.settings)
 
 
-@query("iforest_train")
+@query("iforest_train", ("forest_nodes",), f"""
+    SELECT tree, node, feature, {num('threshold')}, CASE WHEN is_leaf THEN -1 ELSE 2 * node + 1 END AS left,
+           CASE WHEN is_leaf THEN -1 ELSE 2 * node + 2 END AS right, is_leaf, depth, size FROM forest_nodes""")
 def iforest_train(t):
     return _fitted(t).nodes
 
@@ -404,7 +407,8 @@ def iforest_train_shape(t):
     )
 
 
-@query("iforest_score")
+@query("iforest_score", ("ml", "usable"), f"""
+    SELECT endpoint_id, {stamp('time')}, {num('raw_ml')}, {num('ml_norm')} FROM ml SEMI JOIN usable USING (endpoint_id, time) WHERE window_rows >= 3""")
 def iforest_score(t):
     rows = model_ops.feature_matrix(t.features, t.baseline, t.settings)
     return model_ops.layer_ml(rows, _fitted(t), t.settings).select("endpoint_id", "time", "raw_ml", "ml_norm")

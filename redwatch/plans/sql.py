@@ -304,7 +304,14 @@ def with_blocks(names, body: str) -> str:
         visit(n)
     if not ordered:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({BLOCKS[n][1]})" for n in ordered) + "\n" + body
+    # blocks that refer to themselves are recursive and cannot be materialized by a keyword
+    kept = {n: "" if n in _RECURSIVE or n.endswith(("_grown", "_walk")) else "MATERIALIZED " for n in ordered}
+    if not any(n.startswith("forest") for n in ordered):
+        kept = dict.fromkeys(ordered, "")
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {kept[n]}({BLOCKS[n][1]})" for n in ordered) + "\n" + body
+
+
+_RECURSIVE = ("log", "log_compat")
 
 
 def num(expr: str, name: str | None = None) -> str:
