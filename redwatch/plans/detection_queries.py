@@ -38,43 +38,24 @@ def layer_baseline(t):
     return t.scored.select("endpoint_id", "time", "baseline_norm", "direction")
 
 
-# A stand-in for the forest score that SQL can compute as well: the capped latency tail ratio.
-BLOCKS["gated"] = (("scored",), """
-    SELECT * , baseline_norm + (1 - baseline_norm) * ml_gated AS base FROM
-    (SELECT *, CASE WHEN direction = 'degradation' THEN least(1.0, p99_over_p50 / 12.0) ELSE 0.0 END AS ml_gated FROM scored)""")
-BLOCKS["gated_combined"] = (("gated",), """
-    SELECT * EXCLUDE (combined, anomaly, layer, severity), c AS combined, static_breach OR c >= 0.6 AS anomaly,
-           CASE WHEN CAST(static_norm >= 0.3 AS INTEGER) + CAST(baseline_norm >= 0.3 AS INTEGER) + CAST(ml_gated >= 0.3 AS INTEGER) >= 2 THEN 'combined'
-                WHEN static_breach OR c >= 0.6 THEN CASE WHEN static_norm >= greatest(baseline_norm, ml_gated) THEN 'static'
-                  WHEN baseline_norm >= ml_gated THEN 'baseline' ELSE 'iforest' END END AS layer,
-           CASE WHEN p99_ms > slo_p99_ms * 2 OR c >= 0.8 THEN 'critical' ELSE 'warning' END AS severity
-    FROM (SELECT *, CASE WHEN static_breach THEN greatest(base, static_norm) ELSE base END AS c FROM gated)""")
-
-
-def _gated(t):
-    rows = t.scored.drop("ml_norm", "ml_gated", "combined", "anomaly", "layer", "severity")
-    rows = rows.withColumn("tail", F.least(F.lit(1.0), F.col("p99_over_p50") / 12.0))
-    return scoring.combine(rows, t.settings, "tail")
-
-
-@query("combined_score", ("gated_combined",), f"SELECT endpoint_id, {stamp('time')}, {num('ml_gated')}, {num('combined')} FROM gated_combined")
+@query("combined_score", ("scored",), f"SELECT endpoint_id, {stamp('time')}, {num('ml_gated')}, {num('combined')} FROM scored")
 def combined_score(t):
-    return _gated(t).select("endpoint_id", "time", "ml_gated", "combined")
+    return t.scored.select("endpoint_id", "time", "ml_gated", "combined")
 
 
-@query("fire_decision", ("gated_combined",), f"SELECT endpoint_id, {stamp('time')}, anomaly FROM gated_combined")
+@query("fire_decision", ("scored",), f"SELECT endpoint_id, {stamp('time')}, anomaly FROM scored")
 def fire_decision(t):
-    return _gated(t).select("endpoint_id", "time", "anomaly")
+    return t.scored.select("endpoint_id", "time", "anomaly")
 
 
-@query("layer_provenance", ("gated_combined",), f"SELECT endpoint_id, {stamp('time')}, layer FROM gated_combined")
+@query("layer_provenance", ("scored",), f"SELECT endpoint_id, {stamp('time')}, layer FROM scored")
 def layer_provenance(t):
-    return _gated(t).select("endpoint_id", "time", "layer")
+    return t.scored.select("endpoint_id", "time", "layer")
 
 
-@query("severity", ("gated_combined",), f"SELECT endpoint_id, {stamp('time')}, severity FROM gated_combined")
+@query("severity", ("scored",), f"SELECT endpoint_id, {stamp('time')}, severity FROM scored")
 def severity(t):
-    return _gated(t).select("endpoint_id", "time", "severity")
+    return t.scored.select("endpoint_id", "time", "severity")
 
 
 @query("error_signal", ("signals",), f"""
@@ -86,11 +67,11 @@ def error_signal(t):
 
 
 @query("score_replay", ("replayed",), f"""
-    SELECT endpoint_id, {stamp('time')}, {num('p99_ms')}, direction, {num('static_norm')}, {num('baseline_norm')}, {num('combined')},
+    SELECT endpoint_id, {stamp('time')}, {num('p99_ms')}, direction, {num('static_norm')}, {num('baseline_norm')}, {num('ml_norm')}, {num('combined')},
            layer, severity, static_fire, layered_fire FROM replayed""")
 def score_replay(t):
     return t.replayed.select(
-        "endpoint_id", "time", "p99_ms", "direction", "static_norm", "baseline_norm", "combined",
+        "endpoint_id", "time", "p99_ms", "direction", "static_norm", "baseline_norm", "ml_norm", "combined",
         "layer", "severity", "static_fire", "layered_fire",
     )
 
@@ -120,7 +101,8 @@ def ttd(t):
 
 @query("contributing_doc", ("scored",), f"""
     SELECT endpoint_id, {stamp('time')}, {num('round_even(combined, 4)', 'combined')}, {num('round_even(static_norm, 4)', 'static')},
-           {num('round_even(baseline_norm, 4)', 'baseline')}, direction, {num('round_even(p99_ms, 2)', 'observed')},
+           {num('round_even(baseline_norm, 4)', 'baseline')}, {num('round_even(ml_gated, 4)', 'iforest')}, {num('round_even(ml_norm, 4)', 'ml_norm')},
+           direction, {num('round_even(p99_ms, 2)', 'observed')},
            true AS band_close FROM scored""")
 def contributing_doc(t):
     c = F.col("contributing")
@@ -130,7 +112,7 @@ def contributing_doc(t):
     close = near(c["baseline"]["band"][0], "p10") & near(c["baseline"]["expected"], "expected") & near(c["baseline"]["band"][1], "p90")
     return t.anomalies.withColumnRenamed("detected_at", "time").join(bands, ["endpoint_id", "time"]).select(
         "endpoint_id", "time", c["combined"].alias("combined"), c["layers"]["static"].alias("static"),
-        c["layers"]["baseline"].alias("baseline"), c["direction"].alias("direction"),
+        c["layers"]["baseline"].alias("baseline"), c["layers"]["iforest"].alias("iforest"), c["ml_norm"].alias("ml_norm"), c["direction"].alias("direction"),
         c["baseline"]["observed"].alias("observed"), close.alias("band_close"),
     )
 
@@ -261,7 +243,7 @@ def score_stream(t):
     path = tables.fresh_path(t.spark, "feature-stream")
     t.features.write.parquet(path)
     stream = t.spark.readStream.schema(t.features.schema).parquet(path)
-    scored = alert_stream.score_stream(stream, t.baseline, t.slos, None, t.settings)
+    scored = alert_stream.score_stream(stream, t.baseline, t.slos, t.model, t.settings)
     columns = ["endpoint_id", "time", "direction", "combined", "anomaly", "layer", "severity"]
     return _run(t, scored.select(*columns), "scores")
 

@@ -13,7 +13,7 @@ from ..config import CALL_EDGES, ENDPOINT_SLOS, ENDPOINTS, PRODUCTION
 from ..operators.alerts import alert_log, episodes
 from ..operators.attribution import deploy_attribution, fault_attribution
 from ..operators.baseline import seasonal_baseline
-from ..operators.model_ops import scored_history
+from ..operators.model_ops import Trained, fit, scored_history, training_matrix
 from ..operators.red import red_features
 from ..operators.scoring import anomaly_rows, contributing, signals, time_to_degradation
 from ..sources.tables import stored
@@ -143,17 +143,26 @@ class Telemetry:
     def baseline(self) -> DataFrame:
         return self._stored(seasonal_baseline(self.features, self.injections, self.as_of, self.settings), "baseline")
 
+    @property
+    def model(self) -> Trained:
+        """The forest in use: fitted once per folder and session, like a promoted model, and kept when stage tables are forgotten."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _MODELS:
+            matrix = training_matrix(self.features, self.baseline, self.injections, self.as_of, self.settings, BUCKET)
+            _MODELS[key] = fit(matrix, AS_OF, self.settings)
+        return _MODELS[key]
+
     @cached_property
     def scored(self) -> DataFrame:
-        """All cycles scored by limits and band (no model)."""
+        """All cycles scored by limits, band and forest."""
         return self._stored(
-            scored_history(self.features, self.baseline, self.slos, None, self.settings, complete_only=False),
+            scored_history(self.features, self.baseline, self.slos, self.model, self.settings, complete_only=False),
             "scored",
         )
 
     @cached_property
     def replayed(self) -> DataFrame:
-        return scored_history(self.features, self.baseline, self.slos, None, self.settings)
+        return scored_history(self.features, self.baseline, self.slos, self.model, self.settings)
 
     @cached_property
     def anomalies(self) -> DataFrame:
@@ -176,6 +185,7 @@ class Telemetry:
 
 
 _OPEN: dict[tuple[str, str], Telemetry] = {}
+_MODELS: dict[tuple[str, str], Trained] = {}
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> Telemetry:
@@ -187,7 +197,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> Telemetry:
 
 
 def forget() -> None:
-    """Make the next query build all stage tables again."""
+    """Make the next query build all stage tables again; the fitted model stays."""
     _OPEN.clear()
 
 

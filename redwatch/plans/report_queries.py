@@ -13,7 +13,7 @@ from ..operators import evaluation, explain, features, forest, model_ops, scorin
 from ..operators.alerts import alert_history, current_alerts
 from ..sources import model_store, tables
 from .detection_queries import FEATURES
-from . import model_sql  # noqa: F401  (registers the blocks of the forest)
+from .model_sql import forest_blocks, score_blocks
 from .fixture import AS_OF, BUCKET, at
 from .registry import query
 from .sql import BLOCKS, num, stamp
@@ -294,7 +294,9 @@ def best_threshold(t):
     return evaluation.best_threshold(_sweep(t)).select("threshold", "f1")
 
 
-@query("contamination_sweep")
+# contamination moves only the binary cut, which the calibrated score does not use: one row of the sweep serves each value
+@query("contamination_sweep", ("sweep",), f"""
+    SELECT {num('contamination')}, tp, fn, fp FROM sweep, (VALUES (0.01), (0.02), (0.05), (0.1)) v(contamination) WHERE threshold = 0.6""")
 def contamination_sweep(t):
     args = (t.features, t.baseline, t.injections, t.slos, AS_OF, [0.01, 0.02, 0.05, 0.1])
     return model_ops.contamination_sweep(*args, t.settings, BUCKET).select("contamination", "tp", "fn", "fp")
@@ -423,13 +425,28 @@ def iforest_score_range(t):
     return s.select("endpoint_id", "time", inside.alias("raw_in_range"), F.col("ml_norm").between(0, 1).alias("norm_in_range"))
 
 
-@query("layer_ml")
+@query("layer_ml", ("replayed",), f"""
+    SELECT endpoint_id, {stamp('time')}, direction, {num('ml_norm')}, {num('ml_gated')}, {num('combined')}, layer, layered_fire FROM replayed""")
 def layer_ml(t):
     s = model_ops.scored_history(t.features, t.baseline, t.slos, _fitted(t), t.settings)
     return s.select("endpoint_id", "time", "direction", "ml_norm", "ml_gated", "combined", "layer", "layered_fire")
 
 
-@query("ablation_attribution")
+# every row seven times, each time with another feature at its median
+BLOCKS["medians"] = (("train",), "SELECT [" + ", ".join(f"median(x[{i}])" for i in range(1, 8)) + "] AS center FROM train")
+BLOCKS["targets"] = (("model_rows", "usable"), "SELECT * FROM model_rows SEMI JOIN usable USING (endpoint_id, time) WHERE window_rows >= 3")
+BLOCKS["ablated_rows"] = (("targets", "medians"), """
+    SELECT row_id || '#' || j AS row_id, list_transform(range(1, 8), lambda i: CASE WHEN i = j THEN center[i] ELSE x[i] END) AS x
+    FROM targets, range(1, 8) r(j), medians""")
+score_blocks("ablated", "ablated_rows", "forest")
+BLOCKS["drops"] = (("targets", "forest_score_raw", "ablated_raw", "calibration"), """
+    SELECT endpoint_id, time, j, (b.raw - a.raw) / greatest(p99 - p50, 1e-9) AS fall
+    FROM targets t JOIN forest_score_raw b USING (row_id), range(1, 8) r(j), calibration, ablated_raw a WHERE a.row_id = t.row_id || '#' || j""")
+
+
+@query("ablation_attribution", ("drops",), f"""
+    SELECT endpoint_id, {stamp('time')}, rank, {list(MODEL_FEATURES)}[j] AS feature, {num('round_even(fall, 4)', 'contribution')} FROM
+    (SELECT *, row_number() OVER (PARTITION BY endpoint_id, time ORDER BY abs(fall) DESC, j) - 1 AS rank FROM drops) WHERE rank < 3""")
 def ablation_attribution(t):
     m = _fitted(t)
     rows = model_ops.feature_matrix(t.features, t.baseline, t.settings)
@@ -464,7 +481,19 @@ def reference_window(t):
     return model_store.reference_window(_matrix(t), t.settings).select("row_id", F.get("features", F.lit(2)).alias("dev_p99"))
 
 
-@query("sanity_gate")
+# a second forest from another seed, both scored on the reference window
+forest_blocks("forest_old", "train", 7)
+BLOCKS["ref_rows"] = (("train",), "SELECT row_id, x FROM train ORDER BY md5(row_id || '|42'), row_id LIMIT 500")
+score_blocks("ref_new", "ref_rows", "forest")
+score_blocks("ref_old", "ref_rows", "forest_old")
+BLOCKS["gate"] = (("ref_new_raw", "ref_old_raw"), """
+    SELECT max(abs(a / ta - b / tb)) AS ks FROM (
+      SELECT sum(na) OVER (ORDER BY v) AS a, sum(nb) OVER (ORDER BY v) AS b, sum(na) OVER () AS ta, sum(nb) OVER () AS tb
+      FROM (SELECT raw AS v, sum(n) AS na, sum(o) AS nb FROM
+            (SELECT raw, 1 AS n, 0 AS o FROM ref_new_raw UNION ALL SELECT raw, 0, 1 FROM ref_old_raw) GROUP BY raw))""")
+
+
+@query("sanity_gate", ("train", "gate"), f"SELECT (SELECT count(*) FROM train) AS rows, ks <= 0.35 AS ok, {num('ks')} FROM gate")
 def sanity_gate(t):
     matrix = tables.stored(_matrix(t).select("row_id", "features"), "matrix")
     old = model_ops.fit(matrix, AS_OF, replace(t.settings, seed=7))
@@ -503,10 +532,14 @@ def freshness_gate(t):
 
 
 BLOCKS["norms"] = (("spans",), "SELECT ts, least(1.0, latency_ms / 400.0) AS ml_norm FROM spans")
+BLOCKS["live_norms"] = (("scored",), "SELECT time AS ts, ml_norm FROM scored")
 BLOCKS["drift_counts"] = (("norms",), """
     SELECT ml_norm AS v, count(*) FILTER (ts < TIMESTAMP '2024-01-15') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS b FROM norms GROUP BY 1""")
 BLOCKS["drift_cdf"] = (("drift_counts",), """
     SELECT max(abs(ca / ta - cb / tb)) AS ks FROM (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM drift_counts)""")
+BLOCKS["live_cdf"] = (("live_norms",), """
+    SELECT max(abs(ca / ta - cb / tb)) AS ks FROM (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS ta, sum(b) OVER () AS tb
+      FROM (SELECT ml_norm AS v, count(*) FILTER (ts < TIMESTAMP '2024-01-15') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS b FROM live_norms GROUP BY 1))""")
 LIVE = "FILTER (ts >= TIMESTAMP '2024-01-15')"
 
 
@@ -516,24 +549,31 @@ def _norms(t):
     return rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut)
 
 
+def _model_norms(t):
+    """Calibrated forest scores of the cycles of the first and the second half of the month."""
+    rows = t.scored.select(F.col("time").alias("ts"), "ml_norm")
+    cut = at(datetime(2024, 1, 15))
+    return rows.where(F.col("ts") < cut), rows.where(F.col("ts") >= cut)
+
+
 @query("ks_statistic", ("drift_cdf",), f"SELECT {num('ks')} FROM drift_cdf")
 def ks_statistic(t):
     ref, live = _norms(t)
     return model_ops.ks_statistic(ref, live, "ml_norm", "ml_norm").select("ks")
 
 
-@query("drift_summary", ("norms",), f"""
+@query("drift_summary", ("live_norms",), f"""
     SELECT count(*) {LIVE} AS n_live, {num("avg(ml_norm) FILTER (ts < TIMESTAMP '2024-01-15')", 'ref_mean')}, {num(f'avg(ml_norm) {LIVE}', 'live_mean')},
-           {num(f'quantile_cont(ml_norm, 0.95) {LIVE}', 'live_p95')}, {num(f'avg(CAST(ml_norm >= 0.5 AS DOUBLE)) {LIVE}', 'live_anomaly_rate')} FROM norms""")
+           {num(f'quantile_cont(ml_norm, 0.95) {LIVE}', 'live_p95')}, {num(f'avg(CAST(ml_norm >= 0.5 AS DOUBLE)) {LIVE}', 'live_anomaly_rate')} FROM live_norms""")
 def drift_summary(t):
-    return model_ops.drift_summary(*_norms(t), t.settings)
+    return model_ops.drift_summary(*_model_norms(t), t.settings)
 
 
-@query("drift_check", ("norms", "drift_cdf"), f"""
-    SELECT count(*) {LIVE} AS n_live, {num('round_even((SELECT ks FROM drift_cdf), 4)', 'ks_drift')}, {num(f'round_even(avg(ml_norm) {LIVE}, 4)', 'live_mean')},
-           (SELECT ks FROM drift_cdf) > 0.3 AS drift_flag FROM norms""")
+@query("drift_check", ("live_norms", "live_cdf"), f"""
+    SELECT count(*) {LIVE} AS n_live, {num('round_even((SELECT ks FROM live_cdf), 4)', 'ks_drift')}, {num(f'round_even(avg(ml_norm) {LIVE}, 4)', 'live_mean')},
+           (SELECT ks FROM live_cdf) > 0.3 AS drift_flag FROM live_norms""")
 def drift_check(t):
-    ref, live = _norms(t)
+    ref, live = _model_norms(t)
     return model_ops.drift_check(ref, live, t.as_of, t.as_of, t.settings).select("n_live", "ks_drift", "live_mean", "drift_flag")
 
 
@@ -954,7 +994,7 @@ def health_panel(t):
 @query("layer_timeline", ("scored",), f"""
     SELECT endpoint_id, {stamp('time')}, layer, {num('score')} FROM (
       SELECT endpoint_id, time, 'static' AS layer, round_even(static_norm, 4) AS score FROM scored UNION ALL SELECT endpoint_id, time, 'baseline', round_even(baseline_norm, 4) FROM scored
-      UNION ALL SELECT endpoint_id, time, 'iforest', 0.0 FROM scored UNION ALL SELECT endpoint_id, time, 'combined', round_even(combined, 4) FROM scored)""")
+      UNION ALL SELECT endpoint_id, time, 'iforest', round_even(ml_gated, 4) FROM scored UNION ALL SELECT endpoint_id, time, 'combined', round_even(combined, 4) FROM scored)""")
 def layer_timeline(t):
     return selfobs.layer_timeline(t.anomalies)
 

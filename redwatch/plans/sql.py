@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..config import CALL_EDGES, ENDPOINT_SLOS, ENDPOINTS, LATENCY_BOUNDS_MS
 from .fixture import DEPLOY_ROWS, INJECTION_ROWS
 
@@ -150,28 +152,33 @@ def _derived(source: str) -> str:
 def _scored(source: str) -> str:
     return f"""
         SELECT *, static_breach OR combined >= 0.6 AS anomaly,
-               CASE WHEN CAST(static_norm >= 0.3 AS INTEGER) + CAST(baseline_norm >= 0.3 AS INTEGER) >= 2 THEN 'combined'
+               CASE WHEN CAST(static_norm >= 0.3 AS INTEGER) + CAST(baseline_norm >= 0.3 AS INTEGER) + CAST(ml_gated >= 0.3 AS INTEGER) >= 2 THEN 'combined'
                     WHEN static_breach OR combined >= 0.6 THEN
-                      CASE WHEN static_norm >= baseline_norm THEN 'static' ELSE 'baseline' END END AS layer,
+                      CASE WHEN static_norm >= greatest(baseline_norm, ml_gated) THEN 'static'
+                           WHEN baseline_norm >= ml_gated THEN 'baseline' ELSE 'iforest' END END AS layer,
                CASE WHEN p99_ms > slo_p99_ms * 2 OR combined >= 0.8 THEN 'critical' ELSE 'warning' END AS severity,
                static_breach OR error_rate_5xx > slo_error_rate_5xx AS static_fire,
                static_breach OR combined >= 0.6 OR error_rate_5xx > slo_error_rate_5xx AS layered_fire
-        FROM (SELECT *, CASE WHEN static_breach THEN greatest(baseline_norm, static_norm) ELSE baseline_norm END AS combined
+        FROM (SELECT *, CASE WHEN static_breach THEN greatest(base, static_norm) ELSE base END AS combined
+        FROM (SELECT *, baseline_norm + (1 - baseline_norm) * ml_gated AS base
+        FROM (SELECT *, CASE WHEN direction = 'degradation' THEN ml_norm ELSE 0.0 END AS ml_gated
         FROM (SELECT *, p99_ms > slo_p99_ms AS static_breach,
                CASE WHEN p99_ms > slo_p99_ms THEN least(1.0, (p99_ms - slo_p99_ms) / (slo_p99_ms + 1e-6)) ELSE 0.0 END AS static_norm,
                least(1.0, CASE WHEN p99_ms > p99_ms_p90 THEN (p99_ms - p99_ms_p90) / (p99_ms_p90 - p99_ms_p10 + 1e-6) ELSE 0.0 END / 2.0) AS baseline_norm,
                CASE WHEN p99_ms > p99_ms_p90 THEN 'degradation' WHEN p99_ms < p99_ms_p10 THEN 'improvement' ELSE 'normal' END AS direction
-        FROM (SELECT d.*, coalesce(l.slo_p99_ms, 500.0) AS slo_p99_ms, coalesce(l.slo_error_rate_5xx, 10.0) AS slo_error_rate_5xx
-              FROM {source} d LEFT JOIN slos l USING (endpoint_id))))"""
+        FROM (SELECT d.*, coalesce(l.slo_p99_ms, 500.0) AS slo_p99_ms, coalesce(l.slo_error_rate_5xx, 10.0) AS slo_error_rate_5xx,
+                     coalesce(m.ml_norm, 0.0) AS ml_norm
+              FROM {source} d LEFT JOIN slos l USING (endpoint_id)
+              LEFT JOIN ml m ON m.endpoint_id = d.endpoint_id AND m.time = d.time)))))"""
 
 
 BLOCKS.update({
     "rolled": (("features", "bands"), _rolled("features")),
     "derived": (("rolled",), _derived("rolled")),
-    "scored": (("derived", "slos"), _scored("derived")),
+    "scored": (("derived", "slos", "ml"), _scored("derived")),
     "rolled_usable": (("usable", "bands"), _rolled("usable")),
     "derived_usable": (("rolled_usable",), _derived("rolled_usable")),
-    "replayed": (("derived_usable", "slos"), _scored("derived_usable")),
+    "replayed": (("derived_usable", "slos", "ml"), _scored("derived_usable")),
     "anomalies": (("scored",), """
         SELECT endpoint_id, time AS detected_at, combined AS score, coalesce(layer, 'combined') AS layer, direction
         FROM scored"""),
@@ -304,14 +311,12 @@ def with_blocks(names, body: str) -> str:
         visit(n)
     if not ordered:
         return body
-    # blocks that refer to themselves are recursive and cannot be materialized by a keyword
-    kept = {n: "" if n in _RECURSIVE or n.endswith(("_grown", "_walk")) else "MATERIALIZED " for n in ordered}
-    if not any(n.startswith("forest") for n in ordered):
-        kept = dict.fromkeys(ordered, "")
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {kept[n]}({BLOCKS[n][1]})" for n in ordered) + "\n" + body
-
+    def kind(n: str) -> str:
+        """With a forest among them, blocks are computed once; those that name themselves are recursive."""
+        once = any(b.startswith("forest") for b in ordered) and not re.search(rf"\b{n}\b", BLOCKS[n][1])
+        return "MATERIALIZED " if once else ""
 
-_RECURSIVE = ("log", "log_compat")
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {kind(n)}({BLOCKS[n][1]})" for n in ordered) + "\n" + body
 
 
 def num(expr: str, name: str | None = None) -> str:
