@@ -187,3 +187,36 @@ def test_binomial_steps():
     steps = forest._binomial_steps(5, 0.3)
     want = np.cumsum([math.comb(5, k) * 0.3**k * 0.7 ** (5 - k) for k in range(5)])
     assert np.allclose(steps, want)
+
+
+def test_trees_equal_a_plain_recursion(matrix, model):
+    """One tree grown row by row from the same md5 draws."""
+    import hashlib
+
+    tree = 3
+    rows = [r["features"] for r in forest.tree_samples(matrix, 700, SMALL).where(F.col("tree") == tree).collect()]
+    want = {}
+
+    def grow(part, node, depth):
+        lo, hi = [min(c) for c in zip(*part)], [max(c) for c in zip(*part)]
+        vary = [i for i in range(7) if hi[i] > lo[i]]
+        if depth == 8 or not vary:
+            want[node] = (-1, 0.0, len(part))
+            return
+        digest = hashlib.md5(f"{SMALL.seed}|{tree}|{node}".encode()).hexdigest()
+        f = vary[int(int(digest[:8], 16) / 2**32 * len(vary))]
+        cut = lo[f] + int(digest[8:21], 16) / 2**52 * (hi[f] - lo[f])
+        cut = lo[f] if cut >= hi[f] else cut
+        want[node] = (f, cut, len(part))
+        grow([p for p in part if p[f] <= cut], 2 * node + 1, depth + 1)
+        grow([p for p in part if p[f] > cut], 2 * node + 2, depth + 1)
+
+    grow(rows, 0, 0)
+    got = {r["node"]: (r["feature"], r["threshold"], r["size"]) for r in model.nodes.where(F.col("tree") == tree).collect()}
+    assert got == want
+
+
+def test_equal_rows_make_one_leaf(spark):
+    same = spark.range(300).select(F.col("id").cast("string").alias("row_id"), F.array(*[F.lit(1.5)] * 7).alias("features"))
+    nodes = forest.train_forest(same, 300, replace(SMALL, trees=4)).collect()
+    assert len(nodes) == 4 and all(r["is_leaf"] and r["size"] == 256 and r["node"] == 0 for r in nodes)

@@ -9,7 +9,8 @@ KEYS = (
     "red_features", "red_features_exact", "histogram_quantile", "counter_rate", "seasonal_baseline", "baseline_global",
     "baseline_lookup", "score_replay", "alert_state_machine", "alert_episodes", "fault_attribution", "detection_stats",
     "threshold_sweep", "ks_cdf", "binary_metrics", "temporal_split", "explanation_rubric", "response_validate",
-    "ground_truth_source", "label_windows", "cardinality_guard", "llm_run_stats",
+    "ground_truth_source", "label_windows", "cardinality_guard", "llm_run_stats", "iforest_train", "layer_ml", "layer_timeline",
+    "ablation_attribution", "drift_check",
 )
 
 
