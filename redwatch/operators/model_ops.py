@@ -170,7 +170,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, value_a: str, value_b: str) -> Data
     )
     total = counts.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     cum = running_totals(
-        counts, [], "v", {"ca": F.col("na"), "cb": F.col("nb")}, value_bin("v")
+        counts, [], "v", {"ca": F.col("na"), "cb": F.col("nb")}, value_bin("v"), refine=F.col("v")
     )
     ta, tb = total.select("ta").scalar(), total.select("tb").scalar()
     gap = F.abs(F.col("ca") / ta - F.col("cb") / tb)

@@ -48,10 +48,14 @@ def binary_metrics(rows: DataFrame, label: str = "label", predicted: str = "pred
     sum.  Both areas are null when only one class occurs.
     """
     y, p = F.col(label) == 1, F.col(predicted) == 1
-    counts = rows.groupBy((-F.col(score)).alias("_s")).agg(
-        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")
+    # written once: the scores are costly and the counts are read several times
+    counts = stored(
+        rows.groupBy((-F.col(score)).alias("_s")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")),
+        "score-counts",
+    )
+    cum = running_totals(
+        counts, [], "_s", {"tp": F.col("pos"), "fp": F.col("neg")}, value_bin("_s"), refine=F.col("_s")
     )
-    cum = running_totals(counts, [], "_s", {"tp": F.col("pos"), "fp": F.col("neg")}, value_bin("_s"))
     total = rows.agg(
         F.count_if(y).alias("P"), F.count_if(~y).alias("N"),
         F.count_if(y & p).alias("hit"), F.count_if(p).alias("said"),

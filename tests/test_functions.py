@@ -116,6 +116,47 @@ def test_running_totals_with_ties(hot):
         assert r["n"] == sum(1 for k, v in rows if k == r["k"] and v is not None and v <= r["v"])
 
 
+@pytest.fixture(scope="module")
+def narrow(spark):
+    """All values within 1e-6 of each other, neighbours in the last bits, one value very often, both ends open."""
+    rnd = random.Random(4)
+    values = [0.5 + rnd.random() * 1e-6 for _ in range(3000)] + [0.5 + i * 2.0**-52 for i in range(400)] + [0.5000004] * 900
+    values += [INF, -INF, 1.7e308, 1.6e308] + [float(i) for i in range(50)]
+    rows = [(rnd.choice("ab"), v) for v in values]
+    return rows, spark.createDataFrame(rows, "k string, v double")
+
+
+def test_crowded_bins_are_cut_until_they_fit(narrow):
+    rows, df = narrow
+    binned = ordered.refined_bins(df, ["k"], F.col("v"), ordered.value_bin("v"), crowd=40)
+    bins = {}
+    for r in binned.collect():
+        bins.setdefault((r["k"], tuple(r["_bin"])), []).append(r["v"])
+    assert sum(map(len, bins.values())) == len(rows)
+    assert all(len(vs) <= 40 or len(set(vs)) == 1 for vs in bins.values())
+    for k in "ab":
+        edges = [(min(bins[b]), max(bins[b])) for b in sorted(b for b in bins if b[0] == k)]
+        assert all(high < low for (_, high), (low, _) in zip(edges, edges[1:]))
+
+
+def test_running_totals_and_quantiles_of_crowded_bins(narrow):
+    rows, df = narrow
+    got = ordered.running_totals(
+        df, ["k"], "v", {"n": F.lit(1)}, ordered.value_bin("v"), refine=F.col("v"), crowd=40
+    ).collect()
+    assert len(got) == len(rows)
+    for k in "ab":
+        mine = np.sort([v for j, v in rows if j == k])
+        assert all(r["n"] == np.searchsorted(mine, r["v"], "right") for r in got if r["k"] == k)
+    probs = {"a": 0.0, "b": 0.2, "c": 0.5, "d": 0.77, "e": 0.98}
+    for nearest in (False, True):
+        for r in ordered.exact_quantiles(df, ["k"], "v", probs, nearest, crowd=40).collect():
+            mine = np.sort([v for j, v in rows if j == r["k"]])
+            for name, q in list(probs.items())[0 if nearest else 1 :]:
+                want = mine[min(int(len(mine) * q), len(mine) - 1)] if nearest else np.percentile(mine, 100 * q)
+                assert r[name] == pytest.approx(want, rel=1e-15), (name, nearest)
+
+
 def test_value_bin_is_monotone(spark):
     values = sorted([0.0, -0.0, 1e-9, 0.5, 1.0, 3.0, 1e9, -1e-9, -2.0, -1e9, 5e-324])
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
