@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import alerts, attribution, evaluation, features, graph, red, scoring, selfobs
 from ..functions.scalars import half_even, status_of_direction
 from ..sources import tables
-from ..streaming import alert_stream, red_stream
+from ..streaming import alert_stream, heavy_hitters, red_stream
 from .fixture import BUCKET, HOUR, at, spans_from
 from .registry import query
 from .sql import BLOCKS, num, stamp
@@ -332,6 +332,17 @@ def cardinality_guard(t):
     return red.cap_endpoints(red.quarantine_missing_route(s), 20).groupBy("endpoint_id").agg(F.count(F.lit(1)).alias("spans"))
 
 
+@query("cardinality_guard_stream")
+def cardinality_guard_stream(t):
+    """The busiest endpoints of the stream, from summaries of 500 names a shard."""
+    spans = t.spark.readStream.schema(t.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    spans = spans.select(
+        "event_id", F.when(F.col("user_id") % 13 > 0, F.concat(F.lit("GET /u/"), "user_id")).alias("endpoint_id")
+    )
+    summaries = heavy_hitters.endpoint_summaries(spans, "event_id", capacity=500, shards=8)
+    return heavy_hitters.busiest(_run(t, summaries, "summaries"), 20)
+
+
 # --------------------------------------------------------------------------- attribution and graph
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,10 +14,11 @@ from ..functions.scalars import (
     one_sided_deviation, plus_seconds, signed_deviation, half_even,
 )
 from ..operators import alerts, attribution, baseline, evaluation, features, graph, red, scoring, selfobs
+from ..operators.baseline_state import BaselineState
 from ..operators.joins import asof_latest, interval_join
 from ..schemas import FEATURES as FEATURES_DDL
 from ..sources import ground_truth, tables, telemetry
-from .fixture import BUCKET, HOUR, INJECTION_ROWS, at
+from .fixture import AS_OF, BUCKET, HOUR, INJECTION_ROWS, at
 from .registry import query
 from .sql import BLOCKS, LOOKUP, METRICS, num, stamp
 
@@ -597,6 +598,16 @@ def seasonal_baseline(t):
     return t.baseline.drop("updated_at")
 
 
+@query("baseline_incremental", ("baseline",), f"""
+    SELECT endpoint_id, metric, dow, hour_bucket, {BASE_SQL}, CAST(sample_count AS BIGINT) AS sample_count FROM baseline""")
+def baseline_incremental(t):
+    """Built without faults nine days early, then brought up to date as days pass and faults become known."""
+    state = BaselineState(t.spark, tables.fresh_path(t.spark, "baseline-state"), t.settings)
+    for days, faults in ((9, t.injections.limit(0)), (2, t.injections), (0, t.injections)):
+        state.advance(t.features, faults, AS_OF - timedelta(days=days))
+    return state.baseline().drop("updated_at")
+
+
 @query("baseline_fallback", ("fallback",), f"SELECT endpoint_id, metric, {BASE_SQL} FROM fallback")
 def baseline_fallback(t):
     return baseline.baseline_fallback(t.baseline)
