@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of a bounded, hash-chosen sample of labelled documents (``SAMPLE`` per language in expectation; fewer
-labelled documents are all used). The log-probability matrix, languages x ``BUCKETS`` floats, goes to the tasks; every
-whole text is scored there in slices, so memory does not grow with a text.
+labelled documents are all used). The log-probability matrix goes to the tasks in blocks of ``BLOCK`` languages x ``BUCKETS`` floats;
+every whole text is scored there in slices, so memory grows neither with a text nor with the number of languages. The driver holds the
+whole matrix, 128 KB a language.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .words import buffers, mix, settle, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE = 4_000
-MAX_LANGUAGES = 256
+#: Languages counted or scored in one pass; further ones take further passes.
+BLOCK = 256
 UNDETERMINED = "und"
 #: A text is judged against its language by its log-probability per n-gram: this much below the middle (or ``SPREADS`` times the
 #: spread of the language's documents, if more) is allowed, and ``NOISE`` standard errors of its own length.
@@ -107,10 +110,12 @@ class Model:
 
     def gram_deviation(self) -> dict[str, float]:
         """Standard deviation of the log-probability of one n-gram drawn from each language."""
-        wide = self.log_prob.astype(float)
-        share = np.exp(wide)
-        mean = (share * wide).sum(axis=1, keepdims=True)
-        return dict(zip(self.languages, np.sqrt((share * (wide - mean) ** 2).sum(axis=1)).tolist(), strict=True))
+        out = {}
+        for lang, row in zip(self.languages, self.log_prob, strict=True):
+            wide = row.astype(float)
+            share = np.exp(wide)
+            out[lang] = float(np.sqrt((share * (wide - (share * wide).sum()) ** 2).sum()))
+        return out
 
 
 def held_out(id_col: Column) -> Column:
@@ -121,22 +126,32 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Model from labelled rows; rows without text, language or id do not count.
 
-    Priors come from all labelled rows, n-gram counts from about ``sample`` of them per language.
+    Priors come from all labelled rows, n-gram counts from about ``sample`` of them per language. Any number of languages; every
+    ``BLOCK`` of them take one pass.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     languages = tuple(sorted(sizes))
     if not languages:
         return Model((), np.zeros(0), np.zeros((0, BUCKETS), np.float32))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / sizes[lang]))])
+    counts = np.concatenate([
+        _counts(rows, {x: sizes[x] for x in languages[i : i + BLOCK]}, sample) for i in range(0, len(languages), BLOCK)
+    ])
+    total = sum(sizes.values())
+    prior = np.log(np.array([sizes[x] for x in languages], float) / total)
+    return Model(languages, prior, counts)
+
+
+def _counts(rows: DataFrame, sizes: dict[str, int], sample: int) -> np.ndarray:
+    """Log-probabilities of one block of languages."""
+    share = F.create_map(*[F.lit(x) for lang in sizes for x in (lang, min(1.0, sample / sizes[lang]))])
     chance = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(chance < F.element_at(share, F.col("lang"))).select("text", "lang")
-    place = {lang: i for i, lang in enumerate(languages)}
+    # null, so not chosen, for the languages of other blocks
+    chosen = rows.where(chance < F.try_element_at(share, F.col("lang"))).select("text", "lang")
+    place = {lang: i for i, lang in enumerate(sizes)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) * BUCKETS, np.int64)
+        total = np.zeros(len(place) * BUCKETS, np.int64)
         for batch in batches:
             text, lang = batch.column("text"), np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
             for low, high in slices(text, SLICE):
@@ -145,13 +160,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col:
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
-    # at most languages x BUCKETS cells, whatever the input
-    counts = np.zeros(len(languages) * BUCKETS)
+    # at most languages of the block x BUCKETS cells, whatever the input
+    counts = np.zeros(len(place) * BUCKETS)
     for r in chosen.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["cell"]] = r["n"]
-    counts = counts.reshape(len(languages), BUCKETS) + 0.5
-    prior = np.log(np.array([sizes[x] for x in languages], float) / sum(sizes.values()))
-    return Model(languages, prior, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+    counts = counts.reshape(len(place), BUCKETS) + 0.5
+    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), detail: bool = False) -> DataFrame:
@@ -169,37 +183,71 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
     # a text inside a kept struct is read from there and not sent twice
     inputs = kept if field else docs.select(*kept.columns, F.col(f"`{text_col}`").cast("string").alias("__text"))
     # each n-gram order is weighted alike: the score of a text is the sum over all its n-grams
-    names_more = ["n_grams", "gram_log_prob"] if detail else []
-    prior, table, names = model.prior, model.log_prob, np.array([*model.languages, UNDETERMINED], object)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields)
+    blocks = range(0, max(len(model.languages), 1), BLOCK)
+    for start in blocks:
+        # written between passes, so that no task holds the matrices of two blocks
+        inputs = inputs if start == 0 else stored(inputs, "languages")
+        inputs = inputs.mapInArrow(_scorer(model, start, struct, field), f"{kinds}, {STATE}")
+    # a join-free end: the name of the best language by its place
+    names = F.array(*[F.lit(x) for x in model.languages]) if model.languages else F.array(F.lit(UNDETERMINED))
+    known = F.col("__best") >= 0
+    more = [F.col("__grams").alias("n_grams"), F.when(known, F.col("__own") / F.greatest("__grams", F.lit(1))).otherwise(0.0).alias("gram_log_prob")]
+    return inputs.select(
+        *[F.col(f"`{c}`") for c in keep],
+        F.when(known, F.get(names, F.col("__best").cast("int"))).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(known, 1.0 / F.col("__rest")).otherwise(0.0).alias("score"),
+        *(more if detail else []),
+    )
+
+
+#: Carried from block to block: the best language so far, its score, all probability in units of the best one's, the number of
+#: n-grams and the best one's sum over them.
+STATE = "__best long, __top double, __rest double, __grams long, __own double"
+
+
+def _scorer(model: Model, start: int, struct: str, field: str):
+    """Pass over the texts for the languages from ``start`` on; later passes go on from the columns of ``STATE``."""
+    prior, table = model.prior[start : start + BLOCK], model.log_prob[start : start + BLOCK]
+    state = [c.split()[0] for c in STATE.split(", ")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = pc.struct_field(batch.column(struct), field) if field else batch.column("__text")
-            best = np.full(len(text), len(prior), np.int64)
-            value = np.zeros(len(text))
-            seen, mean = np.zeros(len(text), np.int64), np.zeros(len(text))
+            n = len(text)
+            if start:
+                best, top, rest, seen, own = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in state)
+            else:
+                best, top, rest = np.full(n, -1, np.int64), np.full(n, -np.inf), np.zeros(n)
+                seen, own = np.zeros(n, np.int64), np.zeros(n)
             for low, high in slices(text, SLICE):
                 total = np.tile(prior, (high - low, 1))
                 letters = np.zeros(high - low, bool)
                 for row, bucket, has in grams(text, low, high):
                     letters[has] = True
-                    seen[low:high] += np.bincount(row, minlength=high - low)
+                    if not start:
+                        seen[low:high] += np.bincount(row, minlength=high - low)
                     for k in range(len(prior)):
                         total[:, k] += np.bincount(row, weights=table[k][bucket], minlength=high - low)
-                if len(prior):
-                    top = total.argmax(axis=1)
-                    share = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                    best[low:high] = np.where(letters, top, len(prior))
-                    value[low:high] = np.where(letters, share, 0.0)
-                    own = total[np.arange(high - low), top] - prior[top]
-                    mean[low:high] = np.where(letters, own / np.maximum(seen[low:high], 1), 0.0)
-            more = [pa.array(seen), pa.array(mean)] if detail else []
-            arrays = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(value), *more], [*keep, "lang_pred", "score", *names_more])
+                if not len(prior):
+                    continue
+                at = np.flatnonzero(letters)
+                total, at = total[at], at + low
+                winner = total.argmax(axis=1)
+                high_mark = total.max(axis=1)
+                mass = np.exp(total - high_mark[:, None]).sum(axis=1)
+                # ties go to the earlier name, so only a larger score replaces
+                better = high_mark > top[at]
+                both = np.maximum(high_mark, top[at])
+                rest[at] = rest[at] * np.exp(top[at] - both) + mass * np.exp(high_mark - both)
+                top[at] = both
+                best[at[better]] = start + winner[better]
+                own[at[better]] = (high_mark - prior[winner])[better]
             settle()
+            arrays = [batch.column(i) for i in range(batch.num_columns - (len(state) if start else 0))]
+            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(x) for x in (best, top, rest, seen, own)]], [*batch.schema.names[: len(arrays)], *state])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return inputs.mapInArrow(score, f"{kinds}, lang_pred string, score double" + (", n_grams long, gram_log_prob double" if detail else ""))
+    return score
 
 
 def typical(judged: DataFrame, label: Column) -> dict[str, tuple[float, float]]:
@@ -218,11 +266,12 @@ def misfit(model: Model, usual: dict[str, tuple[float, float]]) -> Column:
 
     The standard error takes the n-grams of one place (one per order) as one draw.
     """
-    deviation, out = model.gram_deviation(), F.lit(False)
+    # one flat list of cases: hundreds of languages must not nest
+    deviation, out = model.gram_deviation(), F.when(F.lit(False), F.lit(False))
     for lang, (middle, spread) in sorted(usual.items()):
         error = deviation[lang] * F.sqrt(len(ORDERS) / F.greatest(F.col("n_grams"), F.lit(1)))
-        out = F.when(F.col("lang_pred") == lang, F.col("gram_log_prob") < middle - max(MARGIN, SPREADS * spread) - NOISE * error).otherwise(out)
-    return out
+        out = out.when(F.col("lang_pred") == lang, F.col("gram_log_prob") < middle - max(MARGIN, SPREADS * spread) - NOISE * error)
+    return out.otherwise(False)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
