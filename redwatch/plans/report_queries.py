@@ -12,6 +12,7 @@ from ..functions.scalars import half_even
 from ..operators import evaluation, explain, features, forest, model_ops, scoring, selfobs, supervised
 from ..operators.alerts import alert_history, current_alerts
 from ..sources import model_store, tables
+from ..streaming import outbox
 from .detection_queries import FEATURES
 from .model_sql import forest_blocks, score_blocks
 from .fixture import AS_OF, BUCKET, at
@@ -861,6 +862,32 @@ def explanation_sink(t):
     )
 
 
+@query("alert_outbox", ("attributed", "slos"), f"""
+    SELECT endpoint_id, signal_type, {stamp('opened_at')}, suspected_fault, deploy_version,
+           signal_type || ' of ' || endpoint_id || ': ' || printf('%.2f', round_even(raw_value, 2)) || ' against a limit of ' ||
+           printf('%.2f', CASE WHEN signal_type = 'p99_ms' THEN slo_p99_ms ELSE slo_error_rate_5xx END) || ' [score ' || printf('%.2f', round_even(score, 2)) || ', ' || severity || ']' AS summary,
+           CASE WHEN suspected_fault IS NOT NULL AND round_even(imputation_score, 2) >= 0.5 THEN 'Onset falls into ' || suspected_fault || ' (score ' || printf('%.2f', round_even(imputation_score, 2)) || ')'
+                ELSE 'No lead: neither a fault, a deployment nor a dependency suspected so far' END AS suspected_cause,
+           'FIRING [' || upper(severity) || ']' AS first_line
+    FROM attributed a JOIN slos l USING (endpoint_id)""")
+def alert_outbox(t):
+    """The alert log as a stream, and once more under another checkpoint: one message per incident."""
+    path, root = tables.fresh_path(t.spark, "log-stream"), tables.fresh_path(t.spark, "outbox")
+    t.log.write.parquet(path)
+    log = t.spark.readStream.schema(t.log.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+    def text(fired, past):
+        return outbox.write_up(fired, past, t.injections, t.deploys, t.slos, t.settings, BUCKET)
+
+    sent = outbox.run_outbox(log, root, tables.fresh_path(t.spark, "outbox-checkpoint"), text)
+    # a second stream over the same log finds all incidents written
+    sent = outbox.run_outbox(log, root, tables.fresh_path(t.spark, "outbox-checkpoint"), text, "repeat")
+    return sent.select(
+        "endpoint_id", "signal_type", "opened_at", "suspected_fault", "deploy_version", F.col("explanation.summary").alias("summary"),
+        F.col("explanation.suspected_cause").alias("suspected_cause"), F.substring_index("message", "\n", 1).alias("first_line"),
+    )
+
+
 @query("notification_text", ("explained",), f"""
     SELECT endpoint_id, signal_type, {stamp('opened_at')}, concat_ws(chr(10), 'FIRING [' || upper(severity) || ']', 'Endpoint: ' || endpoint_id, 'Signal: ' || signal_type,
         'Detail: ' || CASE WHEN signal_type = 'p99_ms' THEN 'p99 ' || printf('%.0f', raw_value) || ' ms' ELSE 'error rate ' || printf('%.1f', raw_value) || ' %' END,
