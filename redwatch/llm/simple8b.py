@@ -41,6 +41,11 @@ def _selectors(ids: np.ndarray) -> np.ndarray:
         stops = np.concatenate([np.flatnonzero(own > s), [n]])
         begins = np.concatenate([[0], stops[:-1] + 1])
         stretch = np.flatnonzero(stops - begins >= COUNTS[s])
+        if not len(stretch):
+            # smaller selectors need longer stretches and find shorter ones: only the end, shorter than a word, has room for them
+            tail = np.maximum.accumulate(own[: -COUNTS[s] - 1 : -1])[::-1]
+            best[n - len(tail) :] = np.where(tail <= s, tail, best[n - len(tail) :])
+            break
         ends = stops[stretch] - COUNTS[s] + 1
         begins = begins[stretch]
         if len(stretch) > n // 64:
@@ -60,8 +65,8 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = np.ascontiguousarray(ids, np.uint64)
     selector = _selectors(ids)
     jump = COUNTS[selector].tolist()
-    starts, at = [], 0
-    while at < len(ids):
+    starts, at, n = [], 0, len(ids)
+    while at < n:
         starts.append(at)
         at += jump[at]
     starts = np.array(starts, np.int64)

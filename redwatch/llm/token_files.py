@@ -10,7 +10,7 @@ a new one after ``FILE_IDS`` ids, always between two documents. A file is::
     footer          4 x 8 bytes: blocks, documents, ids, offset of the block table
 
 All numbers are little-endian. Block offsets let a reader start at any block; many blocks are decoded at a time. Memory is
-bounded by one document and one group of blocks on both sides. A file counts only if the manifest (a table with one row per
+bounded by one document, or ``CHARS`` of smaller ones, and one group of blocks on both sides. A file counts only if the manifest (a table with one row per
 file) names it: a repeated task writes under another name, so what a lost task left behind is never read.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ BLOCK = 1 << 14
 FILE_IDS = 1 << 24
 #: Blocks decoded at a time.
 GROUP = 64
+#: Characters of documents that are encoded together.
+CHARS = 1 << 22
 #: Reading tasks at most; each then reads several files.
 READERS = 16_384
 FILES = "part int, seq int, path string, n_docs long, n_ids long, n_blocks long, bytes long"
@@ -156,6 +158,21 @@ def documents_of(reader: TokenReader, with_ids: bool) -> Iterator[tuple[int, int
 # --------------------------------------------------------------------------- all documents
 
 
+def portions(batch: pa.RecordBatch, chars: int = CHARS) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of neighbouring documents of about ``chars`` characters together, or of one larger document."""
+    ids, texts, n = [], [], 0
+    for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        text = value.as_py() or ""
+        if texts and n + len(text) > chars:
+            yield ids, texts
+            ids, texts, n = [], [], 0
+        ids.append(doc_id)
+        texts.append(text)
+        n += len(text)
+    if texts:
+        yield ids, texts
+
+
 def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, block: int = BLOCK, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of all documents below ``path`` and returns the manifest: part, seq, path, n_docs, n_ids, n_blocks, bytes.
 
@@ -175,11 +192,11 @@ def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = N
             name, *counts = out.close()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([name]), *(pa.array([n], pa.int64()) for n in counts)], ["part", "seq", "path", "n_docs", "n_ids", "n_blocks", "bytes"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        for doc_ids, texts in chain.from_iterable(map(portions, batches)):
+            for doc_id, ids in zip(doc_ids, bpe.encode_all(texts), strict=True):
                 if out is None:
                     out = TokenFile(f"{path}/part-{part:06d}-{seq:06d}-{task.taskAttemptId()}.s8b", block)
-                out.add(doc_id, np.concatenate([np.frombuffer(bpe.encode(text.as_py() or ""), "<u4"), end]))
+                out.add(doc_id, np.concatenate([ids, end]))
                 if out.n_ids >= file_ids:
                     yield closed()
                     out, seq = None, seq + 1

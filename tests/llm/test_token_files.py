@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from data import documents, texts
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from redwatch.llm import packing, simple8b, token_files
+from redwatch.llm.word_bpe import WordBpe
 
 NUMBERS = st.one_of(st.integers(0, 1), st.integers(0, 50_000), st.just(0), st.integers(0, 2**64 - 1), st.integers(2**60 - 2, 2**60 + 2))
 
@@ -85,3 +87,51 @@ def test_files_hold_the_ids_of_the_library(spark, tmp_path, block, file_ids):
 
 def test_files_of_nothing(spark):
     assert token_files.stored_ids(documents(spark, [])).count() == 0
+
+
+SNIPPETS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'r", "'", "''", "s", "the", "LL", " ", "\n", "\u0085", "\u00a0", "\x1c", "\x00", "7", "²", "½", "é", "Ōĳ", "ʰ", "Ⱥ", "Ⱦ", "İ", "ß", ".", "!?", "<", "<|", "<|endoftext|>", "中文", "😀"]
+
+
+@given(st.lists(st.lists(st.sampled_from(SNIPPETS), max_size=12).map("".join), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_texts_encoded_together_have_the_ids_of_the_library(some):
+    bpe = WordBpe.load(packing.tokenizer_path())
+    assert [ids.tolist() for ids in bpe.encode_all(some)] == [bpe.whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_characters_encoded_together_have_the_ids_of_the_library():
+    bpe = WordBpe.load(packing.tokenizer_path())
+    some = [a + chr(c) + b for c in range(0x260) for a, b in (("", ""), ("x", "'s"), ("'", "1"))]
+    assert [ids.tolist() for ids in bpe.encode_all(some)] == [bpe.whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_each_distinct_word_of_a_portion_is_looked_up_once(monkeypatch):
+    bpe, asked = WordBpe(packing.tokenizer_path()), []
+
+    class Asked(dict):
+        def __missing__(self, word):
+            asked.append(word)  # kept nowhere: each further question would come here
+            return bpe.words[word]
+
+    monkeypatch.setattr(bpe, "words_all", Asked())
+    some = ["One two, two three's 44", "", "three TWO one", "two"] * 50
+    got = bpe.encode_all(some)
+    assert sorted(asked) == sorted({"one", "two", ",", "three", "'s", "4"})
+    assert [ids.tobytes() for ids in got] == [bpe.encode(t) for t in some]
+
+
+@pytest.mark.parametrize("chars", [1, 5, 10_000])
+def test_portions_hold_all_documents_in_order(chars):
+    docs = [(1, "abc"), (1, None), (None, "a" * 30), (2, ""), (3, "de"), (4, "fgh")]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs], pa.int64()), pa.array([t for _, t in docs], pa.string())], ["doc_id", "text"])
+    found = list(token_files.portions(batch, chars))
+    assert [x for ids, own in found for x in zip(ids, own, strict=True)] == [(i, t or "") for i, t in docs]
+    assert all(len(own) == 1 or sum(map(len, own)) <= chars for _, own in found) and all(ids for ids, _ in found)
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 260)), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_stretches_of_numbers_of_one_width(runs):
+    ids = np.concatenate([np.full(n, (1 << bits) - 1, np.uint64) for bits, n in runs])
+    words, escapes = simple8b.encode(ids)
+    assert (words >> np.uint64(60)).tolist() == [s for s, _ in plain_words(ids.tolist())] and not len(escapes)
