@@ -85,7 +85,7 @@ class WordBpe:
         for kind, own in ((_SPACE, spaces), (_LETTER, letters), (_NUMBER, numbers)):
             self.kinds[[m.start() for m in re.finditer(f"[{own}]", chars)]] = kind
         # U+0130 has a lower case of two characters, U+023A and U+023E have one of three bytes; special tokens start with "<|"
-        self.other = re.compile(f"[^\\u0000-{chr(_LATIN - 1)}]|[\\u0130\\u023a\\u023e]|<\\|").search
+        self.other = re.compile(f"[^\\u0000-\\u012f\\u0131-\\u0239\\u023b-\\u023d\\u023f-{chr(_LATIN - 1)}]|<\\|").search
 
     @cached_property
     def whole(self):
