@@ -89,9 +89,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each one's result is written and read again."""
+    """All stages over the documents; each one's result is written and read again, and goes when the next one is written."""
     tables = Stages(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = tables.put(stage(spark, docs, sf_dir), release=True)
+        read, docs = docs, tables.put(stage(spark, docs, sf_dir), release=True)
+        tables.drop(read)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import fresh_path
 
+#: Spark's setting that deletes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Stages:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
@@ -20,9 +23,20 @@ class Stages:
         self.spark, self.name, self.paths = spark, name, {}
 
     def put(self, df: DataFrame, release: bool = False) -> DataFrame:
-        """Write and read back. With ``release`` the shuffle files behind the table go at once, not at the driver's next collection."""
+        """Write and read back. The shuffle files of the write go as it ends: nothing reads them again, and the driver's collections
+        come later or, with a query that just ended, find them still held. With ``release`` there is such a collection too.
+        """
         path = fresh_path(self.spark, self.name)
-        df.write.parquet(path)
+        conf = df.sparkSession.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                conf.unset(CLEANUP)
+            else:
+                conf.set(CLEANUP, before)
         if release:
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()

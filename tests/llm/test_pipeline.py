@@ -1,4 +1,6 @@
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,7 +8,7 @@ from data import components, documents, lines_left, near_links, prose, repeats_r
 
 import corpus_pipeline
 from redwatch.llm import language_id, line_dedup, packing
-from redwatch.llm.shared import Stages
+from redwatch.llm.shared import CLEANUP, Stages
 
 NAMES = [name for name, _ in corpus_pipeline.STAGES]
 
@@ -144,3 +146,36 @@ def test_run_equals_the_chained_stages(spark):
     got = corpus_pipeline.run(spark, folder).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, docs.select(*columns).collect())) and len(got) > 100
     assert language_id.UNDETERMINED == "und"
+
+
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f.name for d in folders for f in Path(str(d)).rglob("shuffle_*")}
+
+
+def test_written_stage_tables_leave_no_shuffle_files(spark):
+    """The files of a write's shuffles go as it ends, also those of a table still in use; the setting is as before."""
+    rows = spark.range(5000).selectExpr("xxhash64(id) AS k", "id")
+    held = rows.groupBy("k").max("id")
+    before, setting = shuffle_files(spark), spark.conf.get(CLEANUP, None)
+    out = Stages(spark, "shuffled").put(held)
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP, None) == setting
+    assert out.count() == 5000 and held.count() == 5000
+
+
+def test_run_keeps_the_last_written_stage_only(spark, tmp_path, monkeypatch):
+    """A stage's result goes once the next one is written; the given documents stay."""
+    documents(spark, [(1, "a b"), (2, "c d"), (3, "e f")]).write.parquet(str(tmp_path / "documents.parquet"))
+    steps = [("one", lambda s, d, f: d.where("doc_id <> 2")), ("two", lambda s, d, f: d.where("doc_id <> 3")), ("last", lambda s, d, f: d)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", steps)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.rglob("pipeline-*"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(shared.rglob("pipeline-*")) - before) == 1
+    assert [r.doc_id for r in got.collect()] == [1]
+    assert spark.read.parquet(str(tmp_path / "documents.parquet")).count() == 3
